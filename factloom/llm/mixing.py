@@ -5,7 +5,7 @@ whole part for certain, the rest as an inclusion probability. The flight phase m
 probabilities of three documents at a time along the null space of the constraints (number of
 documents, number of words) until one of them is 0 or 1, so both totals stand still. It runs in
 chunks of a source's documents; each chunk leaves two undecided documents at most, which meet in
-fewer chunks until one is left for each source, and the landing decides its last two. Chunks and
+fewer chunks until one is left for each source, and the landing decides its last two, which are small as large documents fly first. Chunks and
 random numbers follow from the ids, so reruns agree whatever the partitions.
 
 Targets: sources in code point order, null last, take the weights in turn; a target stops at
@@ -69,14 +69,16 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
         live = [i for i in live if 0 < p[i] < 1]
 
 
-def land(prob: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides what a flight left, each by its probability, as far from all together as can be."""
-    p, u = prob.copy(), float(rng.random())
-    at = 0.0
-    for i in np.flatnonzero((p > 0) & (p < 1)):
-        lo, hi = at, at + p[i]
-        p[i] = float(lo <= u < hi or lo <= u + 1 < hi)
-        at = hi % 1.0
+def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decides what a flight left: the outcome whose words, then whose documents, are nearest to what
+    the probabilities promise; of equally near ones a random one."""
+    p = prob.copy()
+    left = np.flatnonzero((p > 0) & (p < 1))
+    if len(left):
+        ways = np.array(list(np.ndindex(*[2] * len(left))), float)
+        off = ways - p[left]
+        words, documents = np.abs(off @ size[left].astype(float)), np.abs(off.sum(axis=1))
+        p[left] = ways[np.lexsort((rng.random(len(ways)), documents, words))[0]]
     return p
 
 
@@ -110,11 +112,12 @@ def _decide(rows: DataFrame, chunk: int, last: bool) -> DataFrame:
     """One level of flights over rows (row, id, source, size, prob, chunks, chunk); `last` lands too."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "size", "row"], na_position="first")
+        # large documents first: what stays undecided is then small
+        pdf = pdf.sort_values(["size", "id", "row"], ascending=[False, True, True], na_position="first")
         rng = _rng(pdf["source"].iloc[0], int(pdf["chunks"].iloc[0]), int(pdf["chunk"].iloc[0]))
         p = flight(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), rng)
         if pdf["chunks"].iloc[0] == 1:
-            p = land(p, rng)
+            p = land(p, pdf["size"].to_numpy(), rng)
         return pdf.assign(prob=p)
 
     return rows.groupBy("source", "chunks", "chunk").applyInPandas(run, rows.schema)

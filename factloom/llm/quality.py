@@ -64,24 +64,30 @@ def features(text: str) -> tuple[int, ...]:
     )
 
 
-def _vote(bad: Column, good: Column) -> Column:
+def _vote(bad: Column, good: Column | None = None) -> Column:
     """1 bad, 2 good, 0 abstains."""
-    return F.when(bad, 1).when(good, 2).otherwise(0)
+    vote = F.when(bad, 1)
+    return (vote if good is None else vote.when(good, 2)).otherwise(0)
 
 
 def rules(f) -> dict[str, Column]:
-    """Name -> vote; `f` gives a feature's column by name."""
+    """Name -> vote; `f` gives a feature's column by name.
+
+    All but the last know one fault and abstain where they don't see it; the last knows prose, by all
+    its measures at once, and abstains elsewhere.
+    """
     n, lines, letters = f("n_words"), f("n_lines"), f("n_upper") + f("n_lower")
     some = n > 0
+    prose = (f("n_symbols") <= 0.02 * n) & (f("n_upper") <= 0.2 * letters) & (f("n_marks") <= 0.1 * n) & (f("n_repeat_words") <= 0.25 * n)
     return {
-        "symbols": _vote(f("n_symbols") > 0.1 * n, some & (f("n_symbols") < 0.03 * n)),
-        "capitals": _vote((letters >= 20) & (f("n_upper") > 0.35 * letters), (letters >= 20) & (f("n_upper") < 0.2 * letters)),
-        "exclaims": _vote(some & (f("n_marks") > 0.25 * n), some & (f("n_marks") < 0.1 * n)),
-        "dup_lines": _vote((lines > 2) & (f("n_dup_lines") > 0.3 * lines), (lines > 2) & (f("n_dup_lines") < 0.15 * lines)),
-        "repeats": _vote(some & (f("n_repeat_words") > 0.35 * n), (n >= 20) & (f("n_repeat_words") < 0.2 * n)),
-        "word_length": _vote(some & ((f("word_chars") < 2 * n) | (f("word_chars") > 14 * n)), some & (f("word_chars") >= 3 * n) & (f("word_chars") <= 10 * n)),
-        "closed_lines": _vote((lines > 0) & (f("n_closed") < 0.2 * lines), (lines > 0) & (f("n_closed") > 0.6 * lines)),
-        "length": _vote(n < 20, n >= 50),
+        "symbols": _vote(f("n_symbols") > 0.1 * n),
+        "capitals": _vote((letters >= 20) & (f("n_upper") > 0.35 * letters)),
+        "exclaims": _vote(some & (f("n_marks") > 0.25 * n)),
+        "dup_lines": _vote((lines > 3) & (f("n_dup_lines") > 0.4 * lines)),
+        "repeats": _vote(some & (f("n_repeat_words") > 0.45 * n)),
+        "word_length": _vote(some & ((f("word_chars") < 2 * n) | (f("word_chars") > 14 * n))),
+        "open_lines": _vote((lines > 3) & (f("n_closed") < 0.3 * lines)),
+        "prose": _vote(F.lit(False), some & prose & (f("n_closed") >= 0.3 * lines)),
     }
 
 
@@ -97,32 +103,40 @@ def pattern(votes: dict[str, Column]) -> Column:
     return code
 
 
-def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, tolerance: float = 1e-9, prior_votes: float = 1.0) -> dict[int, float]:
+def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, tolerance: float = 1e-9, prior: float = 0.02) -> dict[int, float]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation.
 
-    Starts from the majority of the votes. `prior_votes` smooths each rule's table of vote rates.
-    Ties are kept: a pattern without a vote has the prior probability of good.
+    For good and for bad documents it estimates how often each rule votes bad, votes good and
+    abstains. It starts from the votes themselves: a document with a bad vote is bad, at odds of nine
+    to one, any other good. `prior` is the weight, as a share of all documents, of the belief in rules
+    that vote as they should, which holds the two classes in their places where votes are few. A
+    pattern without a vote counts as the share of good documents and the abstentions tell.
     """
     codes = sorted(counts)
     if not codes:
         return {}
     votes = np.array([[c // 3 ** (n_rules - 1 - k) % 3 for k in range(n_rules)] for c in codes])
     n = np.array([counts[c] for c in codes], float)
-    lead = (votes == 2).sum(1) - (votes == 1).sum(1)
-    good = 1 / (1 + np.exp(-1.5 * (lead - 0.5 * np.maximum(1, (votes > 0).sum(1)) + 1)))
+    good = np.where((votes == 1).any(axis=1), 0.1, 0.9)
     hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)
+    # abstains, votes bad, votes good: the fault rules, then the prose rule
+    fault, prose = np.ones((n_rules - 1, 1)), np.ones((1, 1))
+    belief = {
+        "good": np.concatenate([fault * [0.985, 0.01, 0.005], prose * [0.1, 0.005, 0.895]]),
+        "bad": np.concatenate([fault * [0.695, 0.3, 0.005], prose * [0.895, 0.005, 0.1]]),
+    }
+    strength = 1 + prior * n.sum()
     for _ in range(rounds):
-        rates = []
-        for weight in (good * n, (1 - good) * n):
-            t = np.einsum("p,prv->rv", weight, hot) + prior_votes
-            rates.append(t / t.sum(axis=1, keepdims=True))
+        rates = {}
+        for side, weight in (("good", good * n), ("bad", (1 - good) * n)):
+            t = np.einsum("p,prv->rv", weight, hot) + strength * belief[side]
+            rates[side] = t / t.sum(axis=1, keepdims=True)
         share = (good @ n + 1) / (n.sum() + 2)
-        odds = math.log(share / (1 - share)) + np.einsum("prv,rv->p", hot, np.log(rates[0]) - np.log(rates[1]))
+        odds = math.log(share / (1 - share)) + np.einsum("prv,rv->p", hot, np.log(rates["good"]) - np.log(rates["bad"]))
         now = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        if np.abs(now - good).max() < tolerance:
-            good = now
+        moved, good = np.abs(now - good).max(), now
+        if moved < tolerance:
             break
-        good = now
     return dict(zip(codes, good.tolist()))
 
 
@@ -133,16 +147,16 @@ def _posteriors(rows: DataFrame, code: str) -> DataFrame:
     return rows.sparkSession.createDataFrame(sorted(found.items()) or [], "__pattern int, __good double")
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """Rows (id_col, the five counts, base_failed, kept, quality double) for every row of `df`."""
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.1) -> DataFrame:
+    """Rows (id_col, the five counts, base_failed, kept, posterior double) for every row of `df`."""
     rows = per_text(df, text_col, [id_col], _ARROW, _DDL, features)
     rows = written(rows.select(id_col, *FEATURES[:5], base_failed(F.col).alias("base_failed"), pattern(rules(F.col)).alias("__code")), "quality")
     told = rows.join(F.broadcast(_posteriors(rows, "__code")), F.col("__code") == F.col("__pattern"), "left")
     good = F.coalesce("__good", F.lit(0.0))
-    return told.select(id_col, *FEATURES[:5], "base_failed", (~F.col("base_failed") & (good >= keep_at)).alias("kept"), good.alias("quality"))
+    return told.select(id_col, *FEATURES[:5], "base_failed", (~F.col("base_failed") & (good >= keep_at)).alias("kept"), good.alias("posterior"))
 
 
-def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.1) -> DataFrame:
     """The rows of `df` that `judge` keeps, with their columns."""
     bound_batches(df.sparkSession)
     code, failed = free_name(df, "__code"), free_name(df, "__failed")

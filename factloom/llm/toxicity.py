@@ -75,7 +75,7 @@ class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    curve: tuple[float, float, float] = (-4.0, 1.5, 1.0)
+    curve: tuple[float, float, float, float] = (-4.0, 3.0, 1.0, 0.5)
 
     def key(self) -> tuple:
         return tuple(sorted(self.words.items())), tuple(sorted(self.starts.items())), self.exceptions
@@ -119,19 +119,19 @@ def hits(text: str, key: tuple) -> list[tuple[int, int, float]]:
     return [h for h in found if not any(p <= h[0] and h[1] <= q for p, q in away)] if away else found
 
 
-def signs(text: str, key: tuple) -> tuple[float, float]:
-    """The sum of the hits' weights, damped, and their density by length."""
+def signs(text: str, key: tuple) -> tuple[float, float, float]:
+    """Whether anything counts, the sum of the hits' weights, damped, and their density by length."""
     text = visible(text)
     total = sum(h[2] for h in hits(text, key))
     if not total:
-        return 0.0, 0.0
-    return math.log1p(total), math.log1p(100 * total / max(20, len(text.split())))
+        return 0.0, 0.0, 0.0
+    return 1.0, math.log1p(total), math.log1p(100 * total / max(20, len(text.split())))
 
 
 def score(text: str, lexicon: Lexicon, key: tuple) -> float:
-    a, b = signs(text, key)
-    c0, c1, c2 = lexicon.curve
-    return 1 / (1 + math.exp(-max(-50.0, min(50.0, c0 + c1 * a + c2 * b))))
+    c0, *slopes = lexicon.curve
+    z = c0 + sum(c * x for c, x in zip(slopes, signs(text, key)))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 def held_out(id_col: Column) -> Column:
@@ -149,20 +149,21 @@ def _candidates(texts: Iterable[tuple[str, int]], starts: tuple[int, ...]) -> Co
     return df
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[float, float, float]:
+def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> tuple[float, ...]:
     """Logistic regression by Newton's method; slopes are kept from going below zero."""
     z = np.column_stack([np.ones(len(x)), x])
-    w = np.array([-2.0, 1.0, 0.0])
+    w = np.array([-2.0] + [0.5] * x.shape[1])
+    free = np.array([0.0] + [1.0] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + l2 * len(y) * w * [0, 1, 1]
-        hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + l2 * len(y) * np.diag([1e-6, 1, 1])
+        grad = z.T @ (p - y) + l2 * len(y) * w * free
+        hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + l2 * len(y) * np.diag(free + 1e-6)
         step = np.linalg.solve(hess, grad)
         w = w - step
         w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return tuple(float(v) for v in w)
 
 
 def learn(
@@ -224,10 +225,10 @@ def learn(
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [signs(t or "", key) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s], pa.float64()), pa.array([x[1] for x in s], pa.float64()), b.column(1)], names=["a", "b", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s], pa.float64()), pa.array([x[1] for x in s], pa.float64()), pa.array([x[2] for x in s], pa.float64()), b.column(1)], names=["any", "sum", "density", "y"])
 
-    got = np.array(train.mapInArrow(seen, "a double, b double, y int").collect(), float)  # at most max_train rows
-    return Lexicon(words, begins, tuple(exceptions), _fit_curve(got[:, :2], got[:, 2]))
+    got = np.array(train.mapInArrow(seen, "any double, sum double, density double, y int").collect(), float)  # at most max_train rows
+    return Lexicon(words, begins, tuple(exceptions), _fit_curve(got[:, :3], got[:, 3]))
 
 
 def scored(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
