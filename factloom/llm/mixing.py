@@ -155,6 +155,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of `df` that the mix takes, each as often as it is taken, with their columns."""
     name = free_name(df, "__row")
     rows = written(df.withColumn(name, F.monotonically_increasing_id()), "mix_docs")
-    taken = plan(rows, id_col, text_col, source_col, row_col=name, **how).where(F.col("copies") > 0).select(F.col("row").alias("__taken"), F.col("copies").alias("__copies"))
-    out = rows.join(taken, F.col(name) == F.col("__taken")).drop(name, "__taken")
-    return out.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).drop("__copies")
+    key, times = free_name(rows, "__taken"), free_name(rows, "__times")
+    taken = plan(rows, id_col, text_col, source_col, row_col=name, **how).where(F.col("copies") > 0).select(F.col("row").alias(key), F.col("copies").cast("int").alias(times))
+    out = rows.join(taken, F.col(name) == F.col(key)).drop(name, key)
+    return out.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.col(times)))).drop(times)

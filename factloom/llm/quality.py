@@ -170,5 +170,6 @@ def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.1) -> Da
     rows = df.withColumn(got, counts(F.col(text_col)))
     of = lambda name: F.col(f"{got}.{name}")
     rows = written(rows.withColumn(code, pattern(rules(of))).withColumn(failed, base_failed(of)).drop(got), "quality_docs")
-    good = _posteriors(rows, code).where(F.col("__good") >= keep_at)
-    return rows.where(~F.col(failed)).join(F.broadcast(good), F.col(code) == F.col("__pattern"), "left_semi").drop(code, failed)
+    name = free_name(rows, "__pattern")
+    good = _posteriors(rows, code).where(F.col("__good") >= keep_at).select(F.col("__pattern").alias(name))
+    return rows.where(~F.col(failed)).join(F.broadcast(good), F.col(code) == F.col(name), "left_semi").drop(code, failed)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Forest, chunked, components, per_text, written
+from factloom.llm.common import Forest, chunked, components, free_name, per_text, written
 
 #: Shingle hashes that are unpacked to bits at once.
 _SLAB = 65536
@@ -114,6 +114,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     Rows without an id can't be named by a group and all stay.
     """
     found = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, **how)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    one = df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    name = free_name(df, "__kept")
+    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    one = df.join(kept, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
     return one.unionByName(df.where(F.col(id_col).isNull()))

@@ -1,0 +1,472 @@
+"""Each operator against a brute-force version, and its edge cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from factloom.llm import bytebpe, chat, embedding, mixing, quality, queries, simhash, tokencounts, tokenfiles, toxicity, urls
+from factloom.llm.common import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, component_id string, fp string, row string, id string"
+
+
+def docs(spark, rows):
+    """Rows (doc_id, text, source) with further columns whose names operators use for their own."""
+    return spark.createDataFrame([(i, t, "en", s, None, 0.5, "x", "y", "z", None, "q") for i, t, s in rows], DOCS)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7))) for _ in range(n)) + "."
+
+
+EDGES = [(1, None, "a"), (2, "", "a"), (3, " \t\n", None), (4, "one", None), (5, "one two", "b"), (5, "one two", "b"), (None, "null id here", "b"), (7, "wörd " * 30000, "a"), (8, "\x00\x01     x", "")]
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000, 2001), (2001, 2002), (2002, 2000), (3000, 3000)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 1 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(50))
+    assert got[2002] == 2000 and 3000 not in got
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# --- 1 ----------------------------------------------------------------------------------------------
+
+
+def test_fold_keeps_places():
+    for t in ["Idi0t", "IDІOT", "могon", "İstanbul ß ﬁ", "ＬＯＳＥＲ", "$tup1d"]:
+        assert len(toxicity.fold(t)) == len(t)
+    assert toxicity.fold("Idi0t") == "idiot" and toxicity.fold("$tup1d") == "stupid" and toxicity.fold("ＬＯＳＥＲ") == "loser"
+    assert toxicity.fold("іdіоt") == "idiot"
+
+
+def test_hits_at_word_bounds_with_exceptions():
+    lex = toxicity.Lexicon({"clown": 2.0, "idiot": 3.0}, {"lowei": 4.0}, ("clown fish",))
+    found = lambda t: [(a, b) for a, b, _ in toxicity.hits(t, lex.key())]
+    assert found("an idiot!") == [(3, 8)] and found("idiots idiotic 1d1ot") == [(15, 20)]
+    assert found("clown fish and clown") == [(15, 20)]
+    assert found("Loweiment, xlowei") == [(0, 5)]
+    assert found("idiot$$$ [idiot]") == [(0, 5), (10, 15)]
+    assert toxicity.score("i​diot", lex, lex.key()) > toxicity.score("", lex, lex.key())
+    assert toxicity.hits("", toxicity.Lexicon().key()) == []
+
+
+def test_toxicity_learns_from_allowed_rows_only(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = prose(rng, 60)
+        if bad:
+            text += " blarghish " + prose(rng, 5)
+        # rows held out carry lies: they must not count
+        held = zlib.crc32(str(i).encode()) % 3 == 1
+        rows.append((i, text, "s"))
+        labels.append((i, 1, int(bad) if not held else int(not bad)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    d = docs(spark, rows + [(9000, None, None), (9001, "", None)])
+    lex = toxicity.learn(d, lab)
+    assert "blarghish" in lex.words or any("blarghish".startswith(b) for b in lex.starts)
+    got = {r.doc_id: r.score for r in toxicity.scored(d, lex).collect()}
+    assert all((got[i] >= 0.7) == (i % 4 == 0) for i in range(400))
+    assert 0 <= got[9000] == got[9001] < 0.7
+    kept = toxicity.drop_toxic(d, lex)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4} | {9000, 9001}
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    lex = toxicity.learn(docs(spark, EDGES), none)
+    assert set(lex.words) >= {"idiot"} and toxicity.scored(docs(spark, EDGES), lex).count() == len(EDGES)
+    assert toxicity.scored(docs(spark, []), lex).count() == 0
+
+
+# --- 2 ----------------------------------------------------------------------------------------------
+
+
+def links_of(rows, threshold=0.98):
+    ok = [(i, np.array(v, float), l) for i, v, l in rows if i is not None and l is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    n, up = Counter(), {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a in range(len(ok)):
+        for b in range(a + 1, len(ok)):
+            (i, x, l), (j, y, m) = ok[a], ok[b]
+            if l == m and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= threshold:
+                n[i] += 1
+                n[j] += 1
+                p, q = sorted((find(i), find(j)))
+                up[q] = p
+    return n, find
+
+
+@pytest.mark.parametrize("chunk", [512, 8])
+def test_embedding_links_are_all_found(spark, chunk):
+    rng = np.random.default_rng(5)
+    rows, k = [], 0
+    for label in (0, 1, None):
+        for _ in range(12):
+            c = rng.standard_normal(64)
+            for _ in range(rng.integers(1, 12)):
+                v = c + rng.standard_normal(64) * np.linalg.norm(c) * rng.choice([0.01, 0.02, 0.03])
+                rows.append((k, [float(np.float32(x)) for x in v * rng.choice([1.0, 1000.0])], label))
+                k += 1
+    rows += [(k, rows[0][1], 0), (k + 1, rows[0][1], 0), (k + 2, None, 0), (k + 3, [0.0] * 64, 0), (k + 4, [float("nan")] * 64, 0), (k + 5, [None] + [1.0] * 63, 1), (k + 6, [float("inf")] * 64, 1), (k + 7, [], 0), (None, rows[1][1], 0)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, kept string, n_links int")
+    n, find = links_of(rows)
+    got = embedding.near_duplicates(df, chunk_rows=chunk).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.vec_id is None:
+            assert r.n_links == 0 and r.component_id is None and not r.kept
+        else:
+            assert (r.vec_id, r.n_links, r.component_id) == (r.vec_id, n[r.vec_id], find(r.vec_id)) and r.kept == (r.vec_id == r.component_id)
+    assert sum(n.values()) > 200
+
+
+def test_embedding_of_no_rows(spark):
+    assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_pigeonhole_grid_reaches_every_close_block():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 16))
+    y = embedding._coordinates(x, 7)
+    u = embedding._unit(x)
+    assert np.allclose(y @ y.T, u @ u.T) and np.array_equal(embedding._coordinates(x[5:6], 7)[0], y[5])
+
+
+# --- 3 ----------------------------------------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    rows = [
+        (1, 0, "system", "be [INST]good[/INST]"), (1, 1, "user", "hi\\</s>"), (1, 2, "assistant", "a[\\INST]\n"), (1, 4, "assistant", ""), (1, 3, "user", None), (1, 5, "user", "[[INST]"),
+        (2, 0, "assistant", "[INST" + "]"), (3, 0, None, "x"), (3, 0, "user", "tie"), (4, None, "user", "<</s>"), (None, 0, "assistant", "no id"), (5, 1, "ro[/INST]le", "$1 \\1 ü€😀"), (5, 2, "assistant", "😀" * 5000),
+    ]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
+    made = chat.examples(df)
+    got = {r.conv_id: r for r in chat.digests(made).collect()}
+    convs = {}
+    for r in sorted(rows, key=lambda r: ((r[1] is not None, r[1] or 0), r[2] or "", r[3] or "")):
+        convs.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].n_turns == len(turns) and got[c].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in turns))
+        assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == sha(loss)
+    replies = made.where("loss_start IS NOT NULL").count()
+    assert replies == sum(r[2] == "assistant" for r in rows)
+    # no control string but the template's own
+    for r in made.collect():
+        assert r.formatted.count("[INST]") == r.formatted.count("[/INST]") == r.formatted.count("</s>")
+    assert chat.digests(chat.examples(df.where("false"))).count() == 0
+
+
+# --- 4 ----------------------------------------------------------------------------------------------
+
+
+def base_counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    often, covered = Counter(zip(w, w[1:], w[2:])), set()
+    for i in range(len(w) - 2):
+        if often[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab#\n \t\x0b é\x1c", max_size=80))
+def test_quality_features_by_brute_force(text):
+    assert quality.features(text)[:5] == base_counts(text)
+
+
+def test_quality_keeps_prose_and_drops_junk(spark):
+    rng = random.Random(4)
+    good = [(1000 + i, ".\n".join(prose(rng, 20) for _ in range(5)), "s") for i in range(60)]
+    junk = [(100 + i, " ".join(w + "***" for w in prose(rng, 80).split()), "s") for i in range(8)]
+    d = docs(spark, good + junk + EDGES)
+    got = {r.doc_id: r for r in quality.judge(d).collect()}
+    for i, t, _ in good + junk + EDGES:
+        r = got[i]
+        n = base_counts(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r.kept and r.base_failed)
+    assert all(got[i].kept for i, *_ in good) and not any(got[i].kept for i, *_ in junk)
+    kept = quality.keep_good(d)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept)
+    assert quality.judge(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
+
+
+def test_em_pattern_without_votes_has_a_posterior():
+    assert quality.fit({}, 8) == {}
+    assert 0 < quality.fit({0: 5}, 8)[0] < 1
+
+
+# --- 5 ----------------------------------------------------------------------------------------------
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="aÀßéi̇́ .,!'st\n\t \x1cİΣσ0९|<>", max_size=60)))
+def test_words_encode_as_the_whole_text(text):
+    assert tokenfiles.encoder(tokenfiles.default_tokenizer()).encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files(spark, tmp_path):
+    rows = EDGES[:6] + EDGES[7:] + [(-3, "It's <|endoftext|> here, don't", "a"), (30, prose(random.Random(1), 500), "a")]
+    d = docs(spark, rows).repartition(3)
+    got = tokenfiles.write_and_read(d).orderBy("start").collect()
+    start = 0
+    for r, (i, t) in zip(got, sorted(((i, t or "") for i, t, _ in rows), key=lambda r: r[0])):
+        ids = TOKENIZER.encode(t, add_special_tokens=False).ids + [2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(got) == len(rows)
+    path = str(tmp_path / "tokens")
+    tokenfiles.write(d, path, files=2)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = sorted(glob.glob(f"{path}/part-*"))
+    ids = [pq.read_table(f, columns=["id"])["id"].to_pylist() for f in files]
+    assert sum(ids, []) == sorted(r[0] for r in rows)
+    column = pq.ParquetFile(files[-1]).metadata.row_group(0).column(4)
+    assert "DICTIONARY" in str(column.encodings) and column.has_offset_index
+    assert tokenfiles.write_and_read(docs(spark, [])).count() == 0
+
+
+# --- 6 ----------------------------------------------------------------------------------------------
+
+
+def judged_by_hand(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(len(h) + len(p), len(h), v == "allow", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[3], best[4] if best else "allow"
+
+
+def test_urls_by_brute_force(spark):
+    rng = random.Random(9)
+    hosts = ["com", "example.com", "a.example.com", "notexample.com", "EXAMPLE.net", "x.y.example.net", "org", "", "..", "é.org", "com.", "a.com:80"]
+    paths = ["", "/", "/en/", "/en/7", "/en/71", "/EN/7", "/de/8x?q=/en/", "/es/#/de/", "?/en/7", "#/en/7", "/de"]
+    urls_ = [rng.choice(["http://", "https://", "x:", "://"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)]
+    urls_ += [None, "", "nothing", "http://"] + ["http://example.com/en/7"] * 100
+    df = spark.createDataFrame([(i, u, 1, "x") for i, u in enumerate(urls_)], "page_id long, url string, host int, verdict string")
+    rules = urls.RULES + [("block", "example.com", "/en/71"), ("allow", "y.example.net", ""), ("block", "notexample.com", "/")]
+    for given_rules in (urls.RULES, rules, []):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(df, given_rules).collect()}
+        assert got == {i: judged_by_hand(u, given_rules) for i, u in enumerate(urls_)}
+    assert urls.judged(df.where("false")).count() == 0
+
+
+# --- 7 ----------------------------------------------------------------------------------------------
+
+
+def level(sizes, weights, most=3.0):
+    total, target, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        rest = total - sum(target[i] for i in range(len(sizes)) if i not in free)
+        share = {i: rest * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = {i for i in free if share[i] > most * sizes[i]}
+        for i in over or free:
+            target[i] = most * sizes[i] if over else share[i]
+        free = free - over if over else set()
+    return target
+
+
+def test_flight_keeps_totals():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        size = rng.integers(1, 50, 200)
+        p = mixing.flight(np.full(200, rng.random()), size, rng) if _ else mixing.flight(np.zeros(200), size, rng)
+        q = rng.random(200)
+        r = mixing.flight(q, size, rng)
+        assert ((r > 0) & (r < 1)).sum() <= 2 and abs(r.sum() - q.sum()) < 1e-6 and abs((r * size).sum() - (q * size).sum()) < 1e-4
+        assert p.min() >= 0 and p.max() <= 1
+
+
+def test_mixing(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 40)), f"s{rng.choice([0, 0, 0, 1, 2, 3, 4])}" if rng.random() > 0.1 else None) for i in range(1500)] + [(5000, None, "s0"), (5001, "", "empty"), (5002, "one", "tiny")]
+    d = docs(spark, rows)
+    plan = mixing.plan(d, chunk=64).collect()
+    again = mixing.plan(d.repartition(7), chunk=64).collect()
+    assert sorted((r.id, r.copies) for r in plan) == sorted((r.id, r.copies) for r in again)
+    sources = sorted({r[2] for r in rows if r[2] is not None}) + [None]
+    sizes = [sum(len(WORD.findall(t or "")) for _, t, s in rows if s == x) for x in sources]
+    want = dict(zip(sources, level(sizes, [(5, 2, 1)[i % 3] for i in range(len(sources))])))
+    for x, n in zip(sources, sizes):
+        mine = [r for r in plan if r.source == x]
+        assert all(r.source_size == n and r.target == pytest.approx(want[x]) for r in mine)
+        assert all(0 <= r.copies <= 3 for r in mine)
+        assert abs(sum(r.size * r.copies for r in mine) - want[x]) <= max(40, 0.02 * want[x])
+    out = mixing.mixed(d)
+    assert out.columns == d.columns and out.where("doc_id = 5002").count() <= 3
+    assert mixing.plan(docs(spark, [])).count() == 0 and mixing.mixed(docs(spark, [])).count() == 0
+
+
+# --- 8 ----------------------------------------------------------------------------------------------
+
+
+def simhash_by_hand(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aAbÉé \t\n .", max_size=60))
+def test_simhash_by_brute_force(text):
+    assert simhash.fingerprint(text) % 2**64 == simhash_by_hand(text)
+
+
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_simhash_links_by_brute_force(spark, chunk):
+    rng = random.Random(7)
+    prints = [0, 0xFFFFFFFFFFFFFFFF]
+    for _ in range(15):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 15)):
+            y = x
+            for b in rng.sample(range(64), rng.randint(0, 4)):
+                y ^= 1 << b
+            prints.append(y)
+    prints = sorted(set(prints))
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame(list(enumerate(signed)), "rep long, fp long"), chunk_rows=chunk)
+    got = {r.node: r.component for r in components(edges).collect()}
+    up = list(range(len(prints)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                p, q = sorted((find(i), find(j)))
+                up[q] = p
+    assert {i: got.get(i, i) for i in range(len(prints))} == {i: find(i) for i in range(len(prints))}
+
+
+def test_simhash_documents(spark):
+    rng = random.Random(8)
+    base = prose(rng, 300)
+    rows = EDGES + [(20, base, "a"), (21, base.upper(), "a"), (22, base + " end", "b"), (23, prose(rng, 300), "b")]
+    d = docs(spark, rows)
+    got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(d).collect()}
+    assert all(got[i][0] == simhash_by_hand(t) for i, t, _ in rows)
+    assert got[1][1] == got[2][1] == got[3][1] == 1 and got[21][1] == 20 and got[23][1] == 23
+    kept = simhash.keep_one(d)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == d.columns and len(ids) == len(set(ids)) and {1, 4, 20, 23, None} <= set(ids) and not {2, 3, 21} & set(ids)
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
+
+
+# --- 9 ----------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab 1\n\t'é 日😀.s"), max_size=120), st.integers(1, 10))
+def test_pieces_encode_as_the_whole(text, size):
+    path, pattern = bytebpe.default_ranks(), public_tokenizers.PATTERN
+    whole = bytebpe.encoding(path, pattern).encode_ordinary(text)
+    ids = bytebpe.encode(text, path, pattern, size)
+    assert ids.tolist() == whole and bytebpe.decode(ids, path, pattern).decode() == text
+    assert "".join(bytebpe.pieces(text, size)) == text
+
+
+def test_byte_bpe_query_columns(spark):
+    d = docs(spark, EDGES)
+    got = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bytebpe.round_trips(d).collect()}
+    enc = bytebpe.encoding(bytebpe.default_ranks(), public_tokenizers.PATTERN)
+    assert got == {(i, len(enc.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in EDGES}
+    ids = {r.doc_id: r.ids for r in bytebpe.encoded(d).collect()}
+    assert ids[5] == enc.encode_ordinary("one two") and ids[1] == []
+    assert bytebpe.round_trips(docs(spark, [])).count() == 0
+
+
+# --- 10 ---------------------------------------------------------------------------------------------
+
+
+def test_token_rollup(spark, tmp_path):
+    schema = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long, seq int, batch string"
+    batch = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], schema)
+    r = tokencounts.TokenRollup(spark, str(tmp_path / "r"))
+    assert r.totals().count() == 0
+    one = batch((1, "t", "insert", "a", "en", 10, 0), (2, "t", "insert", "a", None, 5, 0), (2, "t", "insert", "a", None, 5, 0), (3, "t", "insert", None, "en", None, 0), (None, "t", "insert", "a", "en", 7, 0), (1, "u", "insert", "a", "en", 1, 0))
+    assert r.apply(1, one) and not r.apply(1, one)
+    assert r.apply(2, batch((1, "t", "revise", "b", "en", 12, 1), (1, "t", "revise", "b", "en", 99, 0), (2, "t", "delete", None, None, 0, 0), (9, "t", "delete", "a", "en", 4, 0), (4, "t", "revise", "a", "en", 3, 0)))
+    got = {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
+    assert got == {("b", "en", "t"): (1, 12), (None, "en", "t"): (1, 0), ("a", "en", "t"): (1, 3), ("a", "en", "u"): (1, 1)}
+    assert r.apply(3, batch()) and not r.apply(2, one)
+    # a writer lost before its commit file names the data leaves nothing behind
+    open(tmp_path / "r/commits/4", "wb").close()
+    assert 4 not in r.commits() and r.apply(4, batch((2, "t", "insert", "a", "en", 2, 0)))
+    again = tokencounts.TokenRollup(spark, str(tmp_path / "r"))
+    assert {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in again.totals().collect()}[("a", "en", "t")] == (2, 5)
+
+
+# --- all --------------------------------------------------------------------------------------------
+
+
+def test_every_operator_has_one_query():
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages_hand_on_documents(spark, sf):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    names = d.columns
+    for name, stage in p.STAGES:
+        out = stage(spark, d, sf)
+        if name != p.STAGES[-1][0]:
+            assert out.columns == names
+            before = d.count()
+            d = spark.read.schema(out.schema).parquet(_put(out))
+            assert name == "mixing" or 0 < d.count() <= before
+        else:
+            assert out.count() == d.count()
+
+
+def _put(df):
+    from factloom.llm.common import scratch_path
+
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return path
