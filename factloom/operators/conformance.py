@@ -36,7 +36,7 @@ def layout(expected: DataFrame, observed: DataFrame, ignore: list[str] | None =
             out = out | F.col("path").rlike(glob_regex(g))
         seen = observed.where(~out).unionByName(observed.where(out).join(declared, "path", "left_semi"))
     found = compare(expected, seen, "path", "kind").withColumn("code", F.when(F.col("code") == "undeclared", "additional").otherwise(F.col("code")))
-    parent = F.element_at(ancestors(F.col("path"), False), -1)
+    parent = F.try_element_at(ancestors(F.col("path"), False), F.lit(-1))
     bad = found.where("code IN ('missing', 'mismatch')").select(F.col("path").alias("__bad"))
     up = found.withColumn("__up", F.explode_outer(ancestors(F.col("path"), False)))
     lost = up.join(bad, F.col("__up") == F.col("__bad"), "left_semi").select(F.col("path").alias("__lost")).distinct()

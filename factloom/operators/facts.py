@@ -119,9 +119,10 @@ def export(facts: DataFrame, f: FactFilter, key: str = "fact_id") -> DataFrame:
 
 def merged(base: DataFrame, staged: DataFrame, key: str = "fact_id") -> DataFrame:
     """Both tables' facts; fails, when it runs, on an id that both have."""
-    both = base.withColumn("__side", F.lit(0)).unionByName(staged.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    clash = both.groupBy(key).agg(F.count_distinct("__side").alias("n")).where("n > 1").select(F.raise_error(F.concat(F.lit("a staged fact has the id of a base fact: "), F.col(key).cast("string"))).cast("string").alias("e"))
-    return base.unionByName(staged, allowMissingColumns=True).join(clash, F.col(key).cast("string") == F.col("e"), "left_anti")
+    taken = base.select(F.col(key).alias("__base")).distinct()
+    clash = F.raise_error(F.concat(F.lit("a staged fact has the id of a base fact: "), F.col(key).cast("string"))).cast("boolean")
+    new = staged.join(taken, F.col(key) == F.col("__base"), "left").where(F.when(F.col("__base").isNull(), True).otherwise(clash)).drop("__base")
+    return base.unionByName(new, allowMissingColumns=True)
 
 
 def nested_evidence(facts: DataFrame, evidence: DataFrame, key: str, ordinal: str, columns: list[str]) -> DataFrame:

@@ -14,11 +14,12 @@ MAX_SOURCE_BYTES = 16 << 20
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(path, bytes, digest, content, body) of the regular files below `root`, without .git; content is
-    text where the bytes are UTF-8."""
+    text where the bytes are UTF-8. Spark's file sources skip files without a byte, so these are left out."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    full = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^[a-z][a-z0-9+.-]*:/*", "/")
-    path = F.substr(full, F.lit(len(base) - len(base.split("://", 1)[0]) - 1 if "://" in base else len(base) + 2))
+    inner = (base.split(":", 1)[1] if ":" in base.split("/", 1)[0] else base).strip("/")
+    # what follows the root in a full name, whatever scheme stands before it
+    path = F.substr(F.col("path"), F.locate(f"/{inner}/", F.col("path")) + len(inner) + 2)
     rows = files.select(path.alias("path"), F.col("length").alias("bytes"), F.col("content").alias("body")).where(~F.col("path").startswith(".git/"))
     rows = rows.where(path_in_scope(F.col("path"), include, exclude))
     text = F.try_validate_utf8(F.col("body").cast("string")).isNotNull() | (F.length("body") == 0)
