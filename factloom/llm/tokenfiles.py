@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer
 
 from factloom.llm.common import bound_batches, numbered_total, scratch_path
 
-#: Words remembered by a worker.
+#: Words of each of the two generations that a worker remembers.
 CACHE = 300_000
 #: Letters of one code point that NFC leaves alone and whose lower case is one such letter, then marks.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
@@ -45,48 +46,53 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-class WordEncoder:
-    """Encodes texts word by word."""
+class WordEncoder(dict):
+    """Word -> its ids as little-endian 32-bit integers; words not met yet are encoded.
 
-    def __init__(self, path: str) -> None:
+    Two generations of up to `cache` words are kept: a full one becomes the old one, and words of the
+    old one that come again move to the new one.
+    """
+
+    def __init__(self, path: str, cache: int = CACHE) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def _part(self, piece: str) -> list[int]:
-        got = self.parts.get(piece)
-        if got is None:
-            text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = [t.id for t in self.model.tokenize(text)]
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[piece] = got
-        return got
-
-    def _word(self, word: str) -> list[int]:
-        m = _PLAIN.fullmatch(word)
-        if m is None:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        letters, marks = m.groups()
-        return self._part(letters.lower()) + self._part(marks) if marks else self._part(letters.lower())
-
-    def encode(self, text: str) -> list[int]:
+        self.cache, self.old = cache, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        if len(word) <= 40:
+            if len(self) >= self.cache:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _encode(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if word.isascii() and word.isalpha():
+            letters, marks = word, ""
+        elif m := _PLAIN.fullmatch(word):
+            letters, marks = m.groups()
+        else:
+            return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        low = letters.lower()
+        if marks:
+            return self[low] + self[marks]
+        return self[low] if low != word else self._merge(word)
+
+    def _merge(self, piece: str) -> bytes:
+        """The library's merges of one piece that needs no more splitting."""
+        text = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("i", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
         """The ids that the library gives for the whole text without special tokens."""
-        words, out = self.words, []
-        get = words.get
-        for w in text.replace("\n", " ").split(" "):
-            if w:
-                ids = get(w)
-                if ids is None:
-                    ids = self._word(w)
-                    if len(w) <= 40:
-                        if len(words) >= CACHE:
-                            words.clear()
-                        words[w] = ids
-                out += ids
-        return out
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -109,15 +115,12 @@ def write(
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, at, part = encoder(model), 0, TaskContext.get().partitionId()
+        enc, at, part, end = encoder(model), 0, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         for b in batches:
             ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
-            sizes = np.array([len(x) + 1 for x in ids], np.int64)
+            sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
             ends = np.cumsum(sizes)
-            flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-            for x, e in zip(ids, ends):
-                flat[e - 1 - len(x) : e - 1] = x
-                flat[e - 1] = end_id
+            flat = np.frombuffer(end.join([*ids, b""]), "<i4")
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ids), part, np.int32)), b.column(0), pa.array(at + ends - sizes), pa.array(sizes), tokens],
@@ -139,32 +142,39 @@ SCHEMA = "file int, id long, at long, n_tokens long, tokens array<int>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows (id, start, n_tokens, tokens); `start` counts the tokens of all files before.
+    """The files' rows (file, id, at, n_tokens, tokens). Reading no tokens reads none of their pages."""
+    return spark.read.schema(SCHEMA).parquet(path)
 
-    Reading no tokens reads none of their pages.
-    """
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    before = numbered_total(rows.groupBy("file").agg(F.sum("n_tokens").alias("n")), "file", "n", "base").select(F.col("file").alias("__file"), "base")
-    return rows.join(before, F.col("file") == F.col("__file")).select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "tokens")
 
+def started(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`rows` with `start`, the tokens of all documents before, in place of file and at; `files`: the
+    rows of all files, of which two narrow columns are read."""
+    before = numbered_total(files.groupBy("file").agg(F.sum("n_tokens").alias("n")), "file", "n", "base").select(F.col("file").alias("__file"), "base")
+    met = rows.join(before, F.col("file") == F.col("__file"))
+    return met.select("id", (F.col("base") + F.col("at")).alias("start"), *[c for c in rows.columns if c not in ("id", "file", "at")])
 
-def digests(df: DataFrame) -> DataFrame:
-    """Rows (id, start, n_tokens, ids_crc32) of what `read` gives."""
+
+def digests(rows: DataFrame) -> DataFrame:
+    """Rows (file, id, at, n_tokens, ids_crc32) of token rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens = b.column(3)
             at = tokens.offsets.to_numpy()
             flat = tokens.values.to_numpy(False).astype("<u4", copy=False)
-            crc = [zlib.crc32(flat[p:q].tobytes()) for p, q in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(flat[p:q]) for p, q in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "id", "at", "n_tokens", "ids_crc32"])
 
-    bound_batches(df.sparkSession)
-    return df.select("id", "start", "n_tokens", "tokens").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    bound_batches(rows.sparkSession)
+    return rows.select("file", "id", "at", "tokens").mapInArrow(run, "file int, id long, at long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Writes token files of `df` in the shared folder and reads their digests."""
+    """Writes token files of `df` in the shared folder and reads their digests.
+
+    Ids are digested before the files' offsets are joined, so the join moves no ids.
+    """
     path = scratch_path(df.sparkSession, "tokens")
     write(df, path, id_col, text_col, tokenizer, end_id)
-    return digests(read(df.sparkSession, path)).withColumnRenamed("id", id_col)
+    rows = read(df.sparkSession, path)
+    return started(digests(rows), rows).withColumnRenamed("id", id_col)
