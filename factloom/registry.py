@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factloom.functions import classify, lines
 from factloom.functions.identity import derive_id
 from factloom.functions.text import normalized, parse_query
-from factloom.operators import body, completeness, conformance, diffs, facts, graph, ownership, search, states, statistics
+from factloom.operators import body, completeness, conformance, diffs, facts, graph, incremental, modules, ownership, search, states, statistics
 from factloom.operators.facts import FactFilter
 from factloom.sources.tables import Rounds
 from factloom.streaming import changes
@@ -655,3 +655,50 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k
 def burst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events").select("user_id", "ts")
     return changes.bursts(e, "user_id", "ts", "6 hours").select("user_id", "start", "n")
+
+
+# --- incremental views and modules ------------------------------------------------------------------
+
+
+@query(f"""
+WITH RECURSIVE {_TREE}, ch AS (SELECT p_partkey AS node, p_size % 2 = 0 AS public FROM part WHERE p_size >= 45 AND p_type = 'PROMO'),
+c(node) AS (SELECT node FROM ch WHERE public UNION SELECT t.src FROM c JOIN t ON t.dst = c.node)
+SELECT node AS source, 'changed' AS reason FROM ch UNION ALL SELECT node, 'importer' FROM c WHERE node NOT IN (SELECT node FROM ch)
+""")
+def affected_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    tree = part.where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    # an even size stands for a change of the declared shape
+    shapes = part.select(F.col("p_partkey").alias("source"), F.col("p_name").alias("before"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("after"))
+    changed = part.where("p_size >= 45 AND p_type = 'PROMO'").select(F.col("p_partkey").alias("source"))
+    return incremental.affected(shapes, tree, changed)
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS module, l_partkey::VARCHAR AS name, l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 25 AS fit FROM lineitem),
+p AS (SELECT module, count(*) FILTER (fit) AS n, min(name) FILTER (fit) AS port FROM e GROUP BY module), s AS (SELECT port, count(*) AS same FROM p WHERE n = 1 GROUP BY port)
+SELECT module, CASE WHEN n = 1 THEN p.port END AS port, CASE WHEN n = 0 THEN 'PORT_MISSING' WHEN n > 1 THEN 'PORT_AMBIGUOUS' WHEN same > 1 THEN 'PORT_NAME_REPEATED' END AS code FROM p LEFT JOIN s ON s.port = p.port AND n = 1
+""")
+def port_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _t(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "interface").otherwise("const")
+    local = (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 25)
+    return modules.ports(items.select(F.col("l_orderkey").alias("module"), F.col("l_partkey").cast("string").alias("name"), kind.alias("kind"), local.alias("local")))
+
+
+@query(f"""
+WITH p AS (SELECT page_id AS spec, {_PATH} AS path FROM pages), r(root) AS (VALUES ('en'), ('fr'), ('en/7'), ('es/12')),
+m AS (SELECT spec, count(root) AS n, min(root) AS root FROM p LEFT JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY spec)
+SELECT spec, CASE WHEN n = 1 THEN root END AS root, CASE WHEN n = 0 THEN 'BOUNDARY_MISSING' WHEN n > 1 THEN 'BOUNDARY_AMBIGUOUS' END AS code FROM m
+""")
+def boundary_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.createDataFrame([("en",), ("fr",), ("en/7",), ("es/12",)], "root string")
+    return modules.boundaries(_page_paths(_t(spark, sf_dir, "pages")).withColumnRenamed("page_id", "spec"), roots)
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT regexp_extract({_PATH}, '^(.*)/[^/]*$', 1) AS directory, regexp_extract({_PATH}, '([^/]*)$', 1) AS name FROM pages)
+SELECT directory, sha256(string_agg(name, chr(10) ORDER BY name)) AS fingerprint FROM p GROUP BY directory
+""")
+def topology_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.topology_fingerprint(_page_paths(_t(spark, sf_dir, "pages")))
