@@ -7,7 +7,7 @@ import datetime as dt
 import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Domain that separates our ids from other uses of the hash.
@@ -136,3 +136,16 @@ def ancestors(path: Column, itself: bool = True) -> Column:
     segments = F.split(path, "/")
     upto = F.size(segments) if itself else F.size(segments) - 1
     return F.when(upto >= 1, F.transform(F.sequence(F.lit(1), upto), lambda n: F.array_join(F.slice(segments, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def set_digest(rows: DataFrame, line: Column, out: str = "digest") -> DataFrame:
+    """One row (out): a digest over the lines of all rows, whatever their order.
+
+    Lines are hashed, and hashes of one beginning are sorted and hashed together, in levels of 4, 2 and
+    0 letters, so no task holds more than its share of a large table.
+    """
+    level = rows.select(F.sha2(line, 256).alias("h"))
+    for letters in (4, 2, 0):
+        key = F.substring("h", 1, letters) if letters else F.lit("")
+        level = level.groupBy(key.alias("k")).agg(F.concat("k", F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256)).alias("h")).select("h")
+    return level.select(F.col("h").alias(out))

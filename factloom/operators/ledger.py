@@ -8,6 +8,7 @@ One writer for each universe; a commit that names another base than the current
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.identity import set_digest
 from factloom.operators.diffs import manifest_changes
 from factloom.operators.facts import SCHEMA as FACTS
 
@@ -155,7 +157,8 @@ class Ledger:
             fresh = fresh.join(self.shards(universe).select("shard_digest").distinct(), "shard_digest", "left_anti")
         columns = self.spark.createDataFrame([], "shard_key string, " + FACTS).columns
         fresh.select(*columns).write.mode("append").parquet(f"{self.root}/{universe}/shards")
-        generation = "generation:" + manifest.select(F.sha2(F.array_join(F.array_sort(F.collect_list("shard_digest")), "\n"), 256)).first()[0]
+        digest = set_digest(manifest, F.col("shard_digest")).first()
+        generation = "generation:" + (digest[0] if digest else hashlib.sha256(b"").hexdigest())
         g = Generation(universe, sequence, generation, producer, source_manifest, tuple(sorted(set(capabilities))))
         loose = dangling_inputs(self.shards(universe).join(manifest.select("shard_digest"), "shard_digest", "left_semi")).first()
         if loose:

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.identity import set_digest
+
 MAX_MARKDOWN_BYTES = 512 << 10
 
 
@@ -59,10 +61,8 @@ def code_graph(nodes: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFr
 
 
 def graph_digest(lines: DataFrame) -> DataFrame:
-    """One row (digest) over all lines, in two levels."""
-    part = lines.select(F.sha2(F.concat_ws("|", "relation", "line"), 256).alias("h")).groupBy(F.substring("h", 1, 2).alias("k"))
-    level = part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
-    return level.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("k", "h"))), "\n"), 256).alias("digest"))
+    """One row (digest) over all lines."""
+    return set_digest(lines, F.concat_ws("|", "relation", "line"))
 
 
 def checkpoint_key(artifacts: dict[str, bytes]) -> str:

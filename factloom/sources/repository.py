@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import classify
-from factloom.functions.identity import derive_id, path_in_scope
+from factloom.functions.identity import derive_id, path_in_scope, set_digest
 
 #: A pinned read gives no more than this.
 MAX_SOURCE_BYTES = 16 << 20
@@ -39,12 +39,9 @@ def inventory(files: DataFrame, repository: str = "local", wanted: dict[str, lis
 
 
 def manifest_id(rows: DataFrame) -> DataFrame:
-    """One row (source_manifest): a digest over all (path, revision), independent of their order.
-
-    Partitions' digests are hashed in path ranges of two letters, so no task holds all paths.
-    """
-    part = rows.groupBy(F.substring("path", 1, 2).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "revision"))), "\n"), 256).alias("h"))
-    return part.agg(F.concat(F.lit("source-manifest:"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "k", "h"))), "\n"), 256)).alias("source_manifest"))
+    """One row (source_manifest): a digest over all (path, revision), independent of their order."""
+    found = set_digest(rows, F.concat_ws("\n", "path", "revision"))
+    return found.select(F.concat(F.lit("source-manifest:"), "digest").alias("source_manifest"))
 
 
 def pinned(requests: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
