@@ -22,6 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,10 +152,20 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     return done.select("row", "id", "source", "size", "source_size", "target", (F.col("whole") + F.col("prob")).cast("long").alias("copies"))
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a column that tells its rows apart in every scan: the place in its file where rows come
+    straight from files, else numbers in a written copy."""
+    place = F.concat(F.lpad(F.hex("_metadata.row_index"), 12, "0"), F.lit(":"), "_metadata.file_path")
+    try:
+        return df.withColumn(name, place)
+    except AnalysisException:
+        return written(df.withColumn(name, F.monotonically_increasing_id()), "mix_docs")
+
+
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of `df` that the mix takes, each as often as it is taken, with their columns."""
     name = free_name(df, "__row")
-    rows = written(df.withColumn(name, F.monotonically_increasing_id()), "mix_docs")
+    rows = _numbered(df, name)
     key, times = free_name(rows, "__taken"), free_name(rows, "__times")
     taken = plan(rows, id_col, text_col, source_col, row_col=name, **how).where(F.col("copies") > 0).select(F.col("row").alias(key), F.col("copies").cast("int").alias(times))
     out = rows.join(taken, F.col(name) == F.col(key)).drop(name, key)

@@ -140,18 +140,18 @@ def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, tolerance: floa
     return dict(zip(codes, good.tolist()))
 
 
-def _posteriors(rows: DataFrame, code: str) -> DataFrame:
-    n_rules = len(rules(F.col))
-    counts = {r[0]: r[1] for r in rows.groupBy(code).count().collect()}  # at most 3 ** n_rules rows
-    found = fit(counts, n_rules)
-    return rows.sparkSession.createDataFrame(sorted(found.items()) or [], "__pattern int, __good double")
+def _posteriors(rows: DataFrame, code: str) -> dict[int, float]:
+    counts = {r[0]: r[1] for r in rows.groupBy(code).count().collect()}  # at most 3 ** rules rows
+    return fit(counts, len(rules(F.col)))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.1) -> DataFrame:
     """Rows (id_col, the five counts, base_failed, kept, posterior double) for every row of `df`."""
     rows = per_text(df, text_col, [id_col], _ARROW, _DDL, features)
     rows = written(rows.select(id_col, *FEATURES[:5], base_failed(F.col).alias("base_failed"), pattern(rules(F.col)).alias("__code")), "quality")
-    told = rows.join(F.broadcast(_posteriors(rows, "__code")), F.col("__code") == F.col("__pattern"), "left")
+    found = _posteriors(rows, "__code")
+    table = rows.sparkSession.createDataFrame(sorted(found.items()), "__pattern int, __good double")
+    told = rows.join(F.broadcast(table), F.col("__code") == F.col("__pattern"), "left")  # at most 3 ** rules rows
     good = F.coalesce("__good", F.lit(0.0))
     return told.select(id_col, *FEATURES[:5], "base_failed", (~F.col("base_failed") & (good >= keep_at)).alias("kept"), good.alias("posterior"))
 
@@ -169,7 +169,7 @@ def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.1) -> Da
     got = free_name(df, "__features")
     rows = df.withColumn(got, counts(F.col(text_col)))
     of = lambda name: F.col(f"{got}.{name}")
-    rows = written(rows.withColumn(code, pattern(rules(of))).withColumn(failed, base_failed(of)).drop(got), "quality_docs")
-    name = free_name(rows, "__pattern")
-    good = _posteriors(rows, code).where(F.col("__good") >= keep_at).select(F.col("__pattern").alias(name))
-    return rows.where(~F.col(failed)).join(F.broadcast(good), F.col(code) == F.col(name), "left_semi").drop(code, failed)
+    # one pass counts the patterns, another, when the rows are read, counts again what it keeps: no copy of the texts is written
+    rows = rows.withColumn(code, pattern(rules(of))).withColumn(failed, base_failed(of))
+    good = sorted(c for c, p in _posteriors(rows, code).items() if p >= keep_at)
+    return rows.where(~F.col(failed) & F.col(code).isin(*good) if good else F.lit(False)).drop(got, code, failed)
