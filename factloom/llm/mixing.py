@@ -5,7 +5,7 @@ whole part for certain, the rest as an inclusion probability. The flight phase m
 probabilities of three documents at a time along the null space of the constraints (number of
 documents, number of words) until one of them is 0 or 1, so both totals stand still. It runs in
 chunks of a source's documents; each chunk leaves two undecided documents at most, which meet in
-fewer chunks until one is left for each source, and the landing decides its last two, which are small as large documents fly first. Chunks and
+fewer chunks until one is left for each source, and the landing decides its last few, by all their outcomes. Chunks and
 random numbers follow from the ids, so reruns agree whatever the partitions.
 
 Targets: sources in code point order, null last, take the weights in turn; a target stops at
@@ -32,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 
 #: Documents of a source that one flight decides together.
 CHUNK = 512
+#: Documents of a source that are kept from its last flight for the landing.
+LANDING = 14
 
 
 def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -71,18 +73,29 @@ def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides what a flight left: the outcome whose words, then whose documents, are nearest to what
-    the probabilities promise; of equally near ones a random one."""
+    """Decides at most LANDING + 2 documents: of all outcomes the one whose words, then whose documents,
+    are nearest to what the probabilities promise; of equally near ones a random one."""
     p = prob.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
     if len(left):
-        ways = np.array(list(np.ndindex(*[2] * len(left))), float)
-        off = ways - p[left]
-        words, documents = np.abs(off @ size[left].astype(float)), np.abs(off.sum(axis=1))
+        ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
+        words = np.abs(ways @ size[left].astype(float) - p[left] @ size[left])
+        documents = np.abs(ways.sum(axis=1) - p[left].sum())
         p[left] = ways[np.lexsort((rng.random(len(ways)), documents, words))[0]]
     return p
 
 
+def fly_and_land(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Flies all but LANDING documents of spread sizes, then lands these with what the flight left."""
+    p = prob.copy()
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    order = open_[np.argsort(size[open_], kind="stable")]
+    held = order[np.unique(np.linspace(0, len(order) - 1, min(LANDING, len(order))).astype(int))] if len(order) else order
+    flown = np.setdiff1d(np.arange(len(p)), held)
+    p[flown] = flight(p[flown], size[flown], rng)
+    return land(p, size, rng)
+
+
 def _rng(*what) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(repr(what).encode()).digest()[:8], "little"))
 
@@ -109,17 +122,15 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return rows.select("source", "source_size", "n", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def _decide(rows: DataFrame, chunk: int, last: bool) -> DataFrame:
-    """One level of flights over rows (row, id, source, size, prob, chunks, chunk); `last` lands too."""
+def _decide(rows: DataFrame) -> DataFrame:
+    """One level of flights over rows (row, id, source, size, prob, chunks, chunk); a source's
+    only chunk lands too."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large documents first: what stays undecided is then small
-        pdf = pdf.sort_values(["size", "id", "row"], ascending=[False, True, True], na_position="first")
+        pdf = pdf.sort_values(["id", "size", "row"], na_position="first")
         rng = _rng(pdf["source"].iloc[0], int(pdf["chunks"].iloc[0]), int(pdf["chunk"].iloc[0]))
-        p = flight(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), rng)
-        if pdf["chunks"].iloc[0] == 1:
-            p = land(p, pdf["size"].to_numpy(), rng)
-        return pdf.assign(prob=p)
+        last = pdf["chunks"].iloc[0] == 1
+        return pdf.assign(prob=(fly_and_land if last else flight)(pdf["prob"].to_numpy(), pdf["size"].to_numpy(), rng))
 
     return rows.groupBy("source", "chunks", "chunk").applyInPandas(run, rows.schema)
 
@@ -140,7 +151,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     left = full
     while True:
         last = levels == 1
-        made = written(_decide(left, chunk, last), "flight")
+        made = written(_decide(left), "flight")
         part = made if last else made.where((F.col("prob") == 0) | (F.col("prob") == 1))
         done = part if done is None else done.unionByName(part)
         if last:
