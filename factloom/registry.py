@@ -332,12 +332,12 @@ def target_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH r AS (
   SELECT source, CASE max(CASE WHEN l.doc_id IS NULL THEN 3 WHEN l.quality = 0 THEN 2 ELSE 1 END) WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'complete' END AS level
-  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang = 'es' GROUP BY source
+  FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
 ), req(rule) AS (VALUES ('strict'), ('lax'))
 SELECT rule, source AS capability, CASE rule WHEN 'strict' THEN level = 'complete' ELSE level IN ('complete', 'partial') END AS admitted, level FROM req, r
 """)
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").where("lang = 'es'").select("doc_id", "source")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
     met = docs.join(_t(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has")), "doc_id", "left")
     level = F.when(F.col("has").isNull(), "unavailable").when(F.col("quality") == 0, "partial").otherwise("complete")
     rollup = completeness.fold(met.select(F.col("source").alias("capability"), level.alias("level"), F.array(F.lit("poor")).alias("reasons")), ["capability"])
@@ -619,14 +619,14 @@ def package_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS mention FROM documents WHERE lang = 'en'),
+WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS mention FROM documents),
 s AS (SELECT * FROM (VALUES ('idiot', 'a', true), ('clown', 'b', true), ('clown', 'c', false), ('trash', 'd', false)) v(name, symbol, callable)),
 u AS (SELECT name, min(symbol) AS symbol FROM s GROUP BY name HAVING count(*) = 1)
 SELECT t.doc_id, t.mention, u.symbol FROM t JOIN u ON u.name = t.mention
 """)
 def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = spark.createDataFrame([("idiot", "a", True), ("clown", "b", True), ("clown", "c", False), ("trash", "d", False)], "name string, symbol string, callable boolean")
-    texts = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", r"[.()\\]", " ").alias("text"))
+    texts = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[.()\\]", " ").alias("text"))
     return search.references(texts, symbols, "doc_id", "text")
 
 
