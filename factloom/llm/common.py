@@ -3,7 +3,6 @@ hot-key chunking and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.tables import shared_dir
+
 #: A word of the contracts: a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,21 +31,6 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for files that all executors see.
-
-    Only where spark.checkpoint.dir is unset (tests, a laptop) a temporary folder is set instead.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
-            known = spark.sparkContext.getCheckpointDir()
-        named = known
-    return named.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
@@ -58,6 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that were not written elsewhere go with them."""
+    remove(spark, f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm
@@ -108,7 +99,8 @@ def chunked(df: DataFrame, keys: list[str], salt: Column, rows: int) -> tuple[Da
     differ, and in the pair (c, c) if they share chunk c. No task gets more than about 2 * rows.
     """
     hot = df.groupBy(*keys).count().where(F.col("count") > rows)
-    hot = hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.ceil(F.col("count") / rows).cast("int").alias("__n"))
+    # written, so that its size is known when the joins are planned: below Spark's threshold `df` is not shuffled for them
+    hot = written(hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.ceil(F.col("count") / rows).cast("int").alias("__n")), "hot_keys")
     on = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)]
     drop = [f"__k{i}" for i in range(len(keys))]
     cold = df.join(hot, on, "left_anti")
