@@ -5,7 +5,8 @@ against the lexicon by Aho-Corasick, and the weights of the hits that lie in no
 summed and set against the text's length. A logistic curve over the sum and the density gives the
 score. The lexicon is a seed list with fixed weights, joined by words and word beginnings that
 labelled documents show to be signs of toxicity; the curve is fitted to the same documents. The fit
-reads at most `max_train` labelled documents (a fixed choice by hash); scoring covers whole texts.
+reads at most `max_train` labelled documents (a fixed choice by hash), near copies once; scoring
+covers whole texts.
 
 Null and empty texts have no hit and get the curve's lowest score. Repeated rows each get a row. An
 empty table, or one without labels, is scored by the seed list and a fixed curve. Other columns are
@@ -183,7 +184,11 @@ def learn(
         .orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     )
     # max_train rows of two numbers: 20,000 are some 240 KB
-    train = written(docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__d") == F.col("__id")).select("__text", "__toxic"), "toxic_train")
+    rows = docs.select(F.col(id_col).alias("__d"), F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(chosen), F.col("__d") == F.col("__id"))
+    # copies would make any of their words look like a sign: of documents with one label and one least word hash the first counts
+    least = F.array_min(F.transform(F.split(F.lower("__text"), r"\s+"), lambda w: F.xxhash64(w)))
+    once = rows.groupBy("__toxic", least.alias("__least")).agg(F.min_by("__text", F.struct("__d", "__text")).alias("__text"))
+    train = written(once.select("__text", "__toxic"), "toxic_train")
     bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +217,12 @@ def learn(
         if r.kind == 0:
             for k in starts:
                 most[r.entry[:k]] = max(most[r.entry[:k]], r.t)
-    for r in sorted(top, key=lambda r: (len(r.entry), r.entry)):
-        # a beginning counts if it says more than any one of its words and any shorter beginning
-        if r.kind == 1 and r.t >= 1.3 * most[r.entry] and not any(r.entry.startswith(b) for b in begins):
-            begins[r.entry] = float(r.w)
+    seen_by: dict[str, int] = {}
+    for r in sorted((r for r in top if r.kind == 1), key=lambda r: (-len(r.entry), r.entry)):
+        # a beginning counts if it says more than any one of its words and than a longer beginning in it
+        longer = max((t for b, t in seen_by.items() if b.startswith(r.entry)), default=0)
+        if r.t >= 1.3 * most[r.entry] and longer < 0.9 * r.t:
+            begins[r.entry], seen_by[r.entry] = float(r.w), r.t
     for r in top:
         if r.kind == 0 and not any(r.entry.startswith(b) for b in begins):
             words[r.entry] = float(r.w)

@@ -89,6 +89,17 @@ def test_toxicity_learns_from_allowed_rows_only(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4} | {9000, 9001}
 
 
+def test_copies_make_no_signs(spark):
+    rng = random.Random(13)
+    clean = [(i, prose(rng, 40), "s") for i in range(200)]
+    copied = prose(rng, 40) + " idiot"
+    bad = [(1000 + i, copied, "s") for i in range(40)] + [(2000 + i, prose(rng, 40) + " zzblurg", "s") for i in range(40)]
+    lab = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, *_ in clean + bad], "doc_id long, quality int, toxic int")
+    lex = toxicity.learn(docs(spark, clean + bad), lab)
+    assert "zzblurg" in lex.words or any("zzblurg".startswith(b) for b in lex.starts)
+    assert not set(copied.split()) & (set(lex.words) - set(toxicity.SEED))
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     lex = toxicity.learn(docs(spark, EDGES), none)
