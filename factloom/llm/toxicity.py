@@ -5,8 +5,8 @@ against the lexicon by Aho-Corasick, and the weights of the hits that lie in no
 summed and set against the text's length. A logistic curve over the sum and the density gives the
 score. The lexicon is a seed list with fixed weights, joined by words and word beginnings that
 labelled documents show to be signs of toxicity; the curve is fitted to the same documents. The fit
-reads at most `max_train` labelled documents (a fixed choice by hash), near copies once; scoring
-covers whole texts.
+reads at most `max_train` labelled documents (a fixed choice by hash), near copies with one label
+once (`nearcopies`); scoring covers whole texts.
 
 Null and empty texts have no hit and get the curve's lowest score. Repeated rows each get a row. An
 empty table, or one without labels, is scored by the seed list and a fixed curve. Other columns are
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bound_batches, free_name, per_text, written
+from factloom.llm.nearcopies import one_of_copies
 
 #: Plain English insults, as they stand after folding.
 SEED = ["idiot", "idiots", "moron", "morons", "imbecile", "stupid", "scum", "scumbag", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "clown", "dumbass", "bastard", "bitch", "asshole", "retard", "vermin", "shithead"]
@@ -185,10 +186,8 @@ def learn(
     )
     # max_train rows of two numbers: 20,000 are some 240 KB
     rows = docs.select(F.col(id_col).alias("__d"), F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(chosen), F.col("__d") == F.col("__id"))
-    # copies would make any of their words look like a sign: of documents with one label and one least word hash the first counts
-    least = F.array_min(F.transform(F.split(F.lower("__text"), r"\s+"), lambda w: F.xxhash64(w)))
-    once = rows.groupBy("__toxic", least.alias("__least")).agg(F.min_by("__text", F.struct("__d", "__text")).alias("__text"))
-    train = written(once.select("__text", "__toxic"), "toxic_train")
+    # near copies would make any of their words look like a sign
+    train = written(one_of_copies(rows, "__d", "__text", "__toxic").select("__text", "__toxic"), "toxic_train")
     bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

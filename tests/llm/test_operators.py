@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import bytebpe, chat, embedding, mixing, quality, queries, simhash, tokencounts, tokenfiles, toxicity, urls
+from factloom.llm import bytebpe, chat, embedding, mixing, nearcopies, quality, queries, simhash, tokencounts, tokenfiles, toxicity, urls
 from factloom.llm.common import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,6 +100,36 @@ def test_copies_make_no_signs(spark):
     assert not set(copied.split()) & (set(lex.words) - set(toxicity.SEED))
 
 
+def test_texts_that_share_a_word_are_no_copies(spark):
+    rng = random.Random(14)
+    word = F.concat(F.lit("w"), F.col("id").cast("string"))
+    shared = spark.range(50_000).select(word.alias("w")).orderBy(F.xxhash64("w")).first().w
+    clean = [(i, f"{prose(rng, 40)} {shared}", "s") for i in range(200)]
+    bad = [(1000 + i, f"{prose(rng, 40)} {shared} zzblurg", "s") for i in range(60)]
+    lab = spark.createDataFrame([(i, 1, int(i >= 1000)) for i, *_ in clean + bad], "doc_id long, quality int, toxic int")
+    lex = toxicity.learn(docs(spark, clean + bad), lab)
+    assert "zzblurg" in lex.words or any("zzblurg".startswith(b) for b in lex.starts)
+
+
+@pytest.mark.parametrize("chunk", [256, 5])
+def test_near_copies_stay_once_for_each_class(spark, chunk):
+    rng = random.Random(15)
+    rows = [(1, "", 0), (2, None, 0), (3, "one two", 0), (4, "One, two.", 0), (5, "one three", 0)]
+    for g in range(6):
+        base, line = prose(rng, 80).split(), prose(rng, 12)
+        for k in range(12):
+            w = list(base)
+            for _ in range(3 * (k > 0)):
+                w[rng.randrange(80)] = prose(rng, 1)
+            rows.append((100 * g + 10 + k, " ".join(w), g % 2))
+        rows += [(1000 + 100 * g + k, f"{prose(rng, 60)} {line}", 0) for k in range(5)]
+    rows.append((9999, rows[5][1], 1))
+    got = nearcopies.one_of_copies(spark.createDataFrame(rows, "i long, t string, y int"), "i", "t", "y", chunk_rows=chunk)
+    want = {1, 3, 5, 9999} | {100 * g + 10 for g in range(6)} | {1000 + 100 * g + k for g in range(6) for k in range(5)}
+    assert sorted(r.i for r in got.collect()) == sorted(want)
+    assert nearcopies.one_of_copies(spark.createDataFrame([], "i long, t string, y int"), "i", "t", "y").count() == 0
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     lex = toxicity.learn(docs(spark, EDGES), none)
