@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded (case, homoglyphs, accents, digits and signs that stand for letters), matched
-against the lexicon by Aho-Corasick, and the weights of the hits that lie in no exception phrase are
+Texts are folded (case, homoglyphs, accents, digits and signs that stand for letters, i and l as one
+letter, since 1, ! and | stand for both), matched against the lexicon by Aho-Corasick, and the weights of the hits that lie in no exception phrase are
 summed and set against the text's length. A logistic curve over the sum and the density gives the
 score. The lexicon is a seed list with fixed weights, joined by words and word beginnings that
 labelled documents show to be signs of toxicity; the curve is fitted to the same documents. The fit
@@ -70,6 +70,11 @@ def fold(text: str) -> str:
     return text.translate(_FOLD)
 
 
+def shape(text: str) -> str:
+    """The folded text with l as i, since 1, ! and | stand for either; what is matched."""
+    return fold(text).replace("l", "i")
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Weights of whole words and of word beginnings, the phrases excepted, and the curve."""
@@ -90,7 +95,7 @@ def _automaton(key: tuple):
     made: dict[str, list] = {}
     for kind, entries in ((0, words), (1, starts), (2, [(x, 0.0) for x in exceptions])):
         for text, weight in entries:
-            made.setdefault(fold(text), []).append((kind, weight))
+            made.setdefault(shape(text), []).append((kind, weight))
     for text, entries in made.items():
         a.add_word(text, (len(text), entries))
     if made:
@@ -106,7 +111,7 @@ def hits(text: str, key: tuple) -> list[tuple[int, int, float]]:
     best: dict[int, tuple[int, float]] = {}
     away: list[tuple[int, int]] = []
     n = len(text)
-    for last, (size, entries) in a.iter(fold(text)):
+    for last, (size, entries) in a.iter(shape(text)):
         at, end = last - size + 1, last + 1
         if at and text[at - 1].isalnum():
             continue
@@ -141,14 +146,21 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 3 == 1
 
 
-def _candidates(texts: Iterable[tuple[str, int]], starts: tuple[int, ...]) -> Counter:
+def _candidates(texts: Iterable[tuple[str, int]], starts: tuple[int, ...]) -> tuple[Counter, dict[tuple[int, str], Counter]]:
+    """Documents by (kind, shape, label), and the spellings of each (kind, shape)."""
     df: Counter = Counter()
+    spelt: dict[tuple[int, str], Counter] = {}
     for text, toxic in texts:
         seen = set(_WORD.findall(fold(visible(text))))
         begun = {(1, w[:k]) for w in seen for k in starts if len(w) > k}
-        for c in {(0, w) for w in seen} | begun:
+        shapes = set()
+        for kind, w in {(0, w) for w in seen} | begun:
+            c = kind, w.replace("l", "i")
+            shapes.add(c)
+            spelt.setdefault(c, Counter())[w] += 1
+        for c in shapes:
             df[(*c, toxic)] += 1
-    return df
+    return df, spelt
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> tuple[float, ...]:
@@ -192,9 +204,9 @@ def learn(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            df = _candidates(((t or "", y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), starts)
+            df, spelt = _candidates(((t or "", y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), starts)
             k = list(df)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.string()), pa.array([x[2] for x in k], pa.int32()), pa.array([df[x] for x in k], pa.int64())], names=["kind", "entry", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.string()), pa.array([x[2] for x in k], pa.int32()), pa.array([df[x] for x in k], pa.int64()), pa.array([max(spelt[x[:2]].items(), key=lambda s: (s[1], s[0]))[0] for x in k], pa.string())], names=["kind", "entry", "toxic", "n", "spelt"])
 
     size = {r[0]: r[1] for r in train.groupBy("__toxic").count().collect()}
     nt, nc = size.get(1, 0), size.get(0, 0)
@@ -207,7 +219,7 @@ def learn(
     ratio = F.log((F.col("t") + 0.5) / (nt + 1)) - F.log((F.col("c") + 0.5) / (nc + 1))
     weight = ratio - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     top = (
-        train.mapInArrow(count, "kind int, entry string, toxic int, n long").groupBy("kind", "entry").agg(t.alias("t"), c.alias("c"))
+        train.mapInArrow(count, "kind int, entry string, toxic int, n long, spelt string").groupBy("kind", "entry").agg(t.alias("t"), c.alias("c"), F.max(F.struct("n", "spelt")).alias("most"))
         .where(F.col("t") >= min_docs).withColumn("w", weight).where(F.col("w") >= least_weight)
         .orderBy(F.desc("w"), "kind", "entry").limit(max_entries).collect()
     )
@@ -216,15 +228,17 @@ def learn(
         if r.kind == 0:
             for k in starts:
                 most[r.entry[:k]] = max(most[r.entry[:k]], r.t)
+    # entries are shapes; the lexicon has them as they are spelt
+    plainly = {shape(w): w for w in words}
     seen_by: dict[str, int] = {}
     for r in sorted((r for r in top if r.kind == 1), key=lambda r: (-len(r.entry), r.entry)):
         # a beginning counts if it says more than any one of its words and than a longer beginning in it
         longer = max((t for b, t in seen_by.items() if b.startswith(r.entry)), default=0)
         if r.t >= 1.3 * most[r.entry] and longer < 0.9 * r.t:
-            begins[r.entry], seen_by[r.entry] = float(r.w), r.t
+            begins[r.most.spelt], seen_by[r.entry] = float(r.w), r.t
     for r in top:
-        if r.kind == 0 and not any(r.entry.startswith(b) for b in begins):
-            words[r.entry] = float(r.w)
+        if r.kind == 0 and not any(r.entry.startswith(b) for b in seen_by):
+            words[plainly.get(r.entry, r.most.spelt)] = float(r.w)
     lexicon = Lexicon(words, begins, tuple(exceptions))
     key = lexicon.key()
 

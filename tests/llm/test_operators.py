@@ -66,6 +66,13 @@ def test_hits_at_word_bounds_with_exceptions():
     assert toxicity.hits("", toxicity.Lexicon().key()) == []
 
 
+def test_one_stands_for_i_and_l():
+    lex = toxicity.Lexicon({w: 3.0 for w in toxicity.SEED})
+    assert all(len(toxicity.hits(t, lex.key())) == 1 for t in ["1oser", "c1own", "assho1e", "worth1ess", "|oser", "1d1ot", "imbeci!e", "VI1E vermin"])
+    df, spelt = toxicity._candidates([("b1urgh blurgh", 1), ("blurgh", 1)], (4,))
+    assert df[0, "biurgh", 1] == 2 and spelt[0, "biurgh"].most_common(1)[0][0] == "blurgh"
+
+
 def test_toxicity_learns_from_allowed_rows_only(spark):
     rng = random.Random(3)
     rows, labels = [], []
