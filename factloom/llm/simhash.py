@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Forest, chunked, components, free_name, per_text, written
+from factloom.llm.common import Forest, bound_batches, chunked, components, free_name, per_text, written
 
 #: Shingle hashes that are unpacked to bits at once.
 _SLAB = 65536
@@ -97,24 +97,49 @@ def links(classes: DataFrame, distance: int = 3, blocks: int = 5, chunk_rows: in
     return small.select(F.col("rep2").alias("u"), F.col("rep").alias("v")).unionByName(big)
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, distance: int, blocks: int) -> DataFrame:
+    """Rows (id_col, fp long, root long) for every row of `df`; root is the least fingerprint of the group.
+
+    Nodes are fingerprints, not ids: an id that repeats with different texts links nothing.
+    """
+    prints = written(fingerprints(df, id_col, text_col, shingle, seed), "simhash")
+    classes = written(prints.select(F.col("fp").alias("rep"), "fp").distinct(), "classes")
+    found = components(links(classes, distance, blocks))
+    return prints.join(found, F.col("fp") == F.col("node"), "left").select(id_col, "fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, distance: int = 3, blocks: int = 5
 ) -> DataFrame:
-    """Rows (id_col, fp long, component_id long) for every row of `df`."""
-    prints = written(fingerprints(df, id_col, text_col, shingle, seed), "simhash")
-    classes = written(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")), "classes")
-    found = components(links(classes, distance, blocks))
-    label = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(label, F.col("fp") == F.col("__fp"), "left").select(id_col, "fp", "component_id")
+    """Rows (id_col, fp long, component_id long) for every row of `df`; component_id is the least id of the group."""
+    rows = written(_grouped(df, id_col, text_col, shingle, seed, distance, blocks), "groups")
+    named = rows.groupBy(F.col("root").alias("__root")).agg(F.min(id_col).cast("long").alias("component_id"))
+    return rows.join(named, F.col("root") == F.col("__root"), "left").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `df` whose id stands for their near-duplicate group, each id once.
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, distance: int = 3, blocks: int = 5
+) -> DataFrame:
+    """One row of `df` for each near-duplicate group: that with the least id, of those the least fingerprint, then the least text.
 
     Rows without an id can't be named by a group and all stay.
     """
-    found = near_duplicates(df.where(F.col(id_col).isNotNull()), id_col, text_col, **how)
+    found = written(_grouped(df.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed, distance, blocks), "groups")
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("id"), "fp")).alias("k")).select(F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"))
+    # only ids with more rows than one need a look at their texts' fingerprints again
+    many = found.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
     name = free_name(df, "__kept")
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
-    one = df.join(kept, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(df.where(F.col(id_col).isNull()))
+    one = df.join(stays.join(many, "__id", "left_anti").select(F.col("__id").alias(name)), F.col(id_col) == F.col(name), "left_semi")
+    repeated = df.join(many.withColumnRenamed("__id", name), F.col(id_col) == F.col(name), "left_semi")
+    fp = free_name(df, "__print")
+    bound_batches(df.sparkSession)
+
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t or "", shingle, seed) for t in texts.to_pylist()], pa.int64())
+
+    kept = stays.join(many, "__id", "left_semi").select(F.col("__id").alias(name), F.col("__fp").alias("__fp_kept"))
+    several = repeated.withColumn(fp, of(F.col(text_col))).join(kept, (F.col(id_col) == F.col(name)) & (F.col(fp) == F.col("__fp_kept")), "left_semi")
+    whole = F.struct(F.col(f"`{text_col}`"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    first = several.groupBy(id_col, fp).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), whole).alias("__row")).select("__row.*")
+    return one.unionByName(first).unionByName(df.where(F.col(id_col).isNull()))

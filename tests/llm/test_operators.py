@@ -446,6 +446,17 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_simhash_groups_of_repeated_ids_keep_one_each(spark):
+    rng = random.Random(9)
+    a, b, c = prose(rng, 200), prose(rng, 200), prose(rng, 200)
+    rows = [(5, a, "a"), (5, b, "a"), (5, b.upper(), "b"), (6, b, "b"), (7, a, "b"), (3, c, "a"), (5, c, "b"), (None, a, "b")]
+    d = docs(spark, rows)
+    got = {(r.doc_id, r.text.lower() if r.text else r.text) for r in simhash.keep_one(d).collect()}
+    assert got == {(5, a), (5, b), (3, c), (None, a)} and simhash.keep_one(d).count() == 4
+    ids = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(d.where("doc_id IS NOT NULL")).collect())
+    assert ids == [(3, 3), (5, 3), (5, 5), (5, 5), (5, 5), (6, 5), (7, 5)]
+
+
 # --- 9 ----------------------------------------------------------------------------------------------
 
 
