@@ -636,7 +636,7 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _t(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     rounds = Rounds(spark, "stream")
     source.unionByName(source).write.parquet(f"{rounds.root}/in")
-    stream = changes.deduplicated(changes.events(spark, f"{rounds.root}/in", source.schema.simpleString()[7:-1].replace(":", " ")), ["event_id"], "ts", "400 days")
+    stream = changes.deduplicated(changes.events(spark, f"{rounds.root}/in", source.schema.simpleString()[7:-1].replace(":", " ")), ["event_id"], "ts", None)
     once = stream.select("event_id", "user_id", "event_type").writeStream.format("parquet").option("path", f"{rounds.root}/out").option("checkpointLocation", f"{rounds.root}/checkpoint")
     once.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{rounds.root}/out")

@@ -170,3 +170,13 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in changes.windowed(src, ["k"], "t", "1 hour", "30 minutes").collect()) == [1, 1, 2, 2]
     cur = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert sorted(tuple(r) for r in changes.delta(cur, spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), spark.createDataFrame([(1,)], "id int"), "id").collect()) == [(2, "c"), (3, "d")]
+
+
+def test_stream_without_a_bound_drops_no_late_row(spark, tmp_path):
+    far = spark.createDataFrame([(7, "2024-01-01 00:00:00"), (8, "2020-01-01 00:00:00"), (7, "2024-01-01 00:00:00"), (9, "2019-01-01 00:00:00")], "id int, t string").withColumn("t", F.to_timestamp("t"))
+    for k in range(4):
+        far.where(F.col("id") == [7, 8, 9, 7][k]).coalesce(1).write.mode("append").parquet(str(tmp_path / "far"))
+    late = changes.deduplicated(changes.events(spark, str(tmp_path / "far"), "id int, t timestamp", 1), ["id"], "t", None)
+    every = []
+    changes.apply_each(late, lambda df, n: every.extend(r.id for r in df.collect()), str(tmp_path / "far_cp")).awaitTermination()
+    assert sorted(every) == [7, 8, 9]
