@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import WORD, scratch_path, written
@@ -103,19 +103,33 @@ class TokenRollup:
 
 def history(documents: DataFrame, labels: DataFrame) -> list[tuple[int, DataFrame]]:
     """Batches over whole tables: all documents counted in words, those with signs counted anew without
-    them, all counted in characters, and those labelled poor deleted from the words."""
+    them, all counted in characters, and those labelled poor deleted from the words.
+
+    A change's doc_id is the row's: the document's id, or, where that is null or repeated, a hash of the
+    row's columns and its number among equal ones, so that every row counts. As by SQL's NOT IN, rows
+    without an id leave the words if any label is poor, and all rows do if a poor label has no id."""
     words = lambda c: F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
     text = F.coalesce("text", F.lit(""))
-    counted = written(
+    rows = written(
         documents.select("doc_id", "source", "lang", words(text).alias("words"), F.length(text).cast("long").alias("chars"), F.when(text.rlike("[#*$%&|<>]"), words(F.translate(text, "#*$%&|<>", ""))).alias("clean")), "counts"
     )
-    change = lambda df, op, tokenizer, n: df.select("doc_id", F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), "source", "lang", n.alias("n_tokens"), F.lit(0).alias("seq"))
-    poor = labels.where("quality = 0").select("doc_id").distinct()
+    repeated = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__d")).count().where("count > 1").select("__d")
+    alone = rows.where("doc_id IS NOT NULL").join(repeated, F.col("doc_id") == F.col("__d"), "left_anti").withColumn("key", F.col("doc_id").cast("long"))
+    others = rows.join(repeated, F.col("doc_id") == F.col("__d"), "left_semi").unionByName(rows.where("doc_id IS NULL"))
+    number = F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0)))
+    # null columns don't change a hash, so their places are hashed too
+    nulls = F.array(*[F.col(c).isNull() for c in rows.columns])
+    numbered = others.withColumn("__n", number).withColumn("key", F.xxhash64(F.lit("row"), nulls, *rows.columns, "__n")).drop("__n")
+    counted = written(alone.unionByName(numbered), "keyed_counts")
+    change = lambda df, op, tokenizer, n: df.select(F.col("key").alias("doc_id"), F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), "source", "lang", n.alias("n_tokens"), F.lit(0).alias("seq"))
+    poor = labels.where("quality = 0").select(F.col("doc_id").alias("__poor")).distinct()
+    seen = poor.agg(F.count("*").alias("__all"), F.count_if(F.col("__poor").isNull()).alias("__unnamed"))
+    gone = counted.join(poor, F.col("doc_id") == F.col("__poor"), "left").crossJoin(F.broadcast(seen)).where("__poor IS NOT NULL OR __unnamed > 0 OR (doc_id IS NULL AND __all > 0)")
     return [
         (1, change(counted, "insert", "words-1", F.col("words"))),
         (2, change(counted.where("clean IS NOT NULL"), "revise", "words-1", F.col("clean"))),
         (3, change(counted, "insert", "chars-1", F.col("chars"))),
-        (4, change(poor.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}), "delete", "words-1", F.lit(0))),
+        (4, change(gone.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")}), "delete", "words-1", F.lit(0))),
     ]
 
 

@@ -501,6 +501,21 @@ def test_token_rollup(spark, tmp_path):
     assert {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in again.totals().collect()}[("a", "en", "t")] == (2, 5)
 
 
+def test_token_counts_of_null_and_repeated_ids(spark):
+    import duckdb
+
+    rows = [(1, "a b c", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "x #y", "t"), (2, "x #", "t"), (None, "n u l l", "s"), (None, "n u l l", "s"), (3, "k", None), (4, "p q", "t"), (4, "p #", "t")]
+    for bad in ([4], []):
+        lab = spark.createDataFrame([(i, 0) for i in bad] + [(3, 1)], "doc_id long, quality int")
+        got = Counter(tuple(r) for r in tokencounts.maintained(docs(spark, rows), lab).select("source", "lang", "tokenizer", "n_docs", "n_tokens").collect())
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR, lang VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, 'en')", rows)
+        con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT)")
+        con.executemany("INSERT INTO labels VALUES (?, ?)", [*[(i, 0) for i in bad], (3, 1)])
+        assert got == Counter(con.execute(tokencounts.SQL).fetchall())
+
+
 # --- all --------------------------------------------------------------------------------------------
 
 
