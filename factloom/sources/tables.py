@@ -2,21 +2,64 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset (tests, a laptop)."""
+    """spark.checkpoint.dir; a temporary folder where that is unset and the master local (tests, a laptop)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole or not at all; False, with nothing changed, if it is there already.
+
+    The text goes to a file beside it, which is renamed without overwriting, so of two writers one wins.
+    """
+    jvm = spark.sparkContext._jvm
+    hadoop, at, side = jvm.org.apache.hadoop.fs, jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = at.getFileSystem(conf)
+    fs.mkdirs(at.getParent())
+    out = fs.create(side, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    keep = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    keep[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(fs.makeQualified(at).toUri(), conf).rename(fs.makeQualified(side), fs.makeQualified(at), keep)
+    except Py4JJavaError as e:
+        fs.delete(side, False)
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()) or fs.exists(at):
+            return False
+        raise
+    return True
+
+
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    read = fs.open(at)
+    try:
+        return bytes(read.readAllBytes()).decode()
+    finally:
+        read.close()
+
+
 class Rounds:
     """Tables of the rounds of a fixpoint, each written once and read by the next."""
 
