@@ -1,8 +1,11 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut where the split pattern always has a boundary: between an ASCII letter or digit
-and a blank after it. No match of the pattern runs from a non-blank into a blank, and none looks
-behind itself, so the pieces' ids joined are the ids of the whole. Decoding joins the tokens' raw
+Long texts are cut where the split pattern always has a boundary: before a blank, line break or other
+white space that follows anything else, and between a full stop, comma or the like of Chinese and
+Japanese and a letter of these or of Korean after it. No match of the pattern runs from other signs
+into white space, nor from such a mark into a letter, and none looks behind itself, so the pieces' ids
+joined are the ids of the whole. Letters without any such place between them are one match of the
+pattern, of any length, and stay one piece. Decoding joins the tokens' raw
 bytes, so texts come back to the byte, also where a token holds part of a character.
 
 Null texts count as empty: no ids. Repeated rows each get a row. An empty table gives an empty
@@ -26,7 +29,7 @@ from factloom.llm.common import per_text
 
 #: Code points of a piece at least, after which the next safe boundary cuts.
 PIECE = 50_000
-_SAFE = re.compile(r"(?<=[A-Za-z0-9]) ")
+_SAFE = re.compile("(?<=\\S)[ \\t\\n\\r\u3000]|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3]")
 
 
 @lru_cache(maxsize=4)

@@ -15,33 +15,27 @@ from factloom.sources.tables import shared_dir
 #: A word of the contracts: a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that one Arrow batch of texts holds at most, so that a batch of long texts fits a worker.
-TEXT_BATCH_ROWS = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows`, never raise it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it: cuts the lineage, survives lost
-    executors, and lets later steps read single columns of it."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`written`, and where, so that the table can be removed once no one reads it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it: cuts the lineage, survives lost
+    executors, and lets later steps read single columns of it."""
+    return stored(df, name)[0]
 
 
 def clean(spark: SparkSession) -> None:
@@ -61,9 +55,9 @@ def per_text(
 ) -> DataFrame:
     """One output row for each row of `df`: the columns `keep` and then what fn(text) returns.
 
-    Null texts are passed as the empty text. Only `keep` and `text_col` travel to Python.
+    Null texts are passed as the empty text. Only `keep` and `text_col` travel to Python, in batches
+    that Spark bounds by rows and by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
     """
-    bound_batches(df.sparkSession)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,49 +110,57 @@ def chunked(df: DataFrame, keys: list[str], salt: Column, rows: int) -> tuple[Da
     return cold, split
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v").cast("decimal(20,0)")
-    r = edges.agg(F.count("*"), F.sum(h), F.sum(h % 1000003)).first()
-    return tuple(r)
+def _measured(edges: DataFrame) -> tuple[int, tuple, int]:
+    """Number of edges, a checksum of them, and the largest number of edges that one node has."""
+    h = F.xxhash64("u", "v")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("n"), h.alias("h")), F.struct(F.col("v").alias("n"), F.lit(0).cast("long").alias("h"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.n").agg(F.count("*").alias("c"), F.sum(F.col("e.h").cast("decimal(20,0)")).alias("a"), F.sum(F.col("e.h") % 1000003).alias("b"))
+    r = nodes.agg(F.sum("c"), F.sum("a"), F.sum("b"), F.max("c")).first()
+    return (r[0] or 0) // 2, (r[0], r[1], r[2]), r[3] or 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, split_degree: int = 1_000_000) -> DataFrame:
     """Connected components of undirected `edges` (u long, v long): rows (node, component), the
     smallest node reachable, for every node that has an edge to another node.
 
     Alternates the large-star and small-star rewirings until the edge set stands still, which takes
     rounds in the logarithm of a component's diameter. Each round's edges are a table in the shared
-    folder; no edge and no label comes to the driver, only a count and a checksum.
+    folder; no edge and no label comes to the driver, only counts and a checksum. Where a node has over
+    `split_degree` edges, the nodes' minima are written first, so that the join has two plain sides and
+    Spark can broadcast small minima or split that node's edges between tasks.
     """
     spark = edges.sparkSession
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, apart: bool, used: list[str]) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("__u"), F.least("u", "m").alias("m"))
+        if apart:
+            low, at = stored(low, "minima")
+            used.append(at)
         joined = both.join(low, F.col("u") == F.col("__u"))
         if large:
             made = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             made = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        return made.where(F.col("u") != F.col("v")).distinct()
-
-    path = scratch_path(spark, "edges")
-    edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where(
-        F.col("u") != F.col("v")
-    ).distinct().write.parquet(path)
-    now = spark.read.schema("u long, v long").parquet(path)
-    before = _fingerprint(now)
+        made = made.where(F.col("u") != F.col("v")).distinct()
+        if apart and large:
+            made, at = stored(made, "edges")
+            used.append(at)
+        return made
+
+    now, at = stored(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
+    n, before, degree = _measured(now)
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if not n:
             break
-        step = scratch_path(spark, "edges")
-        stars(stars(now, True), False).write.parquet(step)
-        now = spark.read.schema("u long, v long").parquet(step)
-        remove(spark, path)
-        path, after = step, _fingerprint(now)
+        used, apart = [at], degree > split_degree
+        now, at = stored(star(star(now, True, apart, used), False, apart, used), "edges")
+        for path in used:
+            remove(spark, path)
+        n, after, degree = _measured(now)
         if after == before:
             break
         before = after

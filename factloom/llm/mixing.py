@@ -6,7 +6,7 @@ probabilities of three documents at a time along the null space of the constrain
 documents, number of words) until one of them is 0 or 1, so both totals stand still. It runs in
 chunks of a source's documents; each chunk leaves two undecided documents at most, which meet in
 fewer chunks until one is left for each source, and the landing decides its last few, by all their outcomes. Chunks and
-random numbers follow from the ids, so reruns agree whatever the partitions.
+random numbers follow from ids and sizes, so reruns agree whatever the partitions.
 
 Targets: sources in code point order, null last, take the weights in turn; a target stops at
 `most` times its source's size and the excess goes to the others by weight. Null and empty texts
@@ -145,7 +145,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most, share)
     sources = written(sources.withColumn("pi", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long")), "sources")
     told = sources.select(F.col("source").alias("__s"), "source_size", "target", F.floor("pi").alias("whole"), (F.col("pi") - F.floor("pi")).alias("prob"), "chunks")
-    full = rows.join(told, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    full = rows.join(told, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.col("chunks")))
     levels = sources.agg(F.max("chunks")).first()[0] or 1
     done = None
     left = full

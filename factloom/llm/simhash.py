@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Forest, bound_batches, chunked, components, free_name, per_text, written
+from factloom.llm.common import chunked, components, free_name, per_text, written
 
 #: Shingle hashes that are unpacked to bits at once.
 _SLAB = 65536
@@ -62,20 +62,23 @@ def block_keys(fp: Column, distance: int, blocks: int) -> list[Column]:
 
 
 def _forest_of(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Spanning edges of the links in one pair of chunks."""
+    """Spanning edges of the links in one pair of chunks: a row takes in, at once, all rows that it links
+    with and that no tree of its own holds yet."""
     pdf = pdf.sort_values("rep")
     rep, fp, c = pdf["rep"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), pdf["__c"].to_numpy()
     same = pdf["__p"].iloc[0] == pdf["__q"].iloc[0] if len(pdf) else True
-    trees, us, vs = Forest(len(pdf)), [], []
+    tree, us, vs = np.arange(len(pdf)), [], []
     for i in range(len(pdf) - 1):
-        near = np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance
+        near = (np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance) & (tree[i + 1 :] != tree[i])
         if not same:
             near &= c[i + 1 :] != c[i]
-        for j in np.flatnonzero(near) + i + 1:
-            if trees.join(i, int(j)):
-                us.append(rep[j])
-                vs.append(rep[i])
-    return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+        found = np.flatnonzero(near) + i + 1
+        if len(found):
+            trees, first = np.unique(tree[found], return_index=True)
+            us.append(rep[found[first]])
+            vs.append(np.full(len(trees), rep[i]))
+            tree[np.isin(tree, trees)] = tree[i]
+    return pd.DataFrame({"u": np.concatenate([*us, np.zeros(0, np.int64)]), "v": np.concatenate([*vs, np.zeros(0, np.int64)])})
 
 
 def links(classes: DataFrame, distance: int = 3, blocks: int = 5, chunk_rows: int = 256) -> DataFrame:
@@ -132,7 +135,6 @@ def keep_one(
     one = df.join(stays.join(many, "__id", "left_anti").select(F.col("__id").alias(name)), F.col(id_col) == F.col(name), "left_semi")
     repeated = df.join(many.withColumnRenamed("__id", name), F.col(id_col) == F.col(name), "left_semi")
     fp = free_name(df, "__print")
-    bound_batches(df.sparkSession)
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:

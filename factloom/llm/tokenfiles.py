@@ -6,17 +6,21 @@ file's tokens, the number of tokens and the tokens; the file's number is a colum
 page indexes of every column, so a reader can take the counts without the ids, or the ids of a range
 of documents without the other pages. Offsets among all tokens follow from one total for each file.
 
-Texts are cut at blanks and line feeds, which the tokenizer drops and never joins over, and words are
-encoded once and remembered, in a cache of bounded size. A word of plain letters and closing marks is
-pre-split here and merged by the library's model; any other goes through the library whole.
-
-Null texts count as empty and have the end id alone. Rows that repeat an id keep one place each, in
-the order of their texts' hashes. Null ids come first. An empty table gives an empty result. Other
+With a tokenizer that drops white space and lower-cases as word_bpe_49k.json does, texts are cut at
+blanks and line feeds, which it never joins over, and words are encoded once and remembered, in a cache
+of bounded size. A word of plain letters and closing marks is pre-split here and merged by the
+library's model; any other goes through the library whole. With any other tokenizer whole texts do.
+
+There are as many files as shuffle partitions, and more where a file would take over `file_bytes` of
+text on average. Null texts count as empty and have the end id alone. Rows that repeat an id keep one
+place each, in the order of their texts' hashes, and may lie in several files. Null ids come first. An empty table gives an empty result. Other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 import zlib
 from array import array
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm.common import bound_batches, numbered_total, scratch_path
+from factloom.llm.common import numbered_total, scratch_path
 
 #: Words of each of the two generations that a worker remembers.
 CACHE = 300_000
@@ -39,6 +43,20 @@ CACHE = 300_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*$%&|]*)")
 
 
+#: What a tokenizer has to do before its merges for words to be taken one by one.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte -> the letter that stands for it: itself where printable, else the next from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,6 +74,8 @@ class WordEncoder(dict):
     def __init__(self, path: str, cache: int = CACHE) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = all(told.get(k) == v for k, v in SPLITTING.items()) and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.cache, self.old = cache, {}
@@ -92,6 +112,8 @@ class WordEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids that the library gives for the whole text without special tokens."""
+        if not self.by_words:
+            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -106,13 +128,16 @@ def default_tokenizer() -> str:
 
 def write(
     df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2,
-    files: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10,
+    files: int | None = None, file_bytes: int = 1 << 30, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10,
 ) -> None:
-    """Encode `df` into token files under `path`, ascending by id. `files`: as many as shuffle partitions unless given."""
+    """Encode `df` into token files under `path`, ascending by id. `files`: their number, if not to be
+    taken from the session's shuffle partitions and the size of the texts."""
     spark = df.sparkSession
-    bound_batches(spark)
     model = tokenizer or default_tokenizer()
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files
+    if not n:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / file_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at, part, end = encoder(model), 0, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
@@ -129,7 +154,8 @@ def write(
             at += int(ends[-1]) if len(ends) else 0
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    # texts are second, so that rows without an id or with the same one are dealt out too
+    dealt = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     (
         dealt.mapInArrow(run, "file int, id long, at long, n_tokens long, tokens array<int>").write
         .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
@@ -164,8 +190,6 @@ def digests(rows: DataFrame) -> DataFrame:
             flat = tokens.values.to_numpy(False).astype("<u4", copy=False)
             crc = [zlib.crc32(flat[p:q]) for p, q in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "id", "at", "n_tokens", "ids_crc32"])
-
-    bound_batches(rows.sparkSession)
     return rows.select("file", "id", "at", "tokens").mapInArrow(run, "file int, id long, at long, n_tokens long, ids_crc32 long")
 
 
