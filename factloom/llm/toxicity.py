@@ -4,7 +4,8 @@ Texts are folded (case, homoglyphs, accents, digits and signs that stand for let
 letter, since 1, ! and | stand for both), matched against the lexicon by Aho-Corasick, and the weights of the hits that lie in no exception phrase are
 summed and set against the text's length. A logistic curve over the sum and the density gives the
 score. The lexicon is a seed list with fixed weights, joined by words and word beginnings that
-labelled documents show to be signs of toxicity; the curve is fitted to the same documents. The fit
+labelled documents show to be signs of toxicity, strong ones and such as tell only where they gather;
+the curve is fitted to the same documents. The fit
 reads at most `max_train` labelled documents (a fixed choice by hash), near copies with one label
 once (`nearcopies`); scoring covers whole texts.
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bound_batches, free_name, per_text, written
+from factloom.llm.common import free_name, per_text, written
 from factloom.llm.nearcopies import one_of_copies
 
 #: Plain English insults, as they stand after folding.
 SEED = ["idiot", "idiots", "moron", "morons", "imbecile", "stupid", "scum", "scumbag", "loser", "losers", "pathetic", "worthless", "disgusting", "trash", "clown", "dumbass", "bastard", "bitch", "asshole", "retard", "vermin", "shithead"]
 SEED_WEIGHT = 3.0
+#: Words that a text counts as having at least when hits are set against its length.
+SHORT = 50
 #: Phrases in which a word of the lexicon is meant otherwise.
 EXCEPTIONS = ["clown fish", "trash can", "trash cans", "trash bin", "white trash bag", "circus clown", "rodeo clown", "pond scum", "sore loser board", "stupid simple", "take out the trash"]
 
@@ -82,7 +85,7 @@ class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
-    curve: tuple[float, float, float, float] = (-4.0, 3.0, 1.0, 0.5)
+    curve: tuple[float, float, float, float] = (-4.0, 1.0, 1.0, 0.5)
 
     def key(self) -> tuple:
         return tuple(sorted(self.words.items())), tuple(sorted(self.starts.items())), self.exceptions
@@ -127,12 +130,13 @@ def hits(text: str, key: tuple) -> list[tuple[int, int, float]]:
 
 
 def signs(text: str, key: tuple) -> tuple[float, float, float]:
-    """Whether anything counts, the sum of the hits' weights, damped, and their density by length."""
+    """The heaviest hit, the sum of the hits' weights, damped, and their density by length, damped."""
     text = visible(text)
-    total = sum(h[2] for h in hits(text, key))
-    if not total:
+    weights = [h[2] for h in hits(text, key)]
+    if not weights:
         return 0.0, 0.0, 0.0
-    return 1.0, math.log1p(total), math.log1p(100 * total / max(20, len(text.split())))
+    total = sum(weights)
+    return max(weights), math.log1p(total), math.log1p(100 * total / max(SHORT, len(text.split())))
 
 
 def score(text: str, lexicon: Lexicon, key: tuple) -> float:
@@ -182,7 +186,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> tuple[float, .
 
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_train: int = 20_000, min_docs: int = 8, least_weight: float = 2.5, max_entries: int = 2_000, starts: tuple[int, ...] = (4, 5, 6),
+    max_train: int = 20_000, min_docs: int = 8, least_weight: float = 1.5, max_entries: int = 2_000, starts: tuple[int, ...] = (4, 5, 6, 7, 8),
     seed: Iterable[str] = tuple(SEED), exceptions: Iterable[str] = tuple(EXCEPTIONS),
 ) -> Lexicon:
     """A lexicon from labelled rows that are not held out.
@@ -200,7 +204,6 @@ def learn(
     rows = docs.select(F.col(id_col).alias("__d"), F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(chosen), F.col("__d") == F.col("__id"))
     # near copies would make any of their words look like a sign
     train = written(one_of_copies(rows, "__d", "__text", "__toxic").select("__text", "__toxic"), "toxic_train")
-    bound_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,9 +248,9 @@ def learn(
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [signs(t or "", key) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s], pa.float64()), pa.array([x[1] for x in s], pa.float64()), pa.array([x[2] for x in s], pa.float64()), b.column(1)], names=["any", "sum", "density", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s], pa.float64()), pa.array([x[1] for x in s], pa.float64()), pa.array([x[2] for x in s], pa.float64()), b.column(1)], names=["top", "sum", "density", "y"])
 
-    got = np.array(train.mapInArrow(seen, "any double, sum double, density double, y int").collect(), float)  # at most max_train rows
+    got = np.array(train.mapInArrow(seen, "top double, sum double, density double, y int").collect(), float)  # at most max_train rows
     return Lexicon(words, begins, tuple(exceptions), _fit_curve(got[:, :3], got[:, 3]))
 
 
@@ -259,7 +262,6 @@ def scored(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: st
 
 def drop_toxic(df: DataFrame, lexicon: Lexicon, text_col: str = "text", at: float = 0.7) -> DataFrame:
     """The rows of `df` that score below `at`, with their columns."""
-    bound_batches(df.sparkSession)
     key, name = lexicon.key(), free_name(df, "__toxicity")
 
     @F.arrow_udf("double")
