@@ -3,7 +3,8 @@
 Each rule votes good, bad, or abstains. Expectation-maximisation over the counts of vote patterns,
 which are at most 3 ** rules rows whatever the corpus, estimates how often each rule votes each way
 on good and on bad documents; a document is kept if its posterior probability of being good reaches
-`keep_at`. A base test comes first and overrides the verdict.
+`keep_at`. A bad vote alone rejects nothing: that of a rule that is often wrong is outvoted. A base
+test comes first and overrides the verdict; the estimate is made over the documents that pass it.
 
 Words are runs of anything but the six ASCII white-space bytes. Null and empty texts have no words,
 fail the base test and get all-abstaining votes. Repeated rows each get a row. An empty table gives
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bound_batches, free_name, per_text, written
+from factloom.llm.common import free_name, per_text, written
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -73,21 +74,21 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
 def rules(f) -> dict[str, Column]:
     """Name -> vote; `f` gives a feature's column by name.
 
-    All but the last know one fault and abstain where they don't see it; the last knows prose, by all
-    its measures at once, and abstains elsewhere.
+    Each rule looks at one measure and votes at the ends of its range, abstaining between. They are
+    loose on purpose: short texts, a few repeated lines or an odd word length say little alone, and how
+    much each vote is worth is left to the estimate.
     """
     n, lines, letters = f("n_words"), f("n_lines"), f("n_upper") + f("n_lower")
     some = n > 0
-    prose = (f("n_symbols") <= 0.02 * n) & (f("n_upper") <= 0.2 * letters) & (f("n_marks") <= 0.1 * n) & (f("n_repeat_words") <= 0.25 * n)
     return {
-        "symbols": _vote(f("n_symbols") > 0.1 * n),
-        "capitals": _vote((letters >= 20) & (f("n_upper") > 0.35 * letters)),
-        "exclaims": _vote(some & (f("n_marks") > 0.25 * n)),
-        "dup_lines": _vote((lines > 3) & (f("n_dup_lines") > 0.4 * lines)),
-        "repeats": _vote(some & (f("n_repeat_words") > 0.45 * n)),
-        "word_length": _vote(some & ((f("word_chars") < 2 * n) | (f("word_chars") > 14 * n))),
-        "open_lines": _vote((lines > 3) & (f("n_closed") < 0.3 * lines)),
-        "prose": _vote(F.lit(False), some & prose & (f("n_closed") >= 0.3 * lines)),
+        "symbols": _vote(some & (f("n_symbols") > 0.1 * n), some & (f("n_symbols") <= 0.02 * n)),
+        "word_length": _vote(some & ((f("word_chars") < 4.3 * n) | (f("word_chars") > 6.5 * n)), some & (f("word_chars") >= 4.6 * n) & (f("word_chars") <= 6 * n)),
+        "open_lines": _vote((lines > 0) & (f("n_closed") < 0.8 * lines), (lines > 0) & (f("n_closed") >= 0.95 * lines)),
+        "repeats": _vote(some & (f("n_repeat_words") > 0.15 * n), some & (f("n_repeat_words") <= 0.01 * n)),
+        "dup_lines": _vote((lines > 0) & (f("n_dup_lines") > 0.15 * lines), (lines >= 5) & (f("n_dup_lines") == 0)),
+        "capitals": _vote((letters >= 20) & (f("n_upper") > 0.25 * letters), (letters > 0) & (f("n_upper") >= 0.01 * letters) & (f("n_upper") <= 0.06 * letters)),
+        "exclaims": _vote(some & (f("n_marks") > 0.1 * n)),
+        "length": _vote(n < 75, n >= 150),
     }
 
 
@@ -103,62 +104,83 @@ def pattern(votes: dict[str, Column]) -> Column:
     return code
 
 
-def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, tolerance: float = 1e-9, prior: float = 0.02) -> dict[int, float]:
-    """Posterior probability of good for each vote pattern, by expectation-maximisation.
+#: How rules vote on good and on bad documents before any is seen: (abstain, bad, good).
+BELIEF = {"good": (0.45, 0.10, 0.45), "bad": (0.40, 0.35, 0.25)}
+#: Documents that this belief counts for, in each class.
+BELIEF_DOCS = 10.0
 
-    For good and for bad documents it estimates how often each rule votes bad, votes good and
-    abstains. It starts from the votes themselves: a document with a bad vote is bad, at odds of nine
-    to one, any other good. `prior` is the weight, as a share of all documents, of the belief in rules
-    that vote as they should, which holds the two classes in their places where votes are few. A
-    pattern without a vote counts as the share of good documents and the abstentions tell.
+
+class Model:
+    """What the estimate knows: the share of good documents, and for each rule how often it abstains,
+    votes bad and votes good on good and on bad documents."""
+
+    def __init__(self, share: float, good: np.ndarray, bad: np.ndarray) -> None:
+        self.share, self.good, self.bad = share, good, bad
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of good for rows of votes."""
+        hot = _hot(votes)
+        odds = math.log(self.share / (1 - self.share)) + np.einsum("prv,rv->p", hot, np.log(self.good) - np.log(self.bad))
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def _hot(votes: np.ndarray) -> np.ndarray:
+    return np.stack([votes == v for v in range(3)], axis=2).astype(float)
+
+
+def votes_of(codes: list[int], n_rules: int) -> np.ndarray:
+    """The votes that patterns stand for, a row for each."""
+    return np.array([[c // 3 ** (n_rules - 1 - k) % 3 for k in range(n_rules)] for c in codes], int).reshape(-1, n_rules)
+
+
+def fit(counts: dict[int, int], n_rules: int, rounds: int = 500, tolerance: float = 1e-9) -> Model:
+    """The model by expectation-maximisation over the numbers of documents with each vote pattern.
+
+    It starts from the votes' majority. A few documents' worth of belief in rules that are more often
+    right than wrong keeps good and bad in their places and rates off 0 and 1; it doesn't grow with the
+    corpus.
     """
     codes = sorted(counts)
-    if not codes:
-        return {}
-    votes = np.array([[c // 3 ** (n_rules - 1 - k) % 3 for k in range(n_rules)] for c in codes])
-    n = np.array([counts[c] for c in codes], float)
-    good = np.where((votes == 1).any(axis=1), 0.1, 0.9)
-    hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)
-    # abstains, votes bad, votes good: the fault rules, then the prose rule
-    fault, prose = np.ones((n_rules - 1, 1)), np.ones((1, 1))
-    belief = {
-        "good": np.concatenate([fault * [0.985, 0.01, 0.005], prose * [0.1, 0.005, 0.895]]),
-        "bad": np.concatenate([fault * [0.695, 0.3, 0.005], prose * [0.895, 0.005, 0.1]]),
-    }
-    strength = 1 + prior * n.sum()
+    votes, n = votes_of(codes, n_rules), np.array([counts[c] for c in codes], float)
+    hot = _hot(votes)
+    bad, fine = (votes == 1).sum(axis=1), (votes == 2).sum(axis=1)
+    good = np.where(bad == 0, 0.95, (fine + 1) / (bad + fine + 2))
     for _ in range(rounds):
         rates = {}
         for side, weight in (("good", good * n), ("bad", (1 - good) * n)):
-            t = np.einsum("p,prv->rv", weight, hot) + strength * belief[side]
+            t = np.einsum("p,prv->rv", weight, hot) + BELIEF_DOCS * np.array(BELIEF[side])
             rates[side] = t / t.sum(axis=1, keepdims=True)
-        share = (good @ n + 1) / (n.sum() + 2)
-        odds = math.log(share / (1 - share)) + np.einsum("prv,rv->p", hot, np.log(rates["good"]) - np.log(rates["bad"]))
-        now = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        moved, good = np.abs(now - good).max(), now
+        model = Model((good @ n + 0.9 * BELIEF_DOCS) / (n.sum() + BELIEF_DOCS), rates["good"], rates["bad"])
+        now = model.posterior(votes)
+        moved, good = np.abs(now - good).max(initial=0.0), now
         if moved < tolerance:
             break
-    return dict(zip(codes, good.tolist()))
+    return model
 
 
-def _posteriors(rows: DataFrame, code: str) -> dict[int, float]:
-    counts = {r[0]: r[1] for r in rows.groupBy(code).count().collect()}  # at most 3 ** rules rows
-    return fit(counts, len(rules(F.col)))
+def _posteriors(rows: DataFrame, code: str, failed: str) -> dict[int, float]:
+    """Vote pattern -> posterior. The model is fitted to the documents that the base test leaves open;
+    every pattern that a document has gets its posterior."""
+    n_rules = len(rules(F.col))
+    counts = rows.groupBy(code).agg(F.count_if(~F.col(failed)).alias("n")).collect()  # at most 3 ** rules rows
+    codes = [r[0] for r in counts]
+    model = fit({r[0]: r[1] for r in counts if r[1]}, n_rules)
+    return dict(zip(codes, model.posterior(votes_of(codes, n_rules)).tolist()))
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.1) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
     """Rows (id_col, the five counts, base_failed, kept, posterior double) for every row of `df`."""
     rows = per_text(df, text_col, [id_col], _ARROW, _DDL, features)
     rows = written(rows.select(id_col, *FEATURES[:5], base_failed(F.col).alias("base_failed"), pattern(rules(F.col)).alias("__code")), "quality")
-    found = _posteriors(rows, "__code")
+    found = _posteriors(rows, "__code", "base_failed")
     table = rows.sparkSession.createDataFrame(sorted(found.items()), "__pattern int, __good double")
     told = rows.join(F.broadcast(table), F.col("__code") == F.col("__pattern"), "left")  # at most 3 ** rules rows
     good = F.coalesce("__good", F.lit(0.0))
     return told.select(id_col, *FEATURES[:5], "base_failed", (~F.col("base_failed") & (good >= keep_at)).alias("kept"), good.alias("posterior"))
 
 
-def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.1) -> DataFrame:
+def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
     """The rows of `df` that `judge` keeps, with their columns."""
-    bound_batches(df.sparkSession)
     code, failed = free_name(df, "__code"), free_name(df, "__failed")
 
     @F.arrow_udf(f"struct<{_DDL.replace(' long', ':bigint')}>")
@@ -171,5 +193,5 @@ def keep_good(df: DataFrame, text_col: str = "text", keep_at: float = 0.1) -> Da
     of = lambda name: F.col(f"{got}.{name}")
     # one pass counts the patterns, another, when the rows are read, counts again what it keeps: no copy of the texts is written
     rows = rows.withColumn(code, pattern(rules(of))).withColumn(failed, base_failed(of))
-    good = sorted(c for c, p in _posteriors(rows, code).items() if p >= keep_at)
+    good = sorted(c for c, p in _posteriors(rows, code, failed).items() if p >= keep_at)
     return rows.where(~F.col(failed) & F.col(code).isin(*good) if good else F.lit(False)).drop(got, code, failed)
