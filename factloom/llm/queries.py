@@ -67,4 +67,4 @@ QUERIES: dict[str, Query] = {
     for f in (op1_toxicity, op2_embedding_near_dedup, op3_chat_formatting, op4_quality_rules, op5_token_files, op6_url_filters, op7_source_mixing, op8_simhash_near_dedup, op9_byte_bpe, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op6_url_filters": urls.SQL, "op10_token_counts": tokencounts.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op6_url_filters": urls.SQL, "op2_embedding_near_dedup": embedding.SQL}
