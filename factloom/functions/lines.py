@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,51 +35,73 @@ def text_metrics(text: Column) -> Column:
     return F.struct(physical.alias("physical"), zero.alias("code"), zero.alias("comment"), blank.alias("blank"), (physical - blank).alias("unclassified"))
 
 
+#: What a scan steps over at once. A slash opens a regular expression where no value stands before it.
+_TOKEN = re.compile(
+    r"""(?P<space>[^\S\n]+) | (?P<line>\n) | (?P<rest>//[^\n]*) | (?P<block>/\*.*?(?:\*/|\Z))
+      | (?P<string>'(?:\\.|[^'\\\n])*'? | "(?:\\.|[^"\\\n])*"?) | (?P<template>`) | (?P<open>\{) | (?P<close>\})
+      | (?P<word>[\w$]+) | (?P<slash>/) | (?P<value>[)\]]) | (?P<sign>.)""",
+    re.X | re.S,
+)
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/\w*")
+#: A template's text up to its end or to the code within it.
+_TEMPLATE = re.compile(r"(?:\\.|(?!\$\{)[^`\\])*(?P<end>`|\$\{|\Z)", re.S)
+#: Words after which a value is awaited, so that a slash can't divide.
+_BEFORE_VALUE = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
+
+
 def scan_curly(text: str) -> tuple[int, int, int, int]:
-    """(physical, code, comment, blank) of a text with // and /* */ comments and ', ", ` strings.
+    """(physical, code, comment, blank) of a text with // and /* */ comments, strings, regular
+    expressions and templates, which may hold code that holds templates.
 
     A line that has code counts as code, also if a comment is on it.
     """
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not text:
         return 0, 0, 0, 0
-    n = text.count("\n") + (not text.endswith("\n"))
     code, comment = set(), set()
-    line, i, state, quote = 0, 0, "code", ""
-    while i < len(text):
-        c, two = text[i], text[i : i + 2]
-        if c == "\n":
+    line, at, value = 0, 0, False
+    depth: list[int] = []  # braces open inside each template's code, the innermost last
+
+    def over(token: str, lines: set[int]) -> None:
+        """Counts the lines that a token lies on, a break at its end left out, and steps over it."""
+        nonlocal line
+        lines.update(range(line, line + token[:-1].count("\n") + 1))
+        line += token.count("\n")
+
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        kind, token = m.lastgroup, m[0]
+        at = m.end()
+        if kind == "line":
             line += 1
-            state = "code" if state in ("line", "string") and quote != "`" or state == "line" else state
-            i += 1
             continue
-        if state == "code":
-            if two == "//":
-                state = "line"
-            elif two == "/*":
-                state = "block"
-                comment.add(line)
-                i += 2
-                continue
-            elif c in "'\"`":
-                state, quote = "string", c
-                code.add(line)
-            elif not c.isspace():
-                code.add(line)
-        elif state == "string":
-            code.add(line)
-            if c == "\\" and i + 1 < len(text) and text[i + 1] != "\n":
-                i += 1
-            elif c == quote:
-                state, quote = "code", ""
-        elif state == "block" and two == "*/":
-            comment.add(line)
-            state = "code"
-            i += 2
+        if kind == "space":
+            continue
+        if kind in ("rest", "block"):
+            over(token, comment)
             continue
-        if state in ("line", "block"):
-            comment.add(line)
-        i += 1
+        if kind == "slash" and not value and (r := _REGEX.match(text, at - 1)):
+            at, kind = r.end(), "string"
+        code.add(line)
+        if kind == "open" and depth:
+            depth[-1] += 1
+        if kind == "close" and depth and depth[-1]:
+            depth[-1] -= 1
+        elif kind == "template" or kind == "close" and depth:
+            if kind == "close":
+                depth.pop()
+            body = _TEMPLATE.match(text, at)
+            over(body[0], code)
+            at = body.end()
+            if body["end"] == "${":
+                depth.append(0)
+                value = False
+                continue
+            kind = "string"
+        elif kind == "string":
+            over(token, code)
+        value = kind in ("string", "value", "close") or kind == "word" and token not in _BEFORE_VALUE
+    n = text.count("\n") + (not text.endswith("\n"))
     comment -= code
     return n, len(code), len(comment), max(0, n - len(code) - len(comment))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.sources.tables import Rounds
 
-#: Bounds of value propagation.
-MAX_DEPTH, MAX_ALTERNATIVES = 12, 32
+#: Bounds of value propagation: steps away, values, and occurrences looked at for one.
+MAX_DEPTH, MAX_ALTERNATIVES, MAX_STEPS = 12, 32, 2_000
 
 
 def def_use(occurrences: DataFrame) -> DataFrame:
@@ -41,11 +41,20 @@ def contained(inner: DataFrame, outer: DataFrame, unique: bool = True) -> DataFr
     """(inner_id, outer_id): outer spans (id, source, revision, start, end) within which an inner one
     lies; with `unique` only where there is just one.
 
-    Both sides meet on source and revision; spans of a source are compared by the range.
+    Outer spans go by their length to a level, whose bins are as long as the longest span of it; a span
+    touches two bins at most. An inner span looks in the bin that its start lies in, once for each level
+    that any outer span has, of which there are at most 64. So the spans of one source meet by source,
+    level and bin, not all with all.
     """
-    a = inner.select(F.col("id").alias("inner_id"), "source", "revision", "start", "end")
-    b = outer.select(F.col("id").alias("outer_id"), F.col("source").alias("__s"), F.col("revision").alias("__r"), F.col("start").alias("__a"), F.col("end").alias("__z"))
-    met = a.join(b, (F.col("source") == F.col("__s")) & (F.col("revision") == F.col("__r")) & (F.col("__a") <= F.col("start")) & (F.col("end") <= F.col("__z")))
+    levels = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
+    sized = outer.where("start <= end").select(F.col("id").alias("outer_id"), F.col("source").alias("__s"), F.col("revision").alias("__r"), F.col("start").alias("__a"), F.col("end").alias("__z"), levels.alias("__level"))
+    bin_of = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level)).cast("long")
+    b = sized.withColumn("__bin", F.explode(F.sequence(bin_of(F.col("__a"), F.col("__level")), bin_of(F.col("__z"), F.col("__level")))))
+    known = sorted(r[0] for r in sized.select("__level").distinct().collect())  # at most 64 numbers
+    a = inner.where("start <= end").select(F.col("id").alias("inner_id"), "source", "revision", "start", "end")
+    a = a.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in known]).cast("array<int>"))).withColumn("__b", bin_of(F.col("start"), F.col("__l")))
+    same = (F.col("source") == F.col("__s")) & (F.col("revision") == F.col("__r")) & (F.col("__l") == F.col("__level")) & (F.col("__b") == F.col("__bin"))
+    met = a.join(b, same & (F.col("__a") <= F.col("start")) & (F.col("end") <= F.col("__z")))
     if not unique:
         return met.select("inner_id", "outer_id")
     return met.groupBy("inner_id").agg(F.count("*").alias("n"), F.min("outer_id").alias("outer_id")).where("n = 1").select("inner_id", "outer_id")
@@ -64,37 +73,48 @@ def builder_calls(calls: DataFrame, bindings: DataFrame, symbol: str) -> DataFra
     return direct.unionByName(hop.select(F.col("outer").alias("call"), F.col("wrapper").cast("string").alias("via")).distinct())
 
 
-def propagate(occurrences: DataFrame, sources: DataFrame, max_depth: int = MAX_DEPTH, max_alternatives: int = MAX_ALTERNATIVES) -> DataFrame:
+def propagate(occurrences: DataFrame, sources: DataFrame, max_depth: int = MAX_DEPTH, max_alternatives: int = MAX_ALTERNATIVES, max_steps: int = MAX_STEPS, steps: int = 4) -> DataFrame:
     """(id, kind, values, reason): the values that reach each occurrence.
 
     occurrences: (id, value), value null where it is not literal; sources: (id, from), the occurrences
     an occurrence takes its value from. A literal is its own value. One value is known, several are
-    ambiguous, cut after `max_alternatives`; without a source, beyond `max_depth` steps, or where a
-    cycle closes, the value is unknown.
+    ambiguous, cut after `max_alternatives`; without a source, beyond `max_depth` steps, where a cycle
+    closes, or where more than `max_steps` occurrences are looked at, on all ways, the value is unknown.
+
+    What an occurrence knows within d steps follows from what its sources know within d - 1, so the
+    values flow from the literals, `steps` of them in one job, and every round has one row for each
+    occurrence: its values up to one more than shown, whether a way ends or goes on, and the occurrences looked at.
     """
     rounds = Rounds(occurrences.sparkSession, "values")
-    hop = rounds.put(sources.join(occurrences.where("value IS NOT NULL").select("id"), "id", "left_anti").select(F.col("id").alias("__id"), F.col("from").alias("__from")).distinct())
-    known = rounds.put(occurrences.where("value IS NOT NULL").select(F.col("id").alias("at"), "value"))
-    has = hop.select(F.col("__id").alias("at")).distinct().withColumn("has", F.lit(True))
-    walk = rounds.put(occurrences.select("id", F.col("id").alias("at")))
-    ends = None
-    for d in range(max_depth + 1):
-        met = walk.join(known, "at", "left").join(has, "at", "left")
-        met = rounds.put(met)
-        done = met.where("value IS NOT NULL").select("id", "value", F.lit(None).cast("string").alias("reason"))
-        stuck = met.where("value IS NULL AND has IS NULL").select("id", F.lit(None).cast("string").alias("value"), F.lit("VALUE_NO_SEMANTIC_PATH").alias("reason"))
-        part = done.select("id", F.col("value").cast("string").alias("value"), "reason").unionByName(stuck)
-        ends = part if ends is None else ends.unionByName(part)
-        walk = rounds.put(met.where("value IS NULL AND has").select("id", "at").join(hop, F.col("at") == F.col("__id")).select("id", F.col("__from").alias("at")).distinct())
-        if walk.isEmpty():
+    hop = sources.join(occurrences.where("value IS NOT NULL").select("id"), "id", "left_anti").select(F.col("id").alias("__id"), F.col("from").alias("__from")).distinct()
+    hop = rounds.put(hop)
+    kind = occurrences.schema["value"].dataType.simpleString()
+    none, one = F.array().cast("array<string>"), F.lit(1).cast("long")
+    has = hop.select(F.col("__id").alias("__has")).distinct()
+    start = occurrences.join(has, F.col("id") == F.col("__has"), "left")
+    open_, literal = F.col("__has").isNotNull(), F.col("value").isNotNull()
+    values = F.when(literal, F.array(F.col("value").cast("string") if kind != "string" else F.col("value"))).otherwise(none)
+    start = start.select("id", values.alias("values"), (~literal & ~open_).alias("stuck"), (~literal & open_).alias("deep"), one.alias("looked"), F.lit(True).alias("own"))
+    # a source that is no occurrence has no value and no way on
+    strange = hop.select(F.col("__from").alias("id")).distinct().join(occurrences.select("id"), "id", "left_anti")
+    now = rounds.put(start.unionByName(strange.select("id", none.alias("values"), F.lit(True).alias("stuck"), F.lit(False).alias("deep"), one.alias("looked"), F.lit(False).alias("own"))))
+    fixed = now.where("NOT deep")
+    for at in range(0, max_depth, steps):
+        level = now
+        for _ in range(min(steps, max_depth - at)):
+            met = hop.join(level, F.col("__from") == F.col("id")).groupBy(F.col("__id").alias("id")).agg(
+                F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("values")))), 1, max_alternatives + 1).alias("values"),
+                F.max("stuck").alias("stuck"), F.max("deep").alias("deep"), F.least(F.sum("looked") + 1, F.lit(max_steps + 1)).cast("long").alias("looked"), F.lit(True).alias("own"),
+            )
+            level = fixed.unionByName(met)
+        now = rounds.put(level)
+        if now.where("deep").isEmpty():
             break
-    over = walk.select("id", F.lit(None).cast("string").alias("value"), F.lit("VALUE_DEPTH_LIMIT").alias("reason"))
-    found = ends.unionByName(over).groupBy("id").agg(F.array_sort(F.collect_set("value")).alias("values"), F.min("reason").alias("reason"))
     n = F.size("values")
-    kind = F.when(F.col("reason").isNotNull(), "unknown").when(n == 1, "known").otherwise("ambiguous")
-    reason = F.coalesce("reason", F.when(n > max_alternatives, "VALUE_ALTERNATIVE_LIMIT").when(n > 1, "VALUE_ALTERNATIVES"))
-    shown = F.when(F.col("reason").isNotNull(), F.slice("values", 1, 0)).otherwise(F.slice("values", 1, max_alternatives))
-    return found.select("id", kind.alias("kind"), shown.alias("values"), reason.alias("reason"))
+    lost = F.when(F.col("deep"), "VALUE_DEPTH_LIMIT").when(F.col("stuck"), "VALUE_NO_SEMANTIC_PATH").when(F.col("looked") > max_steps, "VALUE_STEP_LIMIT")
+    reason = F.coalesce(lost, F.when(n > max_alternatives, "VALUE_ALTERNATIVE_LIMIT").when(n > 1, "VALUE_ALTERNATIVES"))
+    shown = F.when(lost.isNotNull(), F.slice("values", 1, 0)).otherwise(F.slice("values", 1, max_alternatives))
+    return now.where("own").select("id", F.when(lost.isNotNull(), "unknown").when(n == 1, "known").otherwise("ambiguous").alias("kind"), shown.alias("values"), reason.alias("reason"))
 
 
 def topology_errors(occurrences: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -140,3 +140,68 @@ def duplicates(rows: DataFrame, content: list[str], order: str) -> DataFrame:
     for c in content:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return rows.join(renamed, same).where(F.col(order) != F.col("first")).select(order, "first")
+
+
+class Contract:
+    """What facts of one namespace have to be: a schema version and a payload of a given shape. Fields
+    of the shape that are `required` may not be null."""
+
+    def __init__(self, namespace: str, payload: str, version: int = 1, required: tuple[str, ...] = ()) -> None:
+        self.namespace, self.payload, self.version, self.required = namespace, payload, version, required
+
+    def faults(self) -> Column:
+        """An array of what is wrong with a fact: namespace, schema-version, payload, and null fields."""
+        parsed = F.from_json("payload", self.payload, {"mode": "PERMISSIVE"})
+        readable = F.try_parse_json("payload")
+        wrong = [
+            F.when(~F.col("namespace").eqNullSafe(F.lit(self.namespace)), F.concat(F.lit("namespace:"), F.coalesce("namespace", F.lit("")))),
+            F.when(~F.col("schema_version").eqNullSafe(F.lit(self.version)), F.concat(F.lit("schema-version:"), F.coalesce(F.col("schema_version").cast("string"), F.lit("")))),
+            F.when(readable.isNull() | ~F.coalesce(F.schema_of_variant(readable).startswith("OBJECT"), F.lit(False)), "payload"),
+            *[F.when(readable.isNotNull() & parsed.getField(f).isNull(), F.lit(f"field:{f}")) for f in self.required],
+        ]
+        return F.array_compact(F.array(*wrong))
+
+
+def violations(facts: DataFrame, contract: Contract) -> DataFrame:
+    """(fact_id, faults) of facts that break the contract."""
+    return facts.select("fact_id", contract.faults().alias("faults")).where(F.size("faults") > 0)
+
+
+def typed(facts: DataFrame, contract: Contract, f: FactFilter = FactFilter()) -> DataFrame:
+    """Facts of the contract's namespace that pass the filter, with the payload as a struct; fails, when
+    it runs, on a fact that breaks the contract."""
+    own = select(facts.where(F.col("namespace") == contract.namespace), f)
+    text = F.concat(F.lit("fact "), F.col("fact_id").cast("string"), F.lit(" breaks its contract: "), F.array_join("__faults", ", "))
+    sound = F.when(F.size("__faults") == 0, True).otherwise(F.raise_error(text).cast("boolean"))
+    return own.withColumn("__faults", contract.faults()).where(sound).drop("__faults").withColumn("payload", F.from_json("payload", contract.payload))
+
+
+def one_each(facts: DataFrame, keys: tuple[str, ...] = ("namespace", "subject")) -> DataFrame:
+    """Facts, of any number of universes, that are the only one of their keys; fails, when it runs, on
+    keys that several have."""
+    several = facts.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*[F.col(k).alias(f"__{k}") for k in keys], "__n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    text = F.concat(F.lit("expected one fact of "), F.concat_ws(" ", *keys), F.lit(", found "), F.col("__n").cast("string"))
+    return facts.join(several, same, "left").where(F.when(F.col("__n").isNull(), True).otherwise(F.raise_error(text).cast("boolean"))).drop("__n", *[f"__{k}" for k in keys])
+
+
+def repeated(facts: DataFrame, keys: tuple[str, ...] = ("namespace", "subject")) -> DataFrame:
+    """(keys, n): keys that several facts have."""
+    return facts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def corpus_summary(facts: DataFrame) -> DataFrame:
+    """(dimension, key, facts, bytes): number of facts and bytes of payload of the whole corpus, by
+    namespace, by kind and by completeness, in one shuffle."""
+    size = F.coalesce(F.octet_length(F.col("payload").cast("string")), F.lit(0)).cast("long")
+    axes = {"all": F.lit("all"), "namespace": F.col("namespace"), "kind": F.col("kind"), "completeness": F.col("completeness.kind")}
+    each = facts.select(size.alias("b"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.alias("key")) for d, c in axes.items()])).alias("d"))
+    return each.groupBy("d.dimension", "d.key").agg(F.count("*").alias("facts"), F.sum("b").alias("bytes"))
+
+
+def largest_facts(facts: DataFrame, limit: int = 20) -> DataFrame:
+    """The facts with the most bytes of payload, then the least id."""
+    size = F.coalesce(F.octet_length(F.col("payload").cast("string")), F.lit(0)).cast("long")
+    return facts.select("fact_id", "namespace", "kind", size.alias("bytes")).orderBy(F.desc("bytes"), "fact_id").limit(limit)

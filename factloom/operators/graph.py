@@ -1,7 +1,7 @@
 """Closures and other operators over edge tables (src, dst).
 
-Fixpoints run as frontier joins: each round's new nodes are written to the shared folder, which cuts
-the lineage and survives lost executors, and only their number comes to the driver.
+Fixpoints run as frontier joins, several steps in one job. Each job's new nodes are written to the
+shared folder, which cuts the lineage and survives lost executors; only their number comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,20 +12,35 @@ from pyspark.sql import functions as F
 from factloom.sources.tables import Rounds
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, include_seeds: bool = True) -> DataFrame:
-    """(node, distance): what `seeds` (node) reach along edges, by the fewest steps; cycles are fine."""
+#: Steps of a fixpoint in one job: fewer jobs against a longer plan.
+STEPS = 4
+#: Frontiers that lie apart before they are drawn together in one table.
+APART = 8
+
+
+def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, include_seeds: bool = True, steps: int = STEPS) -> DataFrame:
+    """(node, distance): what `seeds` (node) reach along edges, by the fewest steps; cycles are fine.
+
+    A job takes `steps` steps from the nodes that are farthest so far. What it meets and was seen before
+    has a shorter way already; what is new has its shortest way from that frontier. A chain of n nodes
+    takes n / steps jobs, up to `max_rounds`.
+    """
     rounds = Rounds(edges.sparkSession, "closure")
-    hop = edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
-    hop = rounds.put(hop)
-    frontier = rounds.put(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("distance", F.lit(0)))
-    seen = frontier
-    for d in range(1, max_rounds + 1):
-        found = frontier.join(hop, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = found.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d))
-        frontier = rounds.put(new)
-        if frontier.isEmpty():
+    hop = rounds.put(edges.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
+    near = rounds.put(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("distance", F.lit(0)))
+    seen, far = near, near.select("node")
+    for r in range(max_rounds):
+        level, found = far, None
+        for k in range(1, steps + 1):
+            level = level.join(hop, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            part = level.withColumn("distance", F.lit(r * steps + k))
+            found = part if found is None else found.unionByName(part)
+        new = found.groupBy("node").agg(F.min("distance").alias("distance")).join(seen.select("node"), "node", "left_anti")
+        table, n = rounds.counted(new)
+        if not n:
             break
-        seen = seen.unionByName(frontier) if d % 16 else rounds.put(seen.unionByName(frontier))
+        far = table.where(F.col("distance") == (r + 1) * steps).select("node")
+        seen = seen.unionByName(table) if (r + 1) % APART else rounds.put(seen.unionByName(table))
     else:
         raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
     return seen if include_seeds else seen.where("distance > 0")
@@ -106,29 +121,53 @@ def topology(edges: DataFrame, keys: list[str], declaration: str, weight: str) -
     return edges.groupBy(*keys).agg(F.count_distinct(declaration).alias("declarations"), F.sum(weight).alias("weight"))
 
 
-def cycles(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _labels(edges: DataFrame, rounds: Rounds, max_rounds: int, steps: int) -> DataFrame:
+    """(node, label): the least node that leads to each node, itself included."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    now = rounds.put(ends.withColumn("label", F.col("node")).withColumn("moved", F.lit(True)))
+    for _ in range(max_rounds):
+        step = now.select("node", "label")
+        for _ in range(steps):
+            sent = edges.join(step.select(F.col("node").alias("__n"), "label"), F.col("src") == F.col("__n")).select(F.col("dst").alias("node"), "label")
+            step = step.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
+        old = now.select(F.col("node").alias("__n"), F.col("label").alias("__old"))
+        now = rounds.put(step.join(old, F.col("node") == F.col("__n")).select("node", "label", (F.col("label") != F.col("__old")).alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select("node", "label")
+    raise RuntimeError(f"the labels did not settle in {max_rounds} rounds")
+
+
+def cycles(edges: DataFrame, max_rounds: int = 10_000, steps: int = STEPS) -> DataFrame:
     """(node, cycle): nodes that reach themselves, by the least node of their strong component. Ours.
 
-    Nodes without a way in or out are trimmed first, round by round; a closure of pairs is taken
-    among what is left, which holds the cycles and what lies between them.
+    Nodes without a way in or out are trimmed. Every other node takes the least node that leads to it as
+    its label; a node that is its own label, and what leads to it among nodes of that label, are one
+    component, since the label leads to them. These go, and the rest is done again. Tables hold one row
+    for a node or an edge, never one for a pair of nodes.
     """
     rounds = Rounds(edges.sparkSession, "cycles")
-    core = rounds.put(edges.select("src", "dst").distinct())
-    n = core.count()
+    core, n = rounds.counted(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    found = rounds.put(core.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.lit(True).alias("own")).limit(0))
     for _ in range(max_rounds):
-        ins, outs = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
-        core = rounds.put(core.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
-        m = core.count()
-        if m == n:
-            break
-        n = m
-    reach = core
-    for _ in range(max_rounds):
-        step = reach.select(F.col("src").alias("dst"), F.col("dst").alias("__to"))
-        grown = rounds.put(reach.select("src", "dst").unionByName(reach.join(step, "dst").select("src", F.col("__to").alias("dst"))).distinct())
-        m = grown.count()
-        if m == n:
-            break
-        reach, n = grown, m
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("cycle"))
+        while n:
+            ins, outs = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
+            core, m = rounds.counted(core.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
+            if m > 0.9 * n:  # a long way of few nodes each round isn't worth it: labels end it too
+                n = m
+                break
+            n = m
+        if not n:
+            out = found.groupBy("cycle").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select(F.col("cycle").alias("__c"))
+            return found.join(out, F.col("cycle") == F.col("__c"), "left_semi").select("node", "cycle")
+        labels = _labels(core, rounds, max_rounds, steps)
+        of = lambda end: labels.select(F.col("node").alias(f"__{end}"), F.col("label").alias(f"__l{end}"))
+        within = rounds.put(core.join(of("src"), F.col("src") == F.col("__src")).join(of("dst"), F.col("dst") == F.col("__dst")).where("__lsrc = __ldst").select("src", "dst"))
+        roots = labels.where("node = label").select("node")
+        back = closure(reverse(within), roots, max_rounds, steps=steps).select(F.col("node").alias("__n"))
+        loops = core.where("src = dst").select(F.col("src").alias("__loop"))
+        part = labels.join(back, F.col("node") == F.col("__n"), "left_semi").join(loops, F.col("node") == F.col("__loop"), "left")
+        part = rounds.put(part.select("node", F.col("label").alias("cycle"), F.col("__loop").isNotNull().alias("own")))
+        found = rounds.put(found.unionByName(part))
+        gone = part.select(F.col("node").alias("__g"))
+        core, n = rounds.counted(core.join(gone, F.col("src") == F.col("__g"), "left_anti").join(gone, F.col("dst") == F.col("__g"), "left_anti"))
+    raise RuntimeError(f"the cycles did not end in {max_rounds} rounds")

@@ -1,9 +1,14 @@
-"""The fact ledger: immutable shards of facts, generations that name them, and a current pointer.
+"""The fact ledger: immutable shards of facts, generations that name them, and the newest as current.
 
 Shards are content-addressed and written once; a generation is a manifest of shards, so unchanged
-shards are shared between generations. A commit writes its tables first and the small pointer file
-last, so a reader sees a whole generation or none. A reader is pinned to the generation it opened.
-One writer for each universe; a commit that names another base than the current one is refused.
+shards are shared between generations. A commit writes its tables first and the generation's small file
+last, whole and without overwriting: a reader sees a whole generation or none, and of two writers with
+the same base one wins and the other's base is stale. The highest generation is current. A reader is
+pinned to the generation it opened.
+
+Shards lie in folders by the beginning of their digest, so a read of some shards, or a check whether
+they are there, opens their folders only. A commit looks at the facts that it brings and, of the others,
+at those that name or are named by a fact that it adds or takes away.
 """
 
 from __future__ import annotations
@@ -11,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from factloom.functions.identity import set_digest
 from factloom.operators.diffs import manifest_changes
 from factloom.operators.facts import SCHEMA as FACTS
+from factloom.sources.tables import Rounds, publish, small_text
 
 MANIFEST = "shard_key string, shard_digest string, namespace string, schema_version int, facts bigint, capabilities array<string>"
 
@@ -40,6 +45,7 @@ class Generation:
     producer: str
     source_manifest: str
     capabilities: tuple[str, ...]
+    attempt: str = ""
 
 
 def fact_line() -> Column:
@@ -47,12 +53,27 @@ def fact_line() -> Column:
     return F.to_json(F.struct("fact_id", "namespace", "schema_version", "kind", "subject", "completeness", "pass_id", "pass_version", "evidence", "inputs", "payload"))
 
 
+#: Letters of a digest by which shards are dealt to folders.
+FOLDER_LETTERS = 2
+
+
+def folder_of(digest: Column) -> Column:
+    return F.substring(F.substring_index(digest, ":", -1), 1, FOLDER_LETTERS)
+
+
 def digests(facts: DataFrame) -> DataFrame:
-    """(shard_key, shard_digest, namespace, schema_version, facts) of facts that have a shard_key."""
-    one = facts.select("shard_key", "namespace", "schema_version", F.sha2(fact_line(), 256).alias("h"))
-    per = one.groupBy("shard_key").agg(F.min("namespace").alias("namespace"), F.min("schema_version").alias("schema_version"), F.array_sort(F.collect_list("h")).alias("h"), F.count("*").alias("facts"))
-    body = F.concat_ws("\n", "shard_key", "namespace", F.col("schema_version").cast("string"), F.array_join("h", "\n"))
-    return per.select("shard_key", F.concat(F.lit("fact-shard-digest:"), F.sha2(body, 256)).alias("shard_digest"), "namespace", "schema_version", "facts")
+    """(shard_key, shard_digest, namespace, schema_version, facts) of facts that have a shard_key.
+
+    Facts' hashes are sorted and hashed by their first letters, then those of a shard together, so that
+    no task holds all hashes of a large shard.
+    """
+    one = facts.select("shard_key", "namespace", "schema_version", F.sha2(fact_line(), 256).alias("h")).withColumn("n", F.lit(1).cast("long"))
+    for letters in (3, 1, 0):
+        key = F.substring("h", 1, letters) if letters else F.lit("")
+        joined = F.array_join(F.array_sort(F.collect_list("h")), "\n")
+        one = one.groupBy("shard_key", key.alias("k")).agg(F.min("namespace").alias("namespace"), F.min("schema_version").alias("schema_version"), F.concat("k", F.sha2(joined, 256)).alias("h"), F.sum("n").alias("n")).drop("k")
+    body = F.concat_ws("\n", "shard_key", "namespace", F.col("schema_version").cast("string"), "h")
+    return one.select("shard_key", F.concat(F.lit("fact-shard-digest:"), F.sha2(body, 256)).alias("shard_digest"), "namespace", "schema_version", F.col("n").alias("facts"))
 
 
 def violations(facts: DataFrame) -> DataFrame:
@@ -64,9 +85,10 @@ def violations(facts: DataFrame) -> DataFrame:
     return repeated.unionByName(mixed).unionByName(spans).unionByName(blank)
 
 
-def dangling_inputs(facts: DataFrame) -> DataFrame:
-    """(fact_id, input): provenance inputs that no fact of the generation has."""
-    return facts.select("fact_id", F.explode("inputs").alias("input")).join(facts.select(F.col("fact_id").alias("input")), "input", "left_anti").select("fact_id", "input")
+def dangling_inputs(facts: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(fact_id, input): provenance inputs that no fact has; with `among`, inputs of `facts` that no fact of `among` has."""
+    named = (facts if among is None else among).select(F.col("fact_id").alias("input"))
+    return facts.select("fact_id", F.explode("inputs").alias("input")).join(named, "input", "left_anti").select("fact_id", "input")
 
 
 def lineage(facts: DataFrame) -> DataFrame:
@@ -86,57 +108,61 @@ class Ledger:
     # small files -----------------------------------------------------------------------------------
 
     def _load(self, name: str) -> dict | None:
-        at = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(at):
-            return None
-        read = self._fs.open(at)
-        try:
-            return json.loads(read.readUTF())
-        finally:
-            read.close()
-
-    def _store(self, name: str, value: dict) -> None:
-        """Writes a file beside its place and renames it there."""
-        at, side = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{name}.{uuid.uuid4().hex}")
-        out = self._fs.create(side, False)
-        out.writeUTF(json.dumps(value, sort_keys=True))
-        out.close()
-        self._fs.delete(at, False)
-        if not self._fs.rename(side, at):
-            raise LedgerError("POINTER_BUSY", f"{name} could not be replaced")
+        found = small_text(self.spark, f"{self.root}/{name}")
+        return json.loads(found) if found else None
+
+    def _store(self, name: str, value: dict) -> bool:
+        """Writes a file whole; False if it is there already."""
+        return publish(self.spark, f"{self.root}/{name}", json.dumps(value, sort_keys=True))
 
     # reading ---------------------------------------------------------------------------------------
 
     def current(self, universe: str) -> Generation | None:
-        found = self._load(f"{universe}/current")
-        return self.generation(universe, found["sequence"]) if found else None
+        known = self._sequences(universe)
+        return self.generation(universe, known[-1]) if known else None
+
+    def _sequences(self, universe: str) -> list[int]:
+        return sorted(int(n) for n in self._names(f"{universe}/generations") if n.isdigit())
 
     def generation(self, universe: str, sequence: int) -> Generation:
         found = self._load(f"{universe}/generations/{sequence}")
         if found is None:
             raise LedgerError("GENERATION_MISSING", f"{universe} has no generation {sequence}")
-        return Generation(universe, sequence, found["id"], found["producer"], found["source_manifest"], tuple(found["capabilities"]))
+        return Generation(universe, sequence, found["id"], found["producer"], found["source_manifest"], tuple(found["capabilities"]), found["attempt"])
 
     def manifest(self, g: Generation) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{g.universe}/manifests/{g.sequence}")
-
-    def shards(self, universe: str) -> DataFrame:
-        return self.spark.read.schema("shard_key string, " + FACTS).parquet(f"{self.root}/{universe}/shards")
-
-    def facts(self, g: Generation) -> DataFrame:
-        """The facts of a generation: its shards, by a join of the small manifest with the facts."""
-        own = self.manifest(g).select("shard_digest")
-        return self.shards(g.universe).join(own, "shard_digest", "left_semi").withColumn("generation", F.lit(g.id))
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{g.universe}/manifests/{g.attempt}")
+
+    def shards(self, universe: str, folders: list[str] | None = None) -> DataFrame:
+        """All shards' facts, or those in some folders."""
+        all_ = self.spark.read.schema("shard_key string, " + FACTS + ", folder string").parquet(f"{self.root}/{universe}/shards")
+        return (all_ if folders is None else all_.where(F.col("folder").isin(folders))).drop("folder")
+
+    def facts(self, g: Generation, keys: list[str] | None = None) -> DataFrame:
+        """The facts of a generation, or of its shards with some keys: its manifest, joined with the facts."""
+        own = self.manifest(g).select("shard_key", "shard_digest")
+        if keys is None:
+            found = self.shards(g.universe)
+        else:
+            own = own.where(F.col("shard_key").isin(keys))
+            found = self.shards(g.universe, self._folders(own))
+        return found.join(own.select("shard_digest"), "shard_digest", "left_semi").withColumn("generation", F.lit(g.id))
+
+    def _folders(self, manifest: DataFrame) -> list[str]:
+        """The folders that some shards lie in: at most 256 names."""
+        return [r[0] for r in manifest.select(folder_of(F.col("shard_digest"))).distinct().collect()]
 
     # writing ---------------------------------------------------------------------------------------
 
     def commit(self, universe: str, base: Generation | None, upserts: DataFrame, deletes: list[str] = (), producer: str = "factloom", source_manifest: str = "", capabilities: list[str] = ()) -> Generation:
         """A new generation: the base's shards without `deletes` and those that `upserts` (facts with a
         shard_key) replaces. Refuses stale bases, unknown deletes, unfit facts and dangling inputs."""
-        now = self.current(universe)
-        if (now and now.sequence) != (base and base.sequence):
-            raise LedgerError("BASE_STALE", f"current is {now and now.sequence}, base is {base and base.sequence}")
-        sequence = (base.sequence if base else 0) + 1
+        return self.publish(self.stage(universe, base, upserts, deletes, producer, source_manifest, capabilities))
+
+    def stage(self, universe: str, base: Generation | None, upserts: DataFrame, deletes: list[str] = (), producer: str = "factloom", source_manifest: str = "", capabilities: list[str] = ()) -> Generation:
+        """The first half of a commit: validates and writes all but the generation's own file. No one
+        sees a staged generation until `publish`, which a producer may hold back until it is ready."""
+        self._fresh(universe, base)
         bad = violations(upserts).first()
         if bad:
             raise LedgerError(bad.code, str(bad.subject))
@@ -144,66 +170,140 @@ class Ledger:
         missing = sorted(set(deletes) - {r[0] for r in old.where(F.col("shard_key").isin(*deletes)).select("shard_key").collect()}) if deletes else []
         if missing:
             raise LedgerError("DELETE_UNKNOWN", ", ".join(missing))
-        new = digests(upserts).withColumn("capabilities", F.array(*[F.lit(c) for c in sorted(set(capabilities))]).cast("array<string>"))
-        gone = new.select("shard_key")
-        kept = old.join(gone, "shard_key", "left_anti")
+        rounds = Rounds(self.spark, "commit")
+        new = rounds.put(digests(upserts).withColumn("capabilities", F.array(*[F.lit(c) for c in sorted(set(capabilities))]).cast("array<string>")))
+        kept = old.join(new.select("shard_key"), "shard_key", "left_anti")
         kept = kept.where(~F.col("shard_key").isin(*deletes)) if deletes else kept
-        at = f"{self.root}/{universe}/manifests/{sequence}"
-        kept.unionByName(new).write.mode("overwrite").parquet(at)  # an attempt that was lost left no pointer
-        manifest = self.spark.read.schema(MANIFEST).parquet(at)
-        fresh = upserts.join(new.select(F.col("shard_key").alias("__k"), F.col("shard_digest").alias("__d")), F.col("shard_key") == F.col("__k")).drop("__k", *[c for c in upserts.columns if c == "shard_digest"]).withColumnRenamed("__d", "shard_digest")
-        have = self._fs.exists(self._path(f"{self.root}/{universe}/shards"))
-        if have:  # shards that are there already are not written again
-            fresh = fresh.join(self.shards(universe).select("shard_digest").distinct(), "shard_digest", "left_anti")
+        # what is there already, by the folders of the new shards alone
+        unchanged = new.join(old.select("shard_digest"), "shard_digest", "left_semi").select("shard_digest")
+        fresh = new.join(unchanged, "shard_digest", "left_anti")
+        if self._fs.exists(self._path(f"{self.root}/{universe}/shards")):
+            there = self.shards(universe, self._folders(fresh)).select("shard_digest").distinct()
+            fresh = fresh.join(there, "shard_digest", "left_anti")
+        fresh = fresh.select(F.col("shard_key").alias("__k"), F.col("shard_digest").alias("__d"))
         columns = self.spark.createDataFrame([], "shard_key string, " + FACTS).columns
-        fresh.select(*columns).write.mode("append").parquet(f"{self.root}/{universe}/shards")
+        rows = upserts.drop("shard_digest").join(fresh, F.col("shard_key") == F.col("__k")).withColumnRenamed("__d", "shard_digest").select(*columns, folder_of(F.col("shard_digest")).alias("folder"))
+        rows.write.mode("append").partitionBy("folder").parquet(f"{self.root}/{universe}/shards")
+        self._closed(universe, base, upserts, new, unchanged, kept, list(deletes))
+        sequence = (base.sequence if base else 0) + 1
+        attempt = f"{sequence}-{rounds.name}"
+        kept.unionByName(new).write.parquet(f"{self.root}/{universe}/manifests/{attempt}")
+        manifest = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{universe}/manifests/{attempt}")
         digest = set_digest(manifest, F.col("shard_digest")).first()
-        generation = "generation:" + (digest[0] if digest else hashlib.sha256(b"").hexdigest())
-        g = Generation(universe, sequence, generation, producer, source_manifest, tuple(sorted(set(capabilities))))
-        loose = dangling_inputs(self.shards(universe).join(manifest.select("shard_digest"), "shard_digest", "left_semi")).first()
-        if loose:
-            raise LedgerError("INPUT_DANGLING", f"{loose.fact_id} needs {loose.input}")
-        self._store(f"{universe}/generations/{sequence}", {"id": g.id, "producer": producer, "source_manifest": source_manifest, "capabilities": list(g.capabilities)})
-        self._store(f"{universe}/current", {"sequence": sequence})
+        return Generation(universe, sequence, "generation:" + (digest[0] if digest else hashlib.sha256(b"").hexdigest()), producer, source_manifest, tuple(sorted(set(capabilities))), attempt)
+
+    def _fresh(self, universe: str, base: Generation | None) -> None:
+        now = self._sequences(universe)
+        if (now[-1] if now else None) != (base and base.sequence):
+            raise LedgerError("BASE_STALE", f"current is {now[-1] if now else None}, base is {base and base.sequence}")
+
+    def _closed(self, universe: str, base: Generation | None, upserts: DataFrame, new: DataFrame, unchanged: DataFrame, kept: DataFrame, deletes: list[str]) -> None:
+        """Whether every input still has its fact: those of new facts, and those of kept facts that a
+        fact taken away was for. Shards whose digest is that of the base are as sound as they were."""
+        rounds, found, there = Rounds(self.spark, "closed"), None, None
+        if base:
+            there = self.shards(universe).join(kept.select("shard_digest"), "shard_digest", "left_semi").select("fact_id", "inputs")
+        brought = upserts.join(unchanged.join(new, "shard_digest").select(F.col("shard_key").alias("__same")), F.col("shard_key") == F.col("__same"), "left_anti")
+        # kept facts are read only where new ones name facts beyond their own, or where facts go
+        loose, n = rounds.counted(dangling_inputs(brought, upserts))
+        if n:
+            found = (loose.join(there.select(F.col("fact_id").alias("input")), "input", "left_anti") if base else loose).first()
+        if base and not found:
+            old, replaced = self.manifest(base), new.join(unchanged, "shard_digest", "left_anti").select("shard_key")
+            gone = old.join(replaced, "shard_key", "left_semi").unionByName(old.where(F.col("shard_key").isin(*deletes)) if deletes else old.limit(0))
+            lost = self.shards(universe, self._folders(gone)).join(gone.select("shard_digest"), "shard_digest", "left_semi").select("fact_id")
+            lost, n = rounds.counted(lost.join(upserts.select("fact_id"), "fact_id", "left_anti"))
+            if n:
+                found = there.select("fact_id", F.explode("inputs").alias("input")).join(lost.select(F.col("fact_id").alias("input")), "input", "left_semi").first()
+        if found:
+            raise LedgerError("INPUT_DANGLING", f"{found.fact_id} needs {found.input}")
+
+    def publish(self, g: Generation) -> Generation:
+        """The second half of a commit: makes a staged generation the current one, if its base still is."""
+        self._fresh(g.universe, self.generation(g.universe, g.sequence - 1) if g.sequence > 1 else None)
+        if not self._store(f"{g.universe}/generations/{g.sequence}", {"id": g.id, "producer": g.producer, "source_manifest": g.source_manifest, "capabilities": list(g.capabilities), "attempt": g.attempt}):
+            raise LedgerError("BASE_STALE", f"generation {g.sequence} was published by another writer")
         return g
 
+    def rollover(self, old: str, new: str, facts: DataFrame, producer: str = "factloom", source_manifest: str = "", capabilities: list[str] = ()) -> Generation:
+        """All facts as the next generation of universe `new`, which a changed configuration asks for in
+        place of `old`: complete and without the old lineage. Where `new` has generations already, shards
+        that the facts don't have are deleted from it; `old` stays as it is for its readers."""
+        if old == new:
+            raise LedgerError("UNIVERSE_SAME", f"{old} is no other universe")
+        base = self.current(new)
+        gone = []
+        if base:
+            held = self.manifest(base).select("shard_key").join(facts.select("shard_key").distinct(), "shard_key", "left_anti")
+            gone = [r[0] for r in held.collect()]  # shard keys: names, one for each shard that goes
+        return self.commit(new, base, facts, gone, producer, source_manifest, capabilities)
+
     def changes(self, old: Generation, new: Generation) -> DataFrame:
         return manifest_changes(self.manifest(old), self.manifest(new))
 
     # leases, retention, integrity -------------------------------------------------------------------
 
-    def lease(self, g: Generation, seconds: float = 60.0) -> str:
-        """Keeps a generation from retention until the lease ends."""
-        name = uuid.uuid4().hex
-        self._store(f"{g.universe}/leases/{name}", {"sequence": g.sequence, "until": time.time() + seconds})
+    def lease(self, g: Generation, seconds: float = 60.0, name: str | None = None) -> str:
+        """Keeps a generation from retention until the lease ends; `name` renews a lease."""
+        until = int((time.time() + seconds) * 1000)
+        name = name or f"{g.sequence}-{time.time_ns()}"
+        self._store(f"{g.universe}/leases/{name}.{until}", {"sequence": g.sequence})
+        for other in self._lease_files(g.universe, name)[:-1]:
+            self._fs.delete(self._path(f"{self.root}/{g.universe}/leases/{other}"), False)
         return name
 
+    def renew(self, g: Generation, name: str, seconds: float = 60.0) -> str:
+        """A lease that has ended can't be renewed: its generation may be gone."""
+        if not self._lease_files(g.universe, name, time.time()):
+            raise LedgerError("LEASE_ENDED", name)
+        return self.lease(g, seconds, name)
+
+    def _lease_files(self, universe: str, name: str | None = None, at: float | None = None) -> list[str]:
+        """Files of leases, by when they end; of one name, or those that hold at a time."""
+        files = sorted((n for n in self._names(f"{universe}/leases", "") if n.rsplit(".", 1)[-1].isdigit()), key=lambda n: int(n.rsplit(".", 1)[-1]))
+        return [n for n in files if (name is None or n.rsplit(".", 1)[0] == name) and (at is None or int(n.rsplit(".", 1)[-1]) > at * 1000)]
+
     def release(self, universe: str, name: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{universe}/leases/{name}"), False)
+        for n in self._lease_files(universe, name):
+            self._fs.delete(self._path(f"{self.root}/{universe}/leases/{n}"), False)
 
-    def _names(self, folder: str) -> list[str]:
+    def _names(self, folder: str, no: str = ".") -> list[str]:
         at = self._path(f"{self.root}/{folder}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at) if "." not in s.getPath().getName()) if self._fs.exists(at) else []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(at)) if not no or no not in n) if self._fs.exists(at) else []
 
     def retain(self, universe: str, top: int = 2) -> list[int]:
-        """Drops the manifests of generations beyond the newest `top` that no lease holds; returns them.
-
-        Their shards go with `sweep`.
-        """
-        known = sorted((int(n) for n in self._names(f"{universe}/generations")), reverse=True)
-        held = {x["sequence"] for x in (self._load(f"{universe}/leases/{n}") for n in self._names(f"{universe}/leases")) if x and x["until"] > time.time()}
+        """Drops generations beyond the newest `top` that no lease holds, with their manifests; returns
+        them. Their shards go with `sweep`."""
+        known = self._sequences(universe)[::-1]
+        held = {int(n.split("-")[0]) for n in self._lease_files(universe, at=time.time())}
         out = [s for s in known[top:] if s not in held]
         for s in out:
+            g = self.generation(universe, s)
             self._fs.delete(self._path(f"{self.root}/{universe}/generations/{s}"), False)
-            self._fs.delete(self._path(f"{self.root}/{universe}/manifests/{s}"), True)
+            self._fs.delete(self._path(f"{self.root}/{universe}/manifests/{g.attempt}"), True)
         return out
 
+    def sweep(self, universe: str) -> int:
+        """Removes the facts of shards that no generation has, folder by folder; returns the number of
+        folders that were written anew. No commit may run meanwhile, as it may count on such a shard."""
+        orphans = Rounds(self.spark, "sweep").put(self.orphans(universe))
+        folders = self._folders(orphans)
+        root = f"{self.root}/{universe}/shards"
+        for name in folders:
+            at, side = f"{root}/folder={name}", f"{self.root}/{universe}/swept/{name}-{time.time_ns()}"
+            whole = self.spark.read.schema("shard_key string, " + FACTS).parquet(at)
+            whole.join(orphans, "shard_digest", "left_anti").write.parquet(side)
+            old = self._path(f"{side}-old")
+            self._fs.rename(self._path(at), old)
+            self._fs.rename(self._path(side), self._path(at))
+            self._fs.delete(old, True)
+        return len(folders)
+
     def orphans(self, universe: str) -> DataFrame:
         """(shard_digest): shards that no generation has."""
         shards = self.shards(universe).select("shard_digest").distinct()
-        for s in self._names(f"{universe}/generations"):
-            shards = shards.join(self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{universe}/manifests/{s}").select("shard_digest"), "shard_digest", "left_anti")
-        return shards
+        paths = [f"{self.root}/{universe}/manifests/{self.generation(universe, s).attempt}" for s in self._sequences(universe)]
+        return shards.join(self.spark.read.schema(MANIFEST).parquet(*paths).select("shard_digest"), "shard_digest", "left_anti") if paths else shards
 
     def verify(self, g: Generation) -> DataFrame:
         """(shard_key, code): shards of a generation that are missing, or whose facts don't give their digest."""
@@ -213,17 +313,11 @@ class Ledger:
         return met.select("shard_key", code.alias("code")).where("code IS NOT NULL")
 
     def quarantine(self, universe: str) -> list[int]:
-        """Moves generations that don't verify out of the way; the newest good one becomes current."""
-        bad, good = [], []
-        for n in sorted(map(int, self._names(f"{universe}/generations"))):
-            (good if self.verify(self.generation(universe, n)).isEmpty() else bad).append(n)
+        """Moves generations that don't verify out of the way; the newest good one is current then."""
+        bad = [n for n in self._sequences(universe) if not self.verify(self.generation(universe, n)).isEmpty()]
         for n in bad:
             self._fs.mkdirs(self._path(f"{self.root}/{universe}/quarantine"))
             self._fs.rename(self._path(f"{self.root}/{universe}/generations/{n}"), self._path(f"{self.root}/{universe}/quarantine/{n}"))
-        if bad and good:
-            self._store(f"{universe}/current", {"sequence": good[-1]})
-        elif bad:
-            self._fs.delete(self._path(f"{self.root}/{universe}/current"), False)
         return bad
 
 
@@ -231,8 +325,6 @@ class MemoryLedger(Ledger):
     """The same ledger in a folder that ends with the session; for tests and advisory runs."""
 
     def __init__(self, spark: SparkSession) -> None:
-        from factloom.sources.tables import Rounds
-
         super().__init__(spark, Rounds(spark, "ledger").root)
 
 

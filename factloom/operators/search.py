@@ -11,6 +11,10 @@ from factloom.functions.text import Query, fuzzy, mentions
 
 LIMIT = 40
 
+# The ranks that results depend on.
+NAME_SCORE, START_SCORE, WORD_SCORE, PART_SCORE = 1_000, 800, 620, 520
+WHOLE_SCORE, WHOLE_START_SCORE = 10_000, 8_000
+
 
 def term_rank(term: str, name: Column, title: Column, path: Column, alias: Column) -> Column:
     """struct(tier, score) of one term; tier 0 where it doesn't match."""
@@ -19,10 +23,10 @@ def term_rank(term: str, name: Column, title: Column, path: Column, alias: Colum
     close = F.greatest(fuzzy(t, name), fuzzy(t, title), fuzzy(t, path))
     tier = F.when((name == t) | (title == t), 5).when(starts, 4).when(F.array_contains(F.split(alias, " "), t) | alias.contains(t), 3).when(close > 0, 1).otherwise(0)
     score = (
-        F.when((name == t) | (title == t), 1000)
-        .when(starts, 800 - F.least(F.length(path), F.lit(200)))
-        .when(F.array_contains(F.split(alias, " "), t), 620)
-        .when(alias.contains(t), 520)
+        F.when((name == t) | (title == t), NAME_SCORE)
+        .when(starts, START_SCORE - F.least(F.length(path), F.lit(200)))
+        .when(F.array_contains(F.split(alias, " "), t), WORD_SCORE)
+        .when(alias.contains(t), PART_SCORE)
         .otherwise(F.greatest(close, F.lit(0)))
     )
     return F.struct(tier.alias("tier"), score.alias("score"))
@@ -47,7 +51,7 @@ def ranked(index: DataFrame, query: Query, recent: list[str] | None = None) -> D
         least = F.least(*[e["tier"] for e in each], F.lit(5))
         total = reduce(lambda a, b: a + b, [e["score"] for e in each])
         tier = F.when(whole, 5).when(start, 4).otherwise(least)
-        score = F.when(whole, 10_000 - F.least(F.length(title), F.lit(200))).when(start, 8_000 - F.least(F.length(path), F.lit(400))).otherwise(total)
+        score = F.when(whole, WHOLE_SCORE - F.least(F.length(title), F.lit(200))).when(start, WHOLE_START_SCORE - F.least(F.length(path), F.lit(400))).otherwise(total)
         match = whole | start | (least > 0)
     places = {s: len(recent) - i for i, s in reversed(list(enumerate(recent)))} if recent else {}
     seen = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in places.items() for x in kv]), F.col("source")), F.lit(0)) if places else F.lit(0)

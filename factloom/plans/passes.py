@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factloom.operators.facts import any_of
-from pyspark.sql import functions as F
+from factloom.sources.tables import Rounds
 
 
 class PlanError(ValueError):
@@ -144,15 +145,20 @@ class Outcome:
 
 def run(ordered: list[Pass], base: DataFrame) -> Outcome:
     """Runs passes in order; each sees the base and what earlier ones made. A pass may make facts of
-    its declared outputs only. An optional pass that fails leaves its outputs unavailable."""
-    out = Outcome(base)
+    its declared outputs only. An optional pass that fails leaves its outputs unavailable.
+
+    Each pass's facts are written before the pass counts as complete: a fault that shows only when Spark
+    runs it is then this pass's own, and later passes read a table, not its plan.
+    """
+    out, rounds = Outcome(base), Rounds(base.sparkSession, "passes")
     for p in ordered:
         scope = Scope(out.facts, frozenset(n.namespace for n in p.inputs))
         try:
             made = p.run(scope)
             allowed = [n for n, _ in p.outputs]
             strange = F.raise_error(F.concat(F.lit(f"{p.id} made a fact of "), F.coalesce("namespace", F.lit("null")))).cast("boolean")
-            out.facts = out.facts.unionByName(made.where(F.when(any_of(F.col("namespace"), allowed), True).otherwise(strange)), allowMissingColumns=True)
+            done = rounds.put(made.where(F.when(any_of(F.col("namespace"), allowed), True).otherwise(strange)))
+            out.facts = out.facts.unionByName(done, allowMissingColumns=True)
             out.completion.update(dict.fromkeys(allowed, "complete"))
         except Exception as e:
             if not p.optional:

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,12 +66,17 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/factloom/{spark.sparkContext.applicationId}/{self.name}"
         self.n = 0
 
     def put(self, df: DataFrame) -> DataFrame:
         """Writes `df` and returns the written table: no lineage, and no loss with an executor."""
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """`put`, and the number of rows, counted as they are written."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path, seen = f"{self.root}/{self.n}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]

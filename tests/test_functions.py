@@ -64,8 +64,11 @@ def test_text_lines(spark, t, physical, blank):
     [
         ("/** docs\n * continue\n */\nconst value = 1 // trailing\n\n// note\n", (6, 1, 4, 1)),
         ("", (0, 0, 0, 0)),
-        ("const a = `x\n\n// no comment\n`;", (4, 3, 0, 1)),
-        ("s = '// no'\r\n/* a */ b\r/*\n\n*/", (5, 2, 2, 1)),
+        ("const a = `x\n\n// no comment\n`;", (4, 4, 0, 0)),
+        ("s = '// no'\r\n/* a */ b\r/*\n\n*/", (5, 2, 3, 0)),
+        ("a = `x ${ `y // no ${b}\n */` } z`; // c\n\nlet r = /[/*]/g, d = a / b / c // z\n  // only\nreturn /['\"]/ // d\n", (6, 4, 1, 1)),
+        ("if (x) { f(`${{a: 1}}`) } /* open\n", (1, 1, 0, 0)),
+        ("'unclosed\n// c", (2, 1, 1, 0)),
     ],
 )
 def test_scanner(spark, t, want):
@@ -98,12 +101,35 @@ def test_classifiers_merge_by_priority(spark):
     assert one(spark, [(1,)], "x int", s) == [(False,)]
 
 
+def points(needle, candidate):
+    """Each letter at its first place behind the one before, scored by what the text says of it."""
+    places = []
+    for c in needle:
+        left = [i for i, x in enumerate(candidate) if x == c and (not places or i > places[-1])]
+        if not left:
+            return 0
+        places.append(left[0])
+    if not places:
+        return 0
+    near = sum(12 if b == a + 1 else 4 for a, b in zip([-2, *places], places))
+    starts = 8 * sum(i == 0 or candidate[i - 1] == " " for i in places)
+    return near + starts - min(80, len(candidate) - len(needle))
+
+
 def test_fuzzy_scores_agree(spark):
-    rng = random.Random(1)
-    pairs = [("".join(rng.choice("ab c") for _ in range(rng.randint(0, 5))), "".join(rng.choice("ab c") for _ in range(rng.randint(0, 12)))) for _ in range(200)] + [("ab", "ab"), ("", "x")]
+    rng = random.Random(2)
+    pairs = [("".join(rng.choice("ab ") for _ in range(rng.randint(0, 4))), "".join(rng.choice("abc ") for _ in range(rng.randint(0, 9)))) for _ in range(200)]
     got = one(spark, pairs, "n string, c string", text.fuzzy(F.col("n"), F.col("c")))
-    assert [g[0] for g in got] == [text.fuzzy_score(n, c) for n, c in pairs]
-    assert text.fuzzy_score("ab", "ab") == 4 + 8 + 12
+    assert [g[0] for g in got] == [points(n, c) for n, c in pairs]
+    assert points("ab", "ab") == 4 + 8 + 12
+
+
+def test_tabs_by_name_or_beginning():
+    tabs = ["graph", "grid", "laws", "law"]
+    assert text.parse_query("tab:graph x", tabs).tab == "graph" and text.parse_query("section:gra", tabs).tab == "graph"
+    # two tabs begin so, one letter is too few, a whole name wins
+    assert [text.parse_query(f"tab:{t}", tabs).tab for t in ("gr", "g", "law", "laws", "la", "xx")] == [None, None, "law", "laws", None, None]
+
 
 
 def test_normalize(spark):

@@ -58,9 +58,58 @@ def test_quarantine_goes_back_to_the_newest_good_generation(spark, tmp_path):
     led.manifest(g2).withColumn("shard_digest", F.lit("fact-shard-digest:bad")).write.parquet(str(tmp_path / "bad"))
     import shutil
 
-    shutil.rmtree(tmp_path / "l/u/manifests/2")
-    shutil.move(tmp_path / "bad", tmp_path / "l/u/manifests/2")
+    shutil.rmtree(tmp_path / f"l/u/manifests/{g2.attempt}")
+    shutil.move(tmp_path / "bad", tmp_path / f"l/u/manifests/{g2.attempt}")
     assert led.quarantine("u") == [2] and led.current("u") == g1
+    assert led.commit("u", g1, shard(spark, "a", ("f1", [], "3"))).sequence == 2
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    one, two = L.Ledger(spark, str(tmp_path / "l")), L.Ledger(spark, str(tmp_path / "l"))
+    g = one.commit("u", None, shard(spark, "a", ("f1", [], "1")))
+    # both pass the first check of their base; what is staged no one sees
+    a, b = one.stage("u", g, shard(spark, "b", ("f2", [], "2"))), two.stage("u", g, shard(spark, "c", ("f3", [], "3")))
+    assert one.current("u") == g and a.sequence == b.sequence == 2
+    assert two.publish(b) == b
+    assert code(lambda: one.publish(a)) == "BASE_STALE" and one.current("u") == b
+    assert sorted(r.fact_id for r in one.facts(b).collect()) == ["f1", "f3"]
+    assert [r.fact_id for r in one.facts(b, ["c"]).collect()] == ["f3"]
+    # the loser's shard belongs to no generation; its facts go with the sweep, others stay
+    assert one.orphans("u").count() == 1 and one.sweep("u") == 1 and one.orphans("u").isEmpty()
+    assert sorted(r.fact_id for r in one.facts(b).collect()) == ["f1", "f3"] and one.verify(b).isEmpty()
+
+
+def test_a_fact_that_others_need_cant_go(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "l"))
+    g = led.commit("u", None, shard(spark, "a", ("f1", [], "1")).unionByName(shard(spark, "b", ("f2", ["f1"], "2"))).unionByName(shard(spark, "c", ("f3", [], "3"))))
+    assert code(lambda: led.commit("u", g, shard(spark, "x"), ["a"])) == "INPUT_DANGLING"
+    assert code(lambda: led.commit("u", g, shard(spark, "a", ("f9", [], "1")))) == "INPUT_DANGLING"
+    # with its consumer, or while it moves to another shard, it can
+    moved = led.commit("u", g, shard(spark, "d", ("f1", [], "1")), ["a"])
+    assert led.commit("u", moved, shard(spark, "x"), ["d", "b"]).sequence == 3
+
+
+def test_leases_renew_and_end(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "l"))
+    g1 = led.commit("u", None, shard(spark, "a", ("f1", [], "1")))
+    led.commit("u", g1, shard(spark, "a", ("f1", [], "2")))
+    short = led.lease(g1, -1)
+    assert code(lambda: led.renew(g1, short)) == "LEASE_ENDED"
+    name = led.lease(g1, 30)
+    assert led.renew(g1, name, 60) == name and len(led._lease_files("u", name)) == 1
+    assert led.retain("u", 1) == []
+    led.release("u", name)
+    assert led.retain("u", 1) == [1]
+
+
+def test_rollover_is_whole_and_without_the_old_lineage(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "l"))
+    old = led.commit("u", None, shard(spark, "a", ("f1", [], "1")))
+    new = led.rollover("u", "v", shard(spark, "a", ("f1", [], "1")).unionByName(shard(spark, "b", ("f2", [], "2"))))
+    assert new.sequence == 1 and new.universe == "v" and led.current("u") == old
+    again = led.rollover("u", "v", shard(spark, "b", ("f2", [], "3")))
+    assert again.sequence == 2 and [(r.fact_id, r.payload) for r in led.facts(again).collect()] == [("f2", "3")]
+    assert code(lambda: led.rollover("u", "u", shard(spark, "b"))) == "UNIVERSE_SAME"
 
 
 def test_store_selection(spark, tmp_path):
@@ -104,6 +153,10 @@ def test_passes_run_in_scope(spark):
     assert sorted(r.fact_id for r in out.facts.collect()) == ["f0", "f0n1", "f1"] and out.completion == {"n1": "complete", "n2": "unavailable"} and "NAMESPACE_UNDECLARED" in out.reasons["b"]
     with pytest.raises(Exception, match="made a fact of"):
         P.run([P.Pass("x", make("n9", ["n0"]), (P.Need("n0"),), (("n1", 1),))], base).facts.collect()
+    # a fault that shows only while Spark runs is the pass's own
+    fails = P.Pass("f", lambda s: s.read("n0").select(F.lit("n3").alias("namespace"), F.raise_error("boom").cast("string").alias("fact_id")), (P.Need("n0"),), (("n3", 1),), optional=True)
+    out = P.run([fails, a], base)
+    assert out.completion == {"n3": "unavailable", "n1": "complete"} and "boom" in out.reasons["f"] and out.facts.count() == 3
 
 
 def test_policies(spark):
