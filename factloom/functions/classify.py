@@ -36,6 +36,12 @@ BINARY_LANGUAGES = {
     ".zip": "archive", ".gz": "archive", ".tgz": "archive", ".tar": "archive", ".woff": "font", ".woff2": "font", ".ttf": "font", ".otf": "font",
 }
 
+PRESENTATIONS = {
+    "markdown": ["md"], "pdf": ["pdf"], "image": ["png", "jpg", "jpeg", "gif", "webp", "svg"],
+    "text": ["ts", "tsx", "js", "jsx", "json", "yaml", "yml", "txt", "css", "html", "xml"],
+}
+MEDIA_TYPES = {"md": "text/markdown", "pdf": "application/pdf", "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "json": "application/json"}
+
 
 def _ladder(path: Column, rungs: list[tuple[str, str]], last: str) -> Column:
     """The first rung whose pattern the lower-cased path has."""
@@ -111,3 +117,19 @@ def in_scope(values: dict[str, Column], wanted: dict[str, list[str] | None]) ->
         if names is not None:
             keep = keep & (values[axis].isin(names) if names else F.lit(False))
     return keep
+
+
+def _extension(path: Column) -> Column:
+    """What follows the last dot, or the whole path without one, in lower case."""
+    return F.lower(F.substring_index(path, ".", -1))
+
+
+def presentation(path: Column) -> Column:
+    """How a file is shown: markdown, pdf, image, text or binary."""
+    pairs = [F.lit(x) for name, endings in PRESENTATIONS.items() for e in endings for x in (e, name)]
+    return F.coalesce(F.element_at(F.create_map(*pairs), _extension(path)), F.lit("binary"))
+
+
+def media_type(path: Column) -> Column:
+    pairs = [F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]
+    return F.coalesce(F.element_at(F.create_map(*pairs), _extension(path)), F.when(presentation(path) == "text", "text/plain").otherwise("application/octet-stream"))

@@ -68,11 +68,27 @@ def obligation(value: Column) -> Column:
 
 
 def evidence_gate(requirements: DataFrame, rollup: DataFrame) -> DataFrame:
-    """(rule, capability, admitted, level): a requirement (rule, capability, minimum, accepted) is met
-    at its minimum level or, where partial, if all reasons are accepted ones; else the rule stays open."""
+    """(rule, capability, admitted, level) of requirements (rule, capability, minimum, accepted): complete
+    evidence is always enough; partial evidence where the minimum is partial, and, if accepted reasons are
+    given, where it has no others; else the rule stays open. A capability that the roll-up lacks is unavailable."""
     at = rollup.select(F.col("capability").alias("__c"), "level", "reasons")
-    met = requirements.join(at, F.col("capability") == F.col("__c"), "left")
-    level = F.coalesce("level", F.lit("unavailable"))
-    enough = rank(level, LEVELS) <= rank(F.col("minimum"), LEVELS)
-    tolerated = (level == "partial") & (F.size(F.array_except(F.coalesce("reasons", F.array().cast("array<string>")), F.coalesce("accepted", F.array().cast("array<string>")))) == 0)
-    return met.select("rule", "capability", (enough | tolerated).alias("admitted"), level.alias("level"))
+    met = requirements.join(at, F.col("capability").eqNullSafe(F.col("__c")), "left")
+    level, none = F.coalesce("level", F.lit("unavailable")), F.array().cast("array<string>")
+    known = F.col("accepted").isNull() | (F.size(F.array_except(F.coalesce("reasons", none), F.coalesce("accepted", none))) == 0)
+    return met.select("rule", "capability", ((level == "complete") | ((level == "partial") & (F.col("minimum") == "partial") & known)).alias("admitted"), level.alias("level"))
+
+
+def scoped_evidence(requirements: DataFrame, rollup: DataFrame, facts: DataFrame) -> DataFrame:
+    """(rule, capability, subject, level, reasons) of requirements (rule, capability, subject): the evidence
+    of a subject's own facts of the capability's namespace where it has any, else that of the universe."""
+    own = fold(facts, ["namespace", "subject"], dedupe=False).select(F.col("namespace").alias("__n"), F.col("subject").alias("__s"), F.col("level").alias("__level"), F.col("reasons").alias("__reasons"))
+    wide = rollup.select(F.col("capability").alias("__c"), F.col("level").alias("__wide"), F.col("reasons").alias("__why"))
+    met = requirements.join(own, (F.col("capability") == F.col("__n")) & (F.col("subject") == F.col("__s")), "left").join(wide, F.col("capability") == F.col("__c"), "left")
+    level = F.coalesce("__level", "__wide", F.lit("unavailable"))
+    return met.select("rule", "capability", "subject", level.alias("level"), F.when(F.col("__level").isNotNull(), F.col("__reasons")).otherwise(F.coalesce("__why", F.array().cast("array<string>"))).alias("reasons"))
+
+
+def merge_reasons(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level, reasons) of rows (keys, level, reasons: array of struct(code, message)): the worst
+    level with its reasons, each code and message once, in their order."""
+    return fold(rows, keys)

@@ -58,8 +58,12 @@ def packages(observed: DataFrame, declared: DataFrame) -> DataFrame:
     return met.select("package", "file", code.alias("code"))
 
 
+#: Fixed value: what makes a file one of tests.
+TESTS = r"(^|/)(tests|__tests__)(/|$)|(^|/)[^/]+\.(test|spec|bench|perf)\.[cm]?[jt]sx?$"
+
+
 def is_test(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(__tests__|tests?)(/|$)|\.(test|spec)\.[cm]?[jt]sx?$")
+    return F.replace(path, F.lit("\\"), F.lit("/")).rlike(TESTS)
 
 
 def bind_seeds(candidates: DataFrame) -> DataFrame:

@@ -46,6 +46,28 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, includ
     return seen if include_seeds else seen.where("distance > 0")
 
 
+def closure_from(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, steps: int = STEPS) -> DataFrame:
+    """(seed, node, distance): `closure` of each seed (node) apart. Rows are pairs, so seeds should be few."""
+    hop = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    rounds = Rounds(edges.sparkSession, "closure_from")
+    hop = rounds.put(hop)
+    seen = rounds.put(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("distance", F.lit(0)))
+    far = seen.select("seed", "node")
+    for r in range(max_rounds):
+        level, found = far, None
+        for k in range(1, steps + 1):
+            level = level.join(hop, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+            part = level.withColumn("distance", F.lit(r * steps + k))
+            found = part if found is None else found.unionByName(part)
+        new = found.groupBy("seed", "node").agg(F.min("distance").alias("distance")).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        table, n = rounds.counted(new)
+        if not n:
+            return seen
+        far = table.where(F.col("distance") == (r + 1) * steps).select("seed", "node")
+        seen = seen.unionByName(table) if (r + 1) % APART else rounds.put(seen.unionByName(table))
+    raise RuntimeError(f"the closure did not end in {max_rounds} rounds")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

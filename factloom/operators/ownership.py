@@ -57,3 +57,10 @@ def canonical(rows: DataFrame, identity: list[str], ranking: list[Column]) -> Da
 def latest(rows: DataFrame, keys: list[str], order: list[Column], top: int = 1) -> DataFrame:
     """The first `top` rows of each key; a retention rule, or the latest version of something."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= top).drop("__r")
+
+
+def retained(rows: DataFrame, keys: list[str], order: list[Column], top: int, held: DataFrame) -> DataFrame:
+    """The first `top` rows of each key, and those that a lease holds: held has some columns of rows."""
+    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    marks = held.distinct().withColumn("__held", F.lit(True))
+    return numbered.join(marks, held.columns, "left").where((F.col("__r") <= top) | F.col("__held")).select(*rows.columns)

@@ -259,21 +259,31 @@ def deepest_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH f AS (
-  SELECT d.source, CASE WHEN l.doc_id IS NULL THEN 3 WHEN l.quality = 0 THEN 2 ELSE 1 END AS lv,
+  SELECT d.source AS ns, CASE WHEN l.doc_id IS NULL THEN 3 WHEN l.quality = 0 THEN 2 ELSE 1 END AS lv,
     CASE WHEN l.doc_id IS NULL THEN 'unlabelled:' || d.lang WHEN l.quality = 0 THEN 'poor:' || d.lang END AS reason
-  FROM documents d LEFT JOIN labels l USING (doc_id)
-), t AS (SELECT source, max(lv) AS top FROM f GROUP BY source)
-SELECT f.source, CASE any_value(t.top) WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'complete' END AS level,
-  coalesce(string_agg(DISTINCT f.reason, ',' ORDER BY f.reason) FILTER (f.lv = t.top AND f.lv > 1), '') AS reasons
-FROM f JOIN t ON f.source IS NOT DISTINCT FROM t.source GROUP BY f.source
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source IS NOT NULL
+), shard AS (
+  SELECT source AS ns, lang, CASE WHEN max(n_chars) > 15000 THEN 2 ELSE 1 END AS lv FROM documents WHERE source IS NOT NULL GROUP BY ALL
+), reach AS (SELECT DISTINCT ns, ns AS c FROM shard UNION SELECT DISTINCT ns, 'lang:' || lang FROM shard),
+x AS (
+  SELECT 'lang:' || lang AS c, 1 AS lv, NULL AS reason FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'idle', 1, NULL
+  UNION ALL SELECT ns, lv, CASE lv WHEN 2 THEN 'long:' || lang END FROM shard UNION ALL SELECT 'lang:' || lang, lv, CASE lv WHEN 2 THEN 'long:' || lang END FROM shard
+  UNION ALL SELECT r.c, f.lv, f.reason FROM f JOIN reach r ON r.ns = f.ns WHERE f.lv = (SELECT max(lv) FROM f g WHERE g.ns = f.ns)
+), t AS (SELECT c, max(lv) AS top FROM x GROUP BY c)
+SELECT x.c AS capability, CASE any_value(t.top) WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'complete' END AS level,
+  coalesce(string_agg(DISTINCT x.reason, ',' ORDER BY x.reason) FILTER (x.lv = t.top AND x.lv > 1), '') AS reasons FROM x JOIN t ON x.c = t.c GROUP BY x.c
 """)
 def capability_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").where("source IS NOT NULL")
     met = docs.join(_t(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has")), "doc_id", "left")
     level = F.when(F.col("has").isNull(), "unavailable").when(F.col("quality") == 0, "partial").otherwise("complete")
     why = F.when(F.col("has").isNull(), F.concat(F.lit("unlabelled:"), "lang")).when(F.col("quality") == 0, F.concat(F.lit("poor:"), "lang"))
-    rows = met.select("source", level.alias("level"), F.array_compact(F.array(why)).alias("reasons"))
-    return completeness.fold(rows, ["source"]).select("source", "level", F.array_join("reasons", ",").alias("reasons"))
+    found = met.select(F.col("source").alias("namespace"), level.alias("level"), F.array_compact(F.array(why)).alias("reasons"))
+    long = F.max("n_chars") > 15000
+    shards = docs.groupBy("source", "lang").agg(F.when(long, "partial").otherwise("complete").alias("level"), F.when(long, F.array(F.concat(F.lit("long:"), "lang"))).otherwise(F.array().cast("array<string>")).alias("reasons"))
+    shards = shards.select(F.col("source").alias("namespace"), F.array(F.concat(F.lit("lang:"), "lang")).alias("capabilities"), "level", "reasons")
+    seeds = _t(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.concat(F.lit("lang:"), "lang").alias("capability")).distinct().unionByName(spark.createDataFrame([("idle",)], "capability string"))
+    return completeness.capability_rollup(seeds, shards, found).select("capability", "level", F.array_join("reasons", ",").alias("reasons"))
 
 
 _STATUS = {"view": "pass", "click": "pass", "signup": "indeterminate", "purchase": "fail", "error": "error"}
@@ -330,19 +340,19 @@ def target_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (
-  SELECT source, CASE max(CASE WHEN l.doc_id IS NULL THEN 3 WHEN l.quality = 0 THEN 2 ELSE 1 END) WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'complete' END AS level
-  FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
-), req(rule) AS (VALUES ('strict'), ('lax'))
-SELECT rule, source AS capability, CASE rule WHEN 'strict' THEN level = 'complete' ELSE level IN ('complete', 'partial') END AS admitted, level FROM req, r
+WITH f AS (SELECT d.source, CASE WHEN l.doc_id IS NULL THEN 3 WHEN l.quality = 0 THEN 2 ELSE 1 END AS lv, d.lang FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'en' OR l.doc_id IS NOT NULL),
+r AS (SELECT source || ':' || lang AS capability, max(lv) AS lv, lang FROM f GROUP BY ALL), req(rule) AS (VALUES ('strict'), ('lax'), ('french'))
+SELECT rule, capability, lv = 1 OR (lv = 2 AND (rule = 'lax' OR (rule = 'french' AND lang = 'fr'))) AS admitted, CASE lv WHEN 3 THEN 'unavailable' WHEN 2 THEN 'partial' ELSE 'complete' END AS level FROM req, r
 """)
 def evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
-    met = docs.join(_t(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has")), "doc_id", "left")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    met = docs.join(_t(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has")), "doc_id", "left").where("lang <> 'en' OR has")
     level = F.when(F.col("has").isNull(), "unavailable").when(F.col("quality") == 0, "partial").otherwise("complete")
-    rollup = completeness.fold(met.select(F.col("source").alias("capability"), level.alias("level"), F.array(F.lit("poor")).alias("reasons")), ["capability"])
-    rules = F.explode(F.array(F.struct(F.lit("strict").alias("rule"), F.lit("complete").alias("minimum")), F.struct(F.lit("lax").alias("rule"), F.lit("partial").alias("minimum"))))
-    required = docs.select("source").distinct().select(F.col("source").alias("capability"), rules.alias("r")).select("capability", "r.rule", "r.minimum", F.array().cast("array<string>").alias("accepted"))
+    capability = F.concat("source", F.lit(":"), "lang")
+    rollup = completeness.fold(met.select(capability.alias("capability"), level.alias("level"), F.array(F.concat(F.lit("poor-"), "lang")).alias("reasons")), ["capability"])
+    rule = lambda name, minimum, accepted: F.struct(F.lit(name).alias("rule"), F.lit(minimum).alias("minimum"), accepted.cast("array<string>").alias("accepted"))
+    rules = F.explode(F.array(rule("strict", "complete", F.lit(None)), rule("lax", "partial", F.lit(None)), rule("french", "partial", F.array(F.lit("poor-fr")))))
+    required = rollup.select("capability", rules.alias("r")).select("capability", "r.*")
     return completeness.evidence_gate(required, rollup)
 
 
@@ -456,12 +466,15 @@ r AS (SELECT src, dst FROM n WHERE dst IS NOT NULL)
 """
 
 
-@query(f"""
-WITH RECURSIVE {_RING}, c(a, b) AS (SELECT src, dst FROM r UNION SELECT c.a, r.dst FROM c JOIN r ON r.src = c.b)
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + p_size - 25 AS dst FROM part WHERE p_partkey + p_size - 25 IN (SELECT p_partkey FROM part)),
+c(a, b) AS (SELECT src, dst FROM e UNION SELECT c.a, e.dst FROM c JOIN e ON e.src = c.b)
 SELECT x.a AS node, min(x.b) AS cycle FROM c x JOIN c y ON y.a = x.b AND y.b = x.a GROUP BY x.a
 """)
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_nation_ring(spark, sf_dir))
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_size")
+    edges = part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size") - 25).alias("dst"))
+    return graph.cycles(edges.join(part.select(F.col("p_partkey").alias("dst")), "dst", "left_semi").select("src", "dst"))
 
 
 @query(f"""
@@ -551,12 +564,12 @@ def bind_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH RECURSIVE o AS (SELECT p_partkey AS id, CASE WHEN p_size <= 10 THEN p_brand END AS v FROM part),
 h AS (SELECT p_partkey AS id, p_partkey // 2 AS f FROM part WHERE p_partkey > 1 AND p_size > 10 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 1 AND p_size > 10),
-w(id, loc, d) AS (SELECT id, id, 0 FROM o UNION SELECT w.id, h.f, d + 1 FROM w JOIN h ON h.id = w.loc WHERE d <= 12),
-x AS (SELECT w.id, o.v, d, o.v IS NULL AND w.loc NOT IN (SELECT id FROM h) AS stuck FROM w JOIN o ON o.id = w.loc),
-y AS (SELECT id, list(DISTINCT v ORDER BY v) FILTER (v IS NOT NULL AND d <= 12) AS vs, bool_or(stuck AND d <= 12) AS stuck, bool_or(d > 12) AS deep FROM x GROUP BY id)
-SELECT id, CASE WHEN stuck OR deep THEN 'unknown' WHEN len(vs) = 1 THEN 'known' ELSE 'ambiguous' END AS kind,
-  CASE WHEN stuck OR deep THEN '' ELSE array_to_string(vs, ',') END AS "values",
-  CASE WHEN deep THEN 'VALUE_DEPTH_LIMIT' WHEN stuck THEN 'VALUE_NO_SEMANTIC_PATH' WHEN len(vs) > 1 THEN 'VALUE_ALTERNATIVES' END AS reason FROM y
+w(id, loc, d, k) AS (SELECT id, id, 0, 1::BIGINT FROM o UNION ALL (SELECT w.id, h.f, d + 1, sum(k)::BIGINT FROM w JOIN h ON h.id = w.loc WHERE d <= 12 GROUP BY w.id, h.f, d)),
+x AS (SELECT w.id, o.v, d, k, o.v IS NULL AND w.loc NOT IN (SELECT id FROM h) AS stuck FROM w JOIN o ON o.id = w.loc),
+y AS (SELECT id, list(DISTINCT v ORDER BY v) FILTER (v IS NOT NULL AND d <= 12) AS vs, bool_or(stuck AND d <= 12) AS stuck, bool_or(d > 12) AS deep, sum(k) FILTER (d <= 12) > 2000 AS many FROM x GROUP BY id)
+SELECT id, CASE WHEN stuck OR deep OR many THEN 'unknown' WHEN len(vs) = 1 THEN 'known' ELSE 'ambiguous' END AS kind,
+  CASE WHEN stuck OR deep OR many THEN '' ELSE array_to_string(vs, ',') END AS "values",
+  CASE WHEN deep THEN 'VALUE_DEPTH_LIMIT' WHEN stuck THEN 'VALUE_NO_SEMANTIC_PATH' WHEN many THEN 'VALUE_STEP_LIMIT' WHEN len(vs) > 1 THEN 'VALUE_ALTERNATIVES' END AS reason FROM y
 """)
 def value_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") <= 10, F.col("p_brand")).alias("value"))
@@ -618,16 +631,21 @@ def package_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.packages(observed, declared)
 
 
-@query("""
-WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*'))) AS mention FROM documents),
-s AS (SELECT * FROM (VALUES ('idiot', 'a', true), ('clown', 'b', true), ('clown', 'c', false), ('trash', 'd', false)) v(name, symbol, callable)),
-u AS (SELECT name, min(symbol) AS symbol FROM s GROUP BY name HAVING count(*) = 1)
-SELECT t.doc_id, t.mention, u.symbol FROM t JOIN u ON u.name = t.mention
+@query(r"""
+WITH d AS (SELECT doc_id, text || ' ' || replace(text, ' ', '.') || ' ' || replace(text, ' ', '() ') || ' ' || replace(text, ' ', ' \') AS text FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^\\0-9A-Za-z_.])([A-Za-z_$][0-9A-Za-z_$]*(\.[A-Za-z_$][0-9A-Za-z_$]*)*(\(\))?)', 2)) AS mention FROM d),
+t AS (SELECT DISTINCT doc_id, mention FROM m),
+s AS (SELECT * FROM (VALUES ('idiot', 'a', true), ('clown', 'b', true), ('clown', 'c', false), ('trash', 'd', false), ('of', 'e', true), ('that', 'f', true), ('that', 'g', true)) v(name, symbol, callable)),
+u AS (SELECT name, count(*) AS n, min(symbol) AS one, count(*) FILTER (callable) AS nc, min(symbol) FILTER (callable) AS onec FROM s GROUP BY name)
+SELECT t.doc_id, t.mention, CASE WHEN ends_with(t.mention, '()') THEN onec ELSE one END AS symbol FROM t JOIN u ON u.name = replace(t.mention, '()', '')
+WHERE CASE WHEN ends_with(t.mention, '()') THEN nc = 1 ELSE n = 1 END
 """)
 def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = spark.createDataFrame([("idiot", "a", True), ("clown", "b", True), ("clown", "c", False), ("trash", "d", False)], "name string, symbol string, callable boolean")
-    texts = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[.()\\]", " ").alias("text"))
-    return search.references(texts, symbols, "doc_id", "text")
+    """Mentions in texts as they are, as dotted names, as calls, and behind backslashes, where they don't count."""
+    symbols = spark.createDataFrame([("idiot", "a", True), ("clown", "b", True), ("clown", "c", False), ("trash", "d", False), ("of", "e", True), ("that", "f", True), ("that", "g", True)], "name string, symbol string, callable boolean")
+    t, blank = F.col("text"), F.lit(" ")
+    whole = F.concat_ws(" ", t, F.replace(t, blank, F.lit(".")), F.replace(t, blank, F.lit("() ")), F.replace(t, blank, F.lit(" \\")))
+    return search.references(_t(spark, sf_dir, "documents").select("doc_id", whole.alias("text")), symbols, "doc_id", "text")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -702,3 +720,6 @@ SELECT directory, sha256(string_agg(name, chr(10) ORDER BY name)) AS fingerprint
 """)
 def topology_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.topology_fingerprint(_page_paths(_t(spark, sf_dir, "pages")))
+
+
+from factloom import registry_operators  # noqa: E402, F401  registers its queries

@@ -51,13 +51,54 @@ def frame_errors(rows: DataFrame) -> DataFrame:
     return twice.unionByName(gap.select(F.lit("FRAME_MISSING").alias("code"), "sequence"))
 
 
-def code_graph(nodes: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(relation, line): a code graph's tables as canonical lines: nodes with their metrics where they
-    have any, edges whose ends both exist."""
-    n = nodes.join(metrics, "id", "left").select(F.lit("node").alias("relation"), F.to_json(F.struct(*sorted({*nodes.columns, *metrics.columns}))).alias("line"))
-    a, b = nodes.select(F.col("id").alias("src")), nodes.select(F.col("id").alias("dst"))
-    e = edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select(F.lit("edge").alias("relation"), F.to_json(F.struct(*sorted(edges.columns))).alias("line"))
-    return n.unionByName(e)
+#: A node's place, by which other relations name it.
+PLACE = ("file", "qualified_name", "kind", "line")
+#: Relation -> the columns that hold ids of nodes, with the prefix of the place that stands for each, and
+#: whether a row without that node stays.
+RELATIONS = {
+    "node": [("parent_id", "parent_", True)],
+    "edge": [("source_id", "source_", False), ("target_id", "target_", False)],
+    "metric": [("node_id", "", False)],
+    "complexity": [("node_id", "", False)],
+    "syntax": [("parent_id", "parent_", True)],
+    "block": [("function_id", "function_", False)],
+    "block_edge": [("function_id", "function_", False)],
+    "vertex": [("function_id", "function_", False), ("node_id", "node_", True)],
+    "flow": [("source_id", "source_", True), ("target_id", "target_", True)],
+    "file": [],
+}
+
+
+def code_graph(tables: dict[str, DataFrame]) -> DataFrame:
+    """(relation, line): a code graph's tables as canonical lines, free of the ids that one run gave:
+    every id of a node is replaced by the node's place. Rows whose node is missing go, or stay without
+    one where the relation allows. Block and flow ends (source_block_id, source_vertex_id, ...) are
+    replaced by the block's index and the vertex's name and place among parameters.
+
+    tables: relation -> table; node has id, name, qualified_name, kind, file, line and more; block id,
+    function_id, block_index; vertex id, kind, name, param_index. Absent relations are empty.
+    """
+    nodes = tables["node"].withColumn("qualified_name", F.coalesce("qualified_name", "name"))
+    inner = {
+        "block_edge": ("block", {"source_block_id": "source_block", "target_block_id": "target_block"}, ("block_index",), "inner"),
+        "flow": ("vertex", {"source_vertex_id": "source_vertex", "target_vertex_id": "target_vertex"}, ("kind", "name", "param_index"), "left"),
+    }
+    out = None
+    for relation, refs in RELATIONS.items():
+        if relation not in tables:
+            continue
+        rows = (nodes if relation == "node" else tables[relation]).drop("id")
+        for column, prefix, optional in refs:
+            place = nodes.select(F.col("id").alias("__id"), *[F.col(c).alias(f"{prefix}{c}") for c in PLACE])
+            rows = rows.join(place, F.col(column) == F.col("__id"), "left" if optional else "inner").drop("__id", column)
+        if relation in inner and inner[relation][0] in tables:
+            other, ends, keep, how = inner[relation]
+            for column, prefix in ends.items():
+                part = tables[other].select(F.col("id").alias("__id"), *[F.col(c).alias(f"{prefix}_{c}") for c in keep])
+                rows = rows.join(part, F.col(column) == F.col("__id"), how).drop("__id", column)
+        lines = rows.select(F.lit(relation).alias("relation"), F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)])).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
 
 
 def graph_digest(lines: DataFrame) -> DataFrame:
