@@ -107,8 +107,8 @@ def propagate(occurrences: DataFrame, sources: DataFrame, max_depth: int = MAX_D
                 F.max("stuck").alias("stuck"), F.max("deep").alias("deep"), F.least(F.sum("looked") + 1, F.lit(max_steps + 1)).cast("long").alias("looked"), F.lit(True).alias("own"),
             )
             level = fixed.unionByName(met)
-        now = rounds.put(level)
-        if now.where("deep").isEmpty():
+        now, deep = rounds.counted(level, F.col("deep"))
+        if not deep:
             break
     n = F.size("values")
     lost = F.when(F.col("deep"), "VALUE_DEPTH_LIMIT").when(F.col("stuck"), "VALUE_NO_SEMANTIC_PATH").when(F.col("looked") > max_steps, "VALUE_STEP_LIMIT")

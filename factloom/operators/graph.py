@@ -153,8 +153,8 @@ def _labels(edges: DataFrame, rounds: Rounds, max_rounds: int, steps: int) -> Da
             sent = edges.join(step.select(F.col("node").alias("__n"), "label"), F.col("src") == F.col("__n")).select(F.col("dst").alias("node"), "label")
             step = step.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
         old = now.select(F.col("node").alias("__n"), F.col("label").alias("__old"))
-        now = rounds.put(step.join(old, F.col("node") == F.col("__n")).select("node", "label", (F.col("label") != F.col("__old")).alias("moved")))
-        if now.where("moved").isEmpty():
+        now, moved = rounds.counted(step.join(old, F.col("node") == F.col("__n")).select("node", "label", (F.col("label") != F.col("__old")).alias("moved")), F.col("moved"))
+        if not moved:
             return now.select("node", "label")
     raise RuntimeError(f"the labels did not settle in {max_rounds} rounds")
 
@@ -172,12 +172,14 @@ def cycles(edges: DataFrame, max_rounds: int = 10_000, steps: int = STEPS) -> Da
     found = rounds.put(core.select(F.col("src").alias("node"), F.col("src").alias("cycle"), F.lit(True).alias("own")).limit(0))
     for _ in range(max_rounds):
         while n:
-            ins, outs = core.select(F.col("dst").alias("src")).distinct(), core.select(F.col("src").alias("dst")).distinct()
-            core, m = rounds.counted(core.join(ins, "src", "left_semi").join(outs, "dst", "left_semi"))
-            if m > 0.9 * n:  # a long way of few nodes each round isn't worth it: labels end it too
-                n = m
+            trimmed = core
+            for _ in range(steps):
+                ins, outs = trimmed.select(F.col("dst").alias("src")).distinct(), trimmed.select(F.col("src").alias("dst")).distinct()
+                trimmed = trimmed.join(ins, "src", "left_semi").join(outs, "dst", "left_semi")
+            core, m = rounds.counted(trimmed)
+            few, n = m > 0.98 * n, m
+            if few:  # long ways that shed few nodes a round are left to the labels
                 break
-            n = m
         if not n:
             out = found.groupBy("cycle").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 OR own").select(F.col("cycle").alias("__c"))
             return found.join(out, F.col("cycle") == F.col("__c"), "left_semi").select("node", "cycle")

@@ -268,15 +268,15 @@ def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _page_paths(_t(spark, sf_dir, "pages")).where("path <> ''").groupBy("path").agg(F.min("page_id").alias("n"))
+    p = _page_paths(_t(spark, sf_dir, "pages")).withColumn("path", F.regexp_replace("path", "/+$", "")).where("path <> ''").groupBy("path").agg(F.min("page_id").alias("n"))
     ends = F.array(*[F.lit(e) for e in (".ts", ".md", "/legacy/a.go", ".png", "/.history/x.json", "/dist/y.css")])
-    path = F.concat(F.regexp_replace("path", "/+$", ""), F.get(ends, (F.col("n") % 6).cast("int")))
+    path = F.concat("path", F.get(ends, (F.col("n") % 6).cast("int")))
     return repository.inventory(p.select(path.alias("path"), F.col("n").alias("bytes"), F.sha2(F.col("n").cast("string"), 256).alias("digest"), F.when(F.col("n") % 6 == 3, "binary").otherwise("text").alias("content")).distinct())
 
 
 _INVENTORY = f"""
-g AS (SELECT {_PATH} AS path, min(page_id) AS n FROM pages GROUP BY 1),
-f AS (SELECT DISTINCT regexp_replace(path, '/+$', '') || ['.ts', '.md', '/legacy/a.go', '.png', '/.history/x.json', '/dist/y.css'][(n % 6)::INT + 1] AS path, n, sha256(n::VARCHAR) AS digest FROM g WHERE path <> ''),
+g AS (SELECT regexp_replace({_PATH}, '/+$', '') AS path, min(page_id) AS n FROM pages GROUP BY 1),
+f AS (SELECT DISTINCT path || ['.ts', '.md', '/legacy/a.go', '.png', '/.history/x.json', '/dist/y.css'][(n % 6)::INT + 1] AS path, n, sha256(n::VARCHAR) AS digest FROM g WHERE path <> ''),
 i AS (SELECT path, n, digest, 'source:' || sha256('factloom.identity' || chr(0) || 'source' || chr(0) || 'local' || chr(0) || path) AS source,
   'source-revision:' || sha256('factloom.identity' || chr(0) || 'source-revision' || chr(0) || 'local' || chr(0) || path || chr(10) || digest) AS revision FROM f)
 """
@@ -534,11 +534,11 @@ def literal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT l_partkey AS e, l_suppkey AS o, l_returnflag <> 'A' AS al FROM lineitem), m AS (SELECT e, min(al) AS al FROM c GROUP BY e)
+WITH c AS (SELECT l_orderkey AS e, l_suppkey AS o, l_returnflag <> 'A' AS al FROM lineitem), m AS (SELECT e, min(al) AS al FROM c GROUP BY e)
 SELECT c.e AS expected, min(c.o) AS observed FROM c JOIN m ON m.e = c.e AND m.al = c.al GROUP BY c.e HAVING count(DISTINCT c.o) = 1
 """)
 def seed_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conformance.bind_seeds(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("expected"), F.col("l_suppkey").alias("observed"), (F.col("l_returnflag") != "A").alias("alias")))
+    return conformance.bind_seeds(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("expected"), F.col("l_suppkey").alias("observed"), (F.col("l_returnflag") != "A").alias("alias")))
 
 
 @query("""

@@ -14,14 +14,17 @@ MAX_SOURCE_BYTES = 16 << 20
 
 def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(path, bytes, digest, content, body) of the regular files below `root`, without .git; content is
-    text where the bytes are UTF-8. Spark's file sources skip files without a byte, so these are left out."""
+    text where the bytes are UTF-8. Spark's file sources skip files without a byte, so these are left out.
+
+    The paths are tested by the files' metadata, so a file out of scope is dropped from the listing and
+    its bytes are never read."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     inner = (base.split(":", 1)[1] if ":" in base.split("/", 1)[0] else base).strip("/")
-    # what follows the root in a full name, whatever scheme stands before it
-    path = F.substr(F.col("path"), F.locate(f"/{inner}/", F.col("path")) + len(inner) + 2)
-    rows = files.select(path.alias("path"), F.col("length").alias("bytes"), F.col("content").alias("body")).where(~F.col("path").startswith(".git/"))
-    rows = rows.where(path_in_scope(F.col("path"), include, exclude))
+    # the metadata's name is percent-encoded; what follows the root in it, whatever scheme stands before
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.substr(whole, F.locate(f"/{inner}/", whole) + len(inner) + 2)
+    rows = files.where(~path.startswith(".git/") & path_in_scope(path, include, exclude)).select(path.alias("path"), F.col("length").alias("bytes"), F.col("content").alias("body"))
     text = F.try_validate_utf8(F.col("body").cast("string")).isNotNull() | (F.length("body") == 0)
     return rows.select("path", "bytes", F.sha2("body", 256).alias("digest"), F.when(text, "text").otherwise("binary").alias("content"), "body")
 

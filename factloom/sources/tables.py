@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,9 +74,9 @@ class Rounds:
         """Writes `df` and returns the written table: no lineage, and no loss with an executor."""
         return self.counted(df)[0]
 
-    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """`put`, and the number of rows, counted as they are written."""
+    def counted(self, df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+        """`put`, and the number of rows, or of those for which `which` holds, counted as they are written."""
         self.n += 1
         path, seen = f"{self.root}/{self.n}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
