@@ -168,18 +168,34 @@ def _candidates(texts: Iterable[tuple[str, int]], starts: tuple[int, ...]) -> tu
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, l2: float = 1e-4) -> tuple[float, ...]:
-    """Logistic regression by Newton's method; slopes are kept from going below zero."""
+    """Logistic regression by Newton's method; slopes are kept from going below zero. A step that would
+    raise the loss is halved, and the penalty holds also where the two sides are told apart entirely."""
     z = np.column_stack([np.ones(len(x)), x])
     w = np.array([-2.0] + [0.5] * x.shape[1])
-    free = np.array([0.0] + [1.0] * x.shape[1])
-    for _ in range(50):
+    penalty = l2 * len(y) * np.array([0.01] + [1.0] * x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float((np.logaddexp(0, m) - y * m).sum() + (penalty * w * w).sum() / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + l2 * len(y) * w * free
-        hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + l2 * len(y) * np.diag(free + 1e-6)
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-8:
+        slope = z.T @ (p - y) + penalty * w
+        free = np.flatnonzero((np.arange(len(w)) == 0) | (w > 0) | (slope < 0))  # others would go below zero
+        bend = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(bend[np.ix_(free, free)], slope[free])
+        now, size = loss(w), 1.0
+        while size > 1e-6:
+            new = w - size * step
+            new[1:] = np.maximum(new[1:], 0)
+            if loss(new) <= now:
+                break
+            size /= 2
+        else:
+            break
+        moved, w = np.abs(new - w).max(), new
+        if moved < 1e-8:
             break
     return tuple(float(v) for v in w)
 
