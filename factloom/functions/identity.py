@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import datetime as dt
+import hashlib
 import json
 import re
 
@@ -50,6 +51,34 @@ def canonical_json(value: object) -> str:
     return text.replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
 
 
+def canonical_column(*columns: str) -> Column:
+    """Canonical JSON of columns: keys in code point order, nulls kept, U+2028/9 escaped; equal for equal
+    values whatever the order of the columns."""
+    whole = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    return F.replace(F.replace(whole, F.lit("\u2028"), F.lit("\\u2028")), F.lit("\u2029"), F.lit("\\u2029"))
+
+
+def derive_value_id(kind: str, namespace: str, value: object) -> str:
+    """`derive_id` of one value on the driver, by its canonical JSON."""
+    return f"{kind}:{hashlib.sha256(chr(0).join([DOMAIN, kind, namespace, canonical_json(value)]).encode()).hexdigest()}"
+
+
+def snapshot_set_id(inventory: str, generations: dict[str, str]) -> str:
+    """The id of pinned generations, universe -> generation, over one inventory."""
+    return derive_value_id("snapshot-set", "snapshots", {"inventory": inventory, "generations": generations})
+
+
+def qualification_id(spec: str, analysis: str, scope: str, results: list[tuple[str, str]]) -> str:
+    """The id of a specification's results, (rule, status) in any order, against one analysis."""
+    return derive_value_id("qualification", "results", {"spec": spec, "analysis": analysis, "scope": scope, "results": sorted(results)})
+
+
+def json_pointer(parts: Column) -> Column:
+    """A JSON pointer of an array of keys; the empty array is the whole document."""
+    escaped = F.transform(parts, lambda p: F.concat(F.lit("/"), F.replace(F.replace(p, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))))
+    return F.array_join(escaped, "")
+
+
 def portable_path(path: Column) -> Column:
     """True for a relative POSIX path that doesn't leave its root; "." and empty segments are normal."""
     segments = F.split(path, "/")

@@ -118,6 +118,19 @@ def test_plan(tests: DataFrame) -> DataFrame:
     return tests.where("state = 'active'").dropDuplicates(["file", "id"]).groupBy("package").agg(F.array_sort(F.collect_set("file")).alias("files"), F.count("*").alias("n"))
 
 
+def test_counts(tests: DataFrame) -> DataFrame:
+    """(state, n) of tests (file, id, state), each counted once."""
+    return tests.dropDuplicates(["file", "id"]).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def schema_rule(catalog: DataFrame, owners: DataFrame) -> DataFrame:
+    """(owner, status, codes): whether all schemas (path, code) of an owner (owner, path) are without a fault."""
+    met = owners.join(catalog.select(F.col("path").alias("__p"), "code"), F.col("path") == F.col("__p"), "left")
+    code = F.when(F.col("__p").isNull(), "SCHEMA_MISSING").otherwise(F.col("code"))
+    per = met.groupBy("owner").agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    return per.select("owner", F.when(F.size("codes") == 0, "pass").otherwise("fail").alias("status"), "codes")
+
+
 def declaration_owner(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """The owner of each declaration: exact entrypoint, least export depth, longest directory, least id."""
     order = F.struct((~F.col("exact")).alias("a"), F.col("depth").alias("b"), (-F.length("directory")).alias("c"), F.col("owner").alias("d"))

@@ -143,6 +143,14 @@ def topology(edges: DataFrame, keys: list[str], declaration: str, weight: str) -
     return edges.groupBy(*keys).agg(F.count_distinct(declaration).alias("declarations"), F.sum(weight).alias("weight"))
 
 
+def rolled_up(edges: DataFrame, families: DataFrame, weight: str) -> DataFrame:
+    """(src, dst, kind, external, weight): edges (src, dst, kind, weight) summed, with ends outside, those of
+    families (node, family), replaced by their family."""
+    own = families.select(F.col("node").alias("__n"), "family")
+    met = edges.join(own, F.col("dst") == F.col("__n"), "left")
+    return met.groupBy("src", F.coalesce("family", "dst").alias("dst"), "kind", F.col("family").isNotNull().alias("external")).agg(F.sum(weight).alias(weight))
+
+
 def _labels(edges: DataFrame, rounds: Rounds, max_rounds: int, steps: int) -> DataFrame:
     """(node, label): the least node that leads to each node, itself included."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()

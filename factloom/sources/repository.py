@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import classify
@@ -29,16 +31,25 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return rows.select("path", "bytes", F.sha2("body", 256).alias("digest"), F.when(text, "text").otherwise("binary").alias("content"), "body")
 
 
-def inventory(files: DataFrame, repository: str = "local", wanted: dict[str, list[str] | None] | None = None) -> DataFrame:
-    """Scan rows with source and revision ids, language, owners and the four classification axes."""
+#: A classifier: priority, id, and what a path says: axis -> value, evidence as an array or None.
+Classifier = tuple[int, str, Callable[[Column], tuple[dict[str, Column], Column | None]]]
+
+
+def inventory(files: DataFrame, repository: str = "local", wanted: dict[str, list[str] | None] | None = None, classifiers: Iterable[Classifier] = ()) -> DataFrame:
+    """Scan rows with source and revision ids, language, owners and the four classification axes, which
+    classifiers of the caller's settle before the paths' own do, by falling priority, then id."""
     p = F.col("path")
     axes = {name: rung(p) for name, rung in classify.AXES.items()}
+    if classifiers:
+        told = [(priority, name, *of(p)) for priority, name, of in classifiers]
+        lowest = min(priority for priority, *_ in told) - 1
+        axes = classify.merge([*told, (lowest, "path", axes, None)])
     rows = files.select(
         derive_id("source", repository, p).alias("source"), derive_id("source-revision", repository, F.concat(p, F.lit("\n"), F.col("digest"))).alias("revision"),
         "path", "bytes", "digest", "content", classify.language(p, F.col("content")).alias("language"), classify.package(p).alias("package"), classify.area(p).alias("area"),
         *[c.alias(n) for n, c in axes.items()],
     )
-    return rows.where(classify.in_scope({n: F.col(n) for n in axes}, wanted)) if wanted else rows
+    return rows.where(classify.in_scope({n: F.col(n) for n in classify.AXES}, wanted)) if wanted else rows
 
 
 def manifest_id(rows: DataFrame) -> DataFrame:

@@ -74,8 +74,15 @@ def test_checkpoints(spark, tmp_path):
     at = next(p for p in (tmp_path / "c").iterdir() if p.is_dir())
     (next(p for p in at.iterdir() if p.is_dir()) / "t").rename(tmp_path / "moved")
     assert miss("s", {"v": 2}) == "blob-absent"
-    (at / "manifest").write_text("{")
-    (at / ".manifest.crc").unlink(missing_ok=True)
+    (tmp_path / "moved").rename(next(p for p in at.iterdir() if p.is_dir()) / "t")
+    assert c.restore("s", {"v": 2})["t"].count() == 2
+    # the same schema and number of rows, other values
+    folder = next(p for p in at.iterdir() if p.is_dir()) / "t"
+    spark.createDataFrame([(1, "a"), (1, "b")], "i int, s string").write.mode("overwrite").parquet(str(folder))
+    assert miss("s", {"v": 2}) == "digest"
+    manifest = next(p for p in at.iterdir() if p.name.startswith("manifest-"))
+    manifest.write_text("{")
+    (at / f".{manifest.name}.crc").unlink(missing_ok=True)
     assert miss("s", {"v": 2}) == "unreadable"
     c.save("s2", {}, {"t": df})
     c.save("s3", {}, {"t": df})
