@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -35,11 +36,12 @@ def prose(rng, n):
 EDGES = [(1, None, "a"), (2, "", "a"), (3, " \t\n", None), (4, "one", None), (5, "one two", "b"), (5, "one two", "b"), (None, "null id here", "b"), (7, "wörd " * 30000, "a"), (8, "\x00\x01     x", "")]
 
 
-def test_components_of_paths_stars_and_cycles(spark):
+@pytest.mark.parametrize("split", [1_000_000, 3])
+def test_components_of_paths_stars_and_cycles(spark, split):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000, 2001), (2001, 2002), (2002, 2000), (3000, 3000)]
     rng.shuffle(edges)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), split_degree=split).collect()}
     assert all(got[i] == 1 for i in range(1, 201)) and all(got[1000 + i] == 1000 for i in range(50))
     assert got[2002] == 2000 and 3000 not in got
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
@@ -73,6 +75,49 @@ def test_one_stands_for_i_and_l():
     assert df[0, "biurgh", 1] == 2 and spelt[0, "biurgh"].most_common(1)[0][0] == "blurgh"
 
 
+WORDS = {"idiot": 3.0, "lid": 2.0, "il": 1.5, "clown": 2.5, "tot": 1.0}
+STARTS = {"lowe": 4.0, "idio": 2.0, "lo": 0.5}
+
+
+def hits_by_search(text):
+    """Every entry looked for in the folded text at every place where a word of the text begins."""
+    shape = toxicity.shape(text)
+    spots = [i for i in range(len(text)) if i == 0 or not text[i - 1].isalnum()]
+    fits = lambda x, i, whole: shape.startswith(x, i) and (not whole or i + len(x) == len(text) or not text[i + len(x)].isalnum())
+    away = [(i, i + len(x)) for x in ("clown fish", "il") for i in spots if fits(toxicity.shape(x), i, True)]
+    found = []
+    for i in spots:
+        best = max([(w, i + len(x)) for x, w in WORDS.items() if fits(toxicity.shape(x), i, True)] + [(w, i + len(x)) for x, w in STARTS.items() if fits(toxicity.shape(x), i, False)], default=None)
+        if best and not any(p <= i and best[1] <= q for p, q in away):
+            found.append((i, best[0]))
+    return found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "1d1oт", "IDIOTS", "lid", "1|!", "il", "clown", "c1own fish", "clown  fish", "lowe", "l0wering", "tot", " ", ", ", "é", "_", "9"]), max_size=14))
+def test_hits_by_brute_force(parts):
+    text = "".join(parts)
+    lex = toxicity.Lexicon(WORDS, STARTS, ("clown fish", "il"))
+    assert [(a, w) for a, _, w in toxicity.hits(text, lex.key())] == hits_by_search(text)
+
+
+def test_weak_signs_count_where_they_gather(spark):
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        signs = ["zzbl" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randint(4, 7) if toxic else i % 9 == 0)]
+        w = prose(rng, 80).split() + signs
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int(toxic)))
+    d = docs(spark, rows)
+    lex = toxicity.learn(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score >= 0.7 for r in toxicity.scored(d, lex).collect()}
+    assert any(x.startswith("zzbl") for x in lex.starts)
+    assert not any(got[i] for i in range(600) if i % 5) and sum(got[i] for i in range(0, 600, 5)) >= 114
+
+
 def test_toxicity_learns_from_allowed_rows_only(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -167,8 +212,8 @@ def links_of(rows, threshold=0.98):
     return n, find
 
 
-@pytest.mark.parametrize("chunk", [512, 8])
-def test_embedding_links_are_all_found(spark, chunk):
+@pytest.mark.parametrize("chunk, few", [(512, 32), (8, 32), (512, 2), (8, 2), (512, 0)])
+def test_embedding_links_are_all_found(spark, chunk, few):
     rng = np.random.default_rng(5)
     rows, k = [], 0
     for label in (0, 1, None):
@@ -181,7 +226,7 @@ def test_embedding_links_are_all_found(spark, chunk):
     rows += [(k, rows[0][1], 0), (k + 1, rows[0][1], 0), (k + 2, None, 0), (k + 3, [0.0] * 64, 0), (k + 4, [float("nan")] * 64, 0), (k + 5, [None] + [1.0] * 63, 1), (k + 6, [float("inf")] * 64, 1), (k + 7, [], 0), (None, rows[1][1], 0)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, kept string, n_links int")
     n, find = links_of(rows)
-    got = embedding.near_duplicates(df, chunk_rows=chunk).collect()
+    got = embedding.near_duplicates(df, chunk_rows=chunk, few=few).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.vec_id is None:
@@ -191,6 +236,16 @@ def test_embedding_links_are_all_found(spark, chunk):
     assert sum(n.values()) > 200
 
 
+def test_embedding_labels_of_other_types(spark):
+    one, far = [1.0, 2.0, 3.0], [-1.0, 2.0, 0.5]
+    rows = [(1, one, "a"), (2, one, "a"), (3, one, "b"), (4, far, "a"), (5, one, None)]
+    text = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in text.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
+    rows = [(1, one, 1.2), (2, one, 1.7), (3, one, 0.0), (4, one, -0.0)]
+    real = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double"))
+    assert sorted((r.vec_id, r.component_id) for r in real.collect()) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+
+
 def test_embedding_of_no_rows(spark):
     assert embedding.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -272,9 +327,49 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert quality.judge(docs(spark, [])).count() == 0 and quality.keep_good(docs(spark, [])).count() == 0
 
 
-def test_em_pattern_without_votes_has_a_posterior():
-    assert quality.fit({}, 8) == {}
-    assert 0 < quality.fit({0: 5}, 8)[0] < 1
+def test_posterior_beats_all_must_pass():
+    """Rules that err now and then: no one rule's bad vote decides, what they say together does."""
+    rng = np.random.default_rng(3)
+    n, rates = 20_000, [(0.02, 0.9), (0.15, 0.6), (0.1, 0.7), (0.3, 0.35), (0.05, 0.8)]  # a bad vote's rate on good and on bad documents
+    truth = rng.random(n) < 0.85
+    votes = np.stack([np.where(rng.random(n) < np.where(truth, g, b), 1, np.where(rng.random(n) < 0.8, 2, 0)) for g, b in rates], axis=1)
+    codes = (votes * 3 ** np.arange(4, -1, -1)).sum(axis=1)
+    counts = Counter(codes.tolist())
+    model = quality.fit(dict(counts), 5)
+    kept = model.posterior(votes) >= 0.5
+    strict = ~(votes == 1).any(axis=1)
+    right, strictly = (kept == truth).mean(), (strict == truth).mean()
+    assert (kept != strict).sum() > 1000 and right > 0.97 > 0.7 > strictly
+    # where the two differ, the truth sides with the posterior
+    assert (kept == truth)[kept != strict].mean() > 0.95
+    assert abs(model.share - 0.85) < 0.02 and all(abs(model.bad[k, 1] - b) < 0.06 and abs(model.good[k, 1] - g) < 0.02 for k, (g, b) in enumerate(rates))
+    # the same estimate by a plain loop over documents' votes
+    share, good, bad = model.share, model.good, model.bad
+    for v in votes[:200]:
+        p, q = share, 1 - share
+        for k, x in enumerate(v):
+            p, q = p * good[k, x], q * bad[k, x]
+        assert model.posterior(v[None])[0] == pytest.approx(p / (p + q))
+
+
+def test_one_bad_vote_is_outvoted(spark):
+    rng = random.Random(12)
+    fine = [(i, ".\n".join(prose(rng, 20) for _ in range(8)) + ".", "s") for i in range(80)]
+    junk = [(500 + i, "\n".join(" ".join(w + "#*$" for w in prose(rng, 20).split()) for _ in range(8)), "s") for i in range(12)]
+    line = prose(rng, 10)
+    # prose with lines that repeat, and short prose: one rule speaks against each
+    odd = [(800 + i, ".\n".join([*(prose(rng, 14) for _ in range(8)), line, line, line]) + ".", "s") for i in range(4)] + [(900 + i, prose(rng, 60), "s") for i in range(4)]
+    d = docs(spark, fine + junk + odd)
+    votes = {n: quality.rules(F.col)[n].alias(n) for n in quality.rules(F.col)}
+    made = spark.createDataFrame([(i, *quality.features(t)) for i, t, _ in odd], "doc_id long, " + quality._DDL)
+    assert all(1 in r[1:] for r in made.select("doc_id", *votes.values()).collect())
+    kept = {r.doc_id: r.kept for r in quality.judge(d).collect()}
+    assert all(kept[i] for i, *_ in fine + odd) and not any(kept[i] for i, *_ in junk)
+
+
+def test_em_of_nothing_and_of_abstentions():
+    assert quality.fit({}, 8).share == pytest.approx(0.9)
+    assert 0 < quality.fit({0: 5}, 8).posterior(np.zeros((1, 8), int))[0] < 1
 
 
 # --- 5 ----------------------------------------------------------------------------------------------
@@ -310,9 +405,33 @@ def test_token_files(spark, tmp_path):
     assert sum(ids, []) == sorted(r[0] for r in rows)
     column = pq.ParquetFile(files[-1]).metadata.row_group(0).column(4)
     assert "DICTIONARY" in str(column.encodings) and column.has_offset_index
+    # counts without ids, and the ids of one document: the scan reads these columns and pushes the filter down
+    few = tokenfiles.read(spark, path).select("id", "n_tokens")
+    assert "tokens:array" not in few._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    one = tokenfiles.read(spark, path).where("id = 30")
+    assert "EqualTo(id,30)" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.first().tokens == TOKENIZER.encode(rows[-1][1], add_special_tokens=False).ids + [2]
     assert tokenfiles.write_and_read(docs(spark, [])).count() == 0
 
 
+def test_token_files_of_another_tokenizer(spark, tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(other)
+    rows = [(1, "Two  Words,\nthen MORE", "a"), (2, None, "a"), (3, " lead", "a")]
+    path = str(tmp_path / "other")
+    tokenfiles.write(docs(spark, rows), path, tokenizer=other, end_id=50256, files=1)
+    got = {r.id: r.tokens for r in tokenfiles.read(spark, path).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids + [50256] for i, t, _ in rows}
+
+
+def test_number_of_token_files_follows_the_texts(spark, tmp_path):
+    import glob
+
+    path = str(tmp_path / "many")
+    tokenfiles.write(docs(spark, [(i, "one two three four", "a") for i in range(400)] + [(None, f"no id {i}", "a") for i in range(400)]), path, file_bytes=1000)
+    assert len(glob.glob(f"{path}/part-*")) >= 8
+
+
 # --- 6 ----------------------------------------------------------------------------------------------
 
 
@@ -321,19 +440,19 @@ def judged_by_hand(url, rules):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [(len(h) + len(p), len(h), v == "allow", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h) + len(p), len(h), v == "allow", h + p, v) for v, h, p in ((v, re.sub("[A-Z]", lambda m: m[0].lower(), h), p) for v, h, p in rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=None)
     return host, path, best and best[3], best[4] if best else "allow"
 
 
 def test_urls_by_brute_force(spark):
     rng = random.Random(9)
-    hosts = ["com", "example.com", "a.example.com", "notexample.com", "EXAMPLE.net", "x.y.example.net", "org", "", "..", "é.org", "com.", "a.com:80"]
+    hosts = ["com", "example.com", "a.example.com", "notexample.com", "EXAMPLE.net", "x.y.example.net", "org", "", "..", "é.org", "com.", "a.com:80", "com\x01x", "x.com\x02", "\x02.com", "\U0010ffff\U0010ffff\U0010ffff\U0010ffff.com", "com\x02e", "\x01"]
     paths = ["", "/", "/en/", "/en/7", "/en/71", "/EN/7", "/de/8x?q=/en/", "/es/#/de/", "?/en/7", "#/en/7", "/de"]
     urls_ = [rng.choice(["http://", "https://", "x:", "://"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)]
     urls_ += [None, "", "nothing", "http://"] + ["http://example.com/en/7"] * 100
     df = spark.createDataFrame([(i, u, 1, "x") for i, u in enumerate(urls_)], "page_id long, url string, host int, verdict string")
-    rules = urls.RULES + [("block", "example.com", "/en/71"), ("allow", "y.example.net", ""), ("block", "notexample.com", "/")]
+    rules = urls.RULES + [("block", "example.com", "/en/71"), ("allow", "y.example.net", ""), ("block", "notexample.com", "/"), ("block", "COM\x02", "/en/"), ("allow", "\x01", "/de")]
     for given_rules in (urls.RULES, rules, []):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(df, given_rules).collect()}
         assert got == {i: judged_by_hand(u, given_rules) for i, u in enumerate(urls_)}
@@ -470,11 +589,18 @@ def test_pieces_encode_as_the_whole(text, size):
     assert "".join(bytebpe.pieces(text, size)) == text
 
 
+def test_long_texts_without_blanks_are_cut():
+    text = "日本語の文です。ここで切れます、" * 2000
+    assert max(map(len, bytebpe.pieces(text, 1000))) < 1100
+
+
 def test_byte_bpe_query_columns(spark):
     d = docs(spark, EDGES)
-    got = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bytebpe.round_trips(d).collect()}
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bytebpe.round_trips(d).collect()}
     enc = bytebpe.encoding(bytebpe.default_ranks(), public_tokenizers.PATTERN)
-    assert got == {(i, len(enc.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in EDGES}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    whole = {i: enc.encode_ordinary(t or "") for i, t, _ in EDGES}
+    assert got == {(i, len(whole[i]), sha(b"".join(x.to_bytes(4, "little") for x in whole[i])), sha((t or "").encode())) for i, t, _ in EDGES}
     ids = {r.doc_id: r.ids for r in bytebpe.encoded(d).collect()}
     assert ids[5] == enc.encode_ordinary("one two") and ids[1] == []
     assert bytebpe.round_trips(docs(spark, [])).count() == 0
@@ -482,38 +608,89 @@ def test_byte_bpe_query_columns(spark):
 
 # --- 10 ---------------------------------------------------------------------------------------------
 
+CHANGES = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long, seq int, batch string"
+
 
 def test_token_rollup(spark, tmp_path):
-    schema = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long, seq int, batch string"
-    batch = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], schema)
-    r = tokencounts.TokenRollup(spark, str(tmp_path / "r"))
+    batch = lambda *rows: spark.createDataFrame([(*r, "x") for r in rows], CHANGES)
+    r = tokencounts.TokenRollup(spark, str(tmp_path / "r"), buckets=4)
     assert r.totals().count() == 0
     one = batch((1, "t", "insert", "a", "en", 10, 0), (2, "t", "insert", "a", None, 5, 0), (2, "t", "insert", "a", None, 5, 0), (3, "t", "insert", None, "en", None, 0), (None, "t", "insert", "a", "en", 7, 0), (1, "u", "insert", "a", "en", 1, 0))
     assert r.apply(1, one) and not r.apply(1, one)
     assert r.apply(2, batch((1, "t", "revise", "b", "en", 12, 1), (1, "t", "revise", "b", "en", 99, 0), (2, "t", "delete", None, None, 0, 0), (9, "t", "delete", "a", "en", 4, 0), (4, "t", "revise", "a", "en", 3, 0)))
     got = {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()}
     assert got == {("b", "en", "t"): (1, 12), (None, "en", "t"): (1, 0), ("a", "en", "t"): (1, 3), ("a", "en", "u"): (1, 1)}
-    assert r.apply(3, batch()) and not r.apply(2, one)
-    # a writer lost before its commit file names the data leaves nothing behind
-    open(tmp_path / "r/commits/4", "wb").close()
-    assert 4 not in r.commits() and r.apply(4, batch((2, "t", "insert", "a", "en", 2, 0)))
-    again = tokencounts.TokenRollup(spark, str(tmp_path / "r"))
+    assert r.apply(4, batch()) and not r.apply(2, one)
+    # one that would come after a later one is refused and changes nothing
+    with pytest.raises(tokencounts.BatchLate):
+        r.apply(3, one)
+    # a writer lost before its commit file has its name leaves nothing behind
+    open(tmp_path / "r/commits/5.0123", "wb").close()
+    assert 5 not in r.commits() and r.apply(5, batch((2, "t", "insert", "a", "en", 2, 0)))
+    again = tokencounts.TokenRollup(spark, str(tmp_path / "r"), buckets=4)
     assert {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in again.totals().collect()}[("a", "en", "t")] == (2, 5)
 
 
-def test_token_counts_of_null_and_repeated_ids(spark):
-    import duckdb
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rollup_equals_a_recount(spark, tmp_path, seed):
+    """Random batches, sent twice and now and then late, with snapshots between, against all state kept by hand."""
+    rng = random.Random(seed)
+    r = tokencounts.TokenRollup(spark, str(tmp_path / "r"), compact_after=3, buckets=3)
+    held, done, number = {}, set(), 0
+    for _ in range(8):
+        number += rng.choice([1, 1, 2])
+        rows = [(rng.randint(1, 12), rng.choice("tu"), rng.choice(["insert", "revise", "delete"]), rng.choice(["a", "b", None]), rng.choice(["en", None]), rng.randint(0, 9), s) for s in range(rng.randint(0, 10))]
+        df = spark.createDataFrame([(*x, "x") for x in rows], CHANGES)
+        late = rng.randint(1, number)
+        assert r.apply(number, df)
+        for x in sorted(rows, key=lambda x: x[6]):
+            key, last = (x[0], x[1]), max(y[6] for y in rows if y[:2] == x[:2])
+            if x[6] == last:
+                held.pop(key, None)
+                if x[2] != "delete":
+                    held[key] = (x[3], x[4], x[5])
+        done.add(number)
+        if late in done:
+            assert not r.apply(late, df)
+        else:
+            with pytest.raises(tokencounts.BatchLate):
+                r.apply(late, df)
+        want = {}
+        for (_, t), (source, lang, n) in held.items():
+            d, k = want.get((source, lang, t), (0, 0))
+            want[source, lang, t] = (d + 1, k + n)
+        assert {(x.source, x.lang, x.tokenizer): (x.n_docs, x.n_tokens) for x in r.totals().collect()} == want
+    assert r._named("snapshots") and len(r._since()[1]) < 3
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    r = tokencounts.TokenRollup(spark, str(tmp_path / "r"), buckets=16)
+    r.apply(1, spark.createDataFrame([(i, "t", "insert", "a", "en", 1, 0, "x") for i in range(200)], CHANGES))
+    some = r._state([3, 5])
+    assert {x.bucket for x in some.collect()} == {3, 5}
+    assert "PartitionFilters: [" in some._jdf.queryExecution().executedPlan().toString() and len(some.inputFiles()) < 16 or some.count() < 200
+
+
+def counts_by_library(rows, poor):
+    """The query's totals from the libraries' own counts of whole texts."""
+    enc = bytebpe.encoding(bytebpe.default_ranks(), public_tokenizers.PATTERN)
+    both = lambda t: {tokencounts.WORDS: len(TOKENIZER.encode(t, add_special_tokens=False).ids), tokencounts.BYTES: len(enc.encode_ordinary(t))}
+    want = {}
+    for i, t, source, lang in rows:
+        if i is None or i not in poor:
+            for tok, n in both(re.sub(r"[#*$%&|<>]", "", t or "")).items():
+                d, k = want.get((source, lang, tok), (0, 0))
+                want[source, lang, tok] = (d + 1, k + n)
+    return want
 
-    rows = [(1, "a b c", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "x #y", "t"), (2, "x #", "t"), (None, "n u l l", "s"), (None, "n u l l", "s"), (3, "k", None), (4, "p q", "t"), (4, "p #", "t")]
-    for bad in ([4], []):
-        lab = spark.createDataFrame([(i, 0) for i in bad] + [(3, 1)], "doc_id long, quality int")
-        got = Counter(tuple(r) for r in tokencounts.maintained(docs(spark, rows), lab).select("source", "lang", "tokenizer", "n_docs", "n_tokens").collect())
-        con = duckdb.connect()
-        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR, lang VARCHAR)")
-        con.executemany("INSERT INTO documents VALUES (?, ?, ?, 'en')", rows)
-        con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT)")
-        con.executemany("INSERT INTO labels VALUES (?, ?)", [*[(i, 0) for i in bad], (3, 1)])
-        assert got == Counter(con.execute(tokencounts.SQL).fetchall())
+
+def test_token_counts_of_null_and_repeated_ids(spark):
+    rows = [(1, "a b c", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "x #y", "t"), (2, "x #", "t"), (None, "n u l l", "s"), (None, "n u l l", "s"), (3, "k", None), (4, "p q", "t"), (4, "p #", "t"), (7, None, "s"), (8, "", "s"), (9, "wörd <b> " * 5000, "t")]
+    for poor in ({4}, set()):
+        lab = spark.createDataFrame([(i, 0) for i in poor] + [(3, 1), (None, 0)], "doc_id long, quality int")
+        got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in tokencounts.maintained(docs(spark, rows), lab).collect()}
+        assert got == counts_by_library([(i, t, s, "en") for i, t, s in rows], poor)
+    assert tokencounts.maintained(docs(spark, []), lab).count() == 0
 
 
 # --- all --------------------------------------------------------------------------------------------
@@ -523,6 +700,124 @@ def test_every_operator_has_one_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
 
+@pytest.fixture(scope="module")
+def db(sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}'")
+    return con
+
+
+def plain(df):
+    one = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
+    df = df.reindex(sorted(df.columns), axis=1).astype(object)
+    return sorted(([one(v) for v in r] for r in df.itertuples(index=False)), key=repr)
+
+
+#: Queries that give a row for each row of a table; the others sum up.
+ROWS_OF = {1: "documents", 2: "embeddings", 4: "documents", 5: "documents", 6: "pages", 7: "documents", 8: "documents", 9: "documents"}
+
+
+@pytest.fixture(scope="module")
+def answer(spark, sf):
+    """Each query's rows over the smallest tables, run once."""
+    import functools
+
+    return functools.lru_cache(None)(lambda name: queries.QUERIES[name](spark, sf).toPandas())
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_runs_and_equals_its_sql(answer, db, name):
+    got = answer(name)
+    table = ROWS_OF.get(int(name[2:].split("_")[0]))
+    assert len(got) == db.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0] if table else len(got)
+    if name in queries.ORACLE_SQL:
+        want = db.sql(queries.ORACLE_SQL[name]).df()
+        assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
+
+
+def test_queries_of_documents_by_brute_force(answer, db):
+    """What the queries say of each document of the table, from the libraries and by hand."""
+    rows = db.sql("SELECT doc_id, coalesce(text, ''), source, lang FROM documents ORDER BY doc_id").fetchall()
+    by = lambda name: {r.doc_id: r for r in answer(name).itertuples()}
+    enc, sha = bytebpe.encoding(bytebpe.default_ranks(), public_tokenizers.PATTERN), lambda b: hashlib.sha256(b).hexdigest()
+    op4, op5, op7, op8, op9 = (by(n) for n in ("op4_quality_rules", "op5_token_files", "op7_source_mixing", "op8_simhash_near_dedup", "op9_byte_bpe"))
+    start, prints, sizes = 0, {}, Counter()
+    for i, t, s, _ in rows:
+        r, n = op4[i], base_counts(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n and r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0])
+        ids = np.array(TOKENIZER.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        assert (op5[i].start, op5[i].n_tokens, op5[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+        whole = np.array(enc.encode_ordinary(t), "<u4")
+        assert (op9[i].n_tokens, op9[i].ids_sha256, op9[i].decoded_sha256) == (len(whole), sha(whole.tobytes()), sha(t.encode()))
+        prints[i] = simhash_by_hand(t)
+        assert op8[i].fingerprint == f"{prints[i]:016x}"
+        assert op7[i].size == n[0] and op7[i].taken % max(1, n[0]) == 0 and op7[i].taken <= 3 * n[0]
+        sizes[s] += n[0]
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    want = dict(zip(order, level([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])))
+    for i, _, s, _ in rows:
+        assert op7[i].source_size == sizes[s] and op7[i].target == pytest.approx(want[s])
+    up = {i: i for i in prints}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
+                p, q = sorted((find(a), find(b)))
+                up[q] = p
+    assert {i: r.component_id for i, r in op8.items()} == {i: find(i) for i in prints}
+    poor = {r[0] for r in db.sql("SELECT doc_id FROM labels WHERE quality = 0").fetchall()}
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in answer("op10_token_counts").itertuples()}
+    assert got == counts_by_library([(i, t, s, l) for i, t, s, l in rows], poor)
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """Each stage's decisions on what the stage before it kept."""
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {}
+    for name, stage in p.STAGES:
+        out = stage(spark, d, sf)
+        kept[name] = (d.collect(), out.collect())
+        d = spark.read.schema(out.schema).parquet(_put(out))
+    before, after = kept["quality"]
+    want = {r.doc_id for r in quality.judge(spark.createDataFrame(before)).collect() if r.kept}
+    assert {r.doc_id for r in after} == want
+    before, after = kept["toxicity"]
+    lex = toxicity.learn(spark.createDataFrame(before), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if toxicity.score(r.text, lex, lex.key()) < 0.7}
+    before, after = kept["near_duplicates"]
+    prints, left = {r.doc_id: simhash_by_hand(r.text) for r in before}, set()
+    groups = {i: i for i in prints}
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3 and groups[a] != groups[b]:
+                low, high = sorted((groups[a], groups[b]))
+                groups = {k: low if v == high else v for k, v in groups.items()}
+    assert {r.doc_id for r in after} == set(groups.values())
+    before, after = kept["mixing"]
+    times, words = Counter(r.doc_id for r in after), Counter()
+    for r in before:
+        words[r.source] += len(WORD.findall(r.text))
+    assert set(times) <= {r.doc_id for r in before} and max(times.values()) <= 3
+    order = sorted(s for s in words if s is not None) + [None] * (None in words)
+    for s, t in zip(order, level([words[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])):
+        mine = [len(WORD.findall(r.text)) for r in before if r.source == s]
+        assert abs(sum(len(WORD.findall(r.text)) for r in after if r.source == s) - t) <= max(mine)
+    before, after = kept["encoding"]
+    enc = bytebpe.encoding(bytebpe.default_ranks(), public_tokenizers.PATTERN)
+    assert sorted((r.doc_id, r.n_tokens) for r in after) == sorted((r.doc_id, len(enc.encode_ordinary(r.text))) for r in before)
+
+
 def test_pipeline_stages_hand_on_documents(spark, sf):
     import corpus_pipeline as p
 
