@@ -50,6 +50,17 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a batch of texts that Python takes apart at once.
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, without a copy: what Python makes of a text takes many times its size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def per_text(
     df: DataFrame, text_col: str, keep: list[str], out: pa.Schema, spark_out: str, fn: Callable[[str], tuple]
 ) -> DataFrame:
@@ -61,7 +72,7 @@ def per_text(
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [fn(t or "") for t in b.column(n).to_pylist()]
             made = list(zip(*rows)) if rows else [()] * len(out)
             yield pa.RecordBatch.from_arrays(

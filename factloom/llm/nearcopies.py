@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import Forest, chunked, components, written
+from factloom.llm.common import Forest, chunked, components, slices, written
 
 _MARKS = ".,;:!?\"'()[]{}"
 #: Shingle hashes that meet all hash functions at once.
@@ -95,7 +95,7 @@ def one_of_copies(
     distinct = df.groupBy(F.col(class_col), text.alias(text_col)).agg(F.min(id_col).alias(id_col)).select(id_col, text_col, class_col)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, classes = b.column(1).to_pylist(), b.column(2).to_pylist()
             found = [words(t) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), c & 0xFFFFFFFF) for t, c in zip(texts, classes)], np.uint64).view(np.int64)

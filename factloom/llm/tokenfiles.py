@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm.common import numbered_total, scratch_path
+from factloom.llm.common import numbered_total, scratch_path, slices
 
 #: Words of each of the two generations that a worker remembers.
 CACHE = 300_000
@@ -141,7 +141,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at, part, end = encoder(model), 0, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
             sizes = np.array([len(x) // 4 + 1 for x in ids], np.int64)
             ends = np.cumsum(sizes)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import free_name, per_text, written
+from factloom.llm.common import free_name, per_text, slices, written
 from factloom.llm.nearcopies import one_of_copies
 
 #: Plain English insults, as they stand after folding.
@@ -222,7 +222,7 @@ def learn(
     train = written(one_of_copies(rows, "__d", "__text", "__toxic").select("__text", "__toxic"), "toxic_train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             df, spelt = _candidates(((t or "", y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), starts)
             k = list(df)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.string()), pa.array([x[2] for x in k], pa.int32()), pa.array([df[x] for x in k], pa.int64()), pa.array([max(spelt[x[:2]].items(), key=lambda s: (s[1], s[0]))[0] for x in k], pa.string())], names=["kind", "entry", "toxic", "n", "spelt"])
