@@ -19,7 +19,8 @@ def rank(value: Column, names: list[str]) -> Column:
 
 
 def named(place: Column, names: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), place.cast("int"))
+    """The name at a place, counted from 1; null for none, which element_at of a constant array isn't told from -1."""
+    return F.when(place.isNotNull(), F.element_at(F.array(*[F.lit(n) for n in names]), place.cast("int")))
 
 
 def worst(level: Column, reasons: Column, dedupe: bool = True) -> tuple[Column, Column]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.completeness import LEVELS, POLICY
+from factloom.operators.completeness import CONFORMANCE, LEVELS, POLICY, named, rank
 from factloom.plans.passes import PlanError
 
 
@@ -62,6 +62,42 @@ def order(profiles: dict[str, tuple[str, ...]]) -> list[str]:
     return out
 
 
+#: The built-in profiles, each with those that it builds on.
+PROFILES = {
+    "specification": (), "structure": ("specification",), "surface": ("structure",), "dependencies": ("structure",),
+    "layout": ("specification",), "schema": ("specification",), "test-evidence": ("specification",),
+}
+
+
+def profile_of(rule: Column) -> Column:
+    """The profile that a rule of a module's conformance belongs to, by its id."""
+    return (
+        F.when(rule.rlike(r"^module\.[^.]+$"), "structure")
+        .when(rule.rlike(r"^(module\.(package|import)|observed\.(dependency|import))\."), "dependencies")
+        .when(rule.rlike(r"^(module|observed)\."), "surface")
+        .otherwise(F.substring_index(rule, ".", 1))
+    )
+
+
+def qualify(results: DataFrame, profiles: dict[str, tuple[str, ...]] = PROFILES, key: str = "spec") -> DataFrame:
+    """(key, profile, status, blocked) of rule results (key, profile, status): a profile takes its rules'
+    status, error before fail before indeterminate; one that builds on a profile that didn't pass is
+    blocked and indeterminate. A profile without a rule is indeterminate.
+
+    One aggregation, a column for each profile; the order among profiles is in the expressions.
+    """
+    place = rank(F.col("status"), CONFORMANCE)
+    own = results.groupBy(key).agg(*[F.max(F.when(F.col("profile") == p, place)).alias(f"__{i}") for i, p in enumerate(profiles)])
+    index, final = {p: i for i, p in enumerate(profiles)}, {}
+    for p in order(profiles):
+        blocked = F.lit(False)
+        for d in profiles[p]:
+            blocked = blocked | (final[d][0] != "pass")
+        final[p] = F.when(blocked, "indeterminate").otherwise(F.coalesce(named(F.col(f"__{index[p]}"), CONFORMANCE), F.lit("indeterminate"))), blocked
+    rows = F.array(*[F.struct(F.lit(p).alias("profile"), final[p][0].alias("status"), final[p][1].alias("blocked")) for p in profiles])
+    return own.select(key, F.explode(rows).alias("r")).select(key, "r.*")
+
+
 def fold(results: DataFrame, keys: list[str]) -> DataFrame:
     from factloom.operators.completeness import status
 

@@ -596,6 +596,21 @@ def qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance.qualify(_t(spark, sf_dir, "events").select("user_id", s.alias("status")), ["user_id"])
 
 
+@query("""
+WITH r AS (SELECT event_id % 500 AS spec, ['specification', 'structure', 'surface', 'dependencies', 'layout', 'schema'][(user_id % 6)::INT + 1] AS p, CASE WHEN value > 60 THEN 3 WHEN value > 45 THEN 2 ELSE 1 END AS k FROM events),
+o AS (SELECT spec, max(k) FILTER (p = 'specification') AS a, max(k) FILTER (p = 'structure') AS b, max(k) FILTER (p = 'surface') AS c, max(k) FILTER (p = 'dependencies') AS d, max(k) FILTER (p = 'layout') AS e, max(k) FILTER (p = 'schema') AS f FROM r GROUP BY spec),
+n AS (SELECT spec, coalesce(a, 2) AS a, CASE WHEN coalesce(a, 2) <> 1 THEN 2 ELSE coalesce(b, 2) END AS b, c, d, e, f FROM o),
+x AS (SELECT spec, 'specification' AS profile, a AS k, false AS blocked FROM n UNION ALL SELECT spec, 'structure', b, a <> 1 FROM n UNION ALL SELECT spec, 'surface', CASE WHEN b <> 1 THEN 2 ELSE coalesce(c, 2) END, b <> 1 FROM n
+  UNION ALL SELECT spec, 'dependencies', CASE WHEN b <> 1 THEN 2 ELSE coalesce(d, 2) END, b <> 1 FROM n UNION ALL SELECT spec, 'layout', CASE WHEN a <> 1 THEN 2 ELSE coalesce(e, 2) END, a <> 1 FROM n
+  UNION ALL SELECT spec, 'schema', CASE WHEN a <> 1 THEN 2 ELSE coalesce(f, 2) END, a <> 1 FROM n UNION ALL SELECT spec, 'test-evidence', 2, a <> 1 FROM n)
+SELECT spec, profile, ['pass', 'indeterminate', 'fail'][k] AS status, blocked FROM x
+""")
+def profile_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(p) for p in ("specification", "structure", "surface", "dependencies", "layout", "schema")])
+    status = F.when(F.col("value") > 60, "fail").when(F.col("value") > 45, "indeterminate").otherwise("pass")
+    return policy.qualify(_t(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("spec"), F.get(names, (F.col("user_id") % 6).cast("int")).alias("profile"), status.alias("status")))
+
+
 @query("""
 WITH r AS (SELECT user_id, CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 3 ELSE 2 END AS k, event_id % 4 AS c FROM events), t AS (SELECT user_id, max(k) AS k FROM r GROUP BY 1),
 m AS (SELECT r.user_id, 'C' || c || ':m' || (c % 2) AS x FROM r JOIN t ON t.user_id = r.user_id AND t.k = r.k WHERE r.k > 1)

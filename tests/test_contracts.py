@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions import identity, syntax
 from factloom.operators import body, conformance, contracts, facts, graph, impact
 from factloom.operators import ledger as L
+from factloom.plans import policy
 from factloom.sources import documents, observations, repository
 
 SPEC = "{}/.spec/api.d.ts"
@@ -184,3 +185,9 @@ def test_inventory_asks_classifiers_first(spark):
     mine = lambda p: ({"provenance": F.when(p.startswith("gen/"), "generated").otherwise("unknown")}, F.array(F.lit("mine")))
     got = {r.path: (r.provenance, r.purpose, r.evidence) for r in repository.inventory(files, classifiers=[(5, "mine", mine)], wanted={"purpose": ["implementation"]}).collect()}
     assert got == {"src/a.ts": ("authored", "implementation", ["mine"]), "gen/b.ts": ("generated", "implementation", ["mine"])}
+
+
+def test_profiles_of_rules(spark):
+    rules = {"module.core": "structure", "module.package.x": "dependencies", "observed.dependency.e": "dependencies", "module.import.type.k": "dependencies", "module.class.k.field.f": "surface", "observed.export.a.value": "surface", "layout.file": "layout", "schema.catalog": "schema"}
+    got = {r.r: r.p for r in spark.createDataFrame([(k,) for k in rules], "r string").select("r", policy.profile_of(F.col("r")).alias("p")).collect()}
+    assert got == rules
