@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bytebpe, chat, embedding, mixing, quality, simhash, tokencounts, tokenfiles, toxicity, urls
+from factloom.llm import bytebpe, chat, embedding, mixing, quality, repair, sharding, simhash, spelling, tokencounts, tokenfiles, toxicity, urls
 from factloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +62,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), change=spelling.misprinted))
+
+
+def op12_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.resharded(table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(rows, repair.damaged(rows))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_embedding_near_dedup, op3_chat_formatting, op4_quality_rules, op5_token_files, op6_url_filters, op7_source_mixing, op8_simhash_near_dedup, op9_byte_bpe, op10_token_counts)
+    for f in (op1_toxicity, op2_embedding_near_dedup, op3_chat_formatting, op4_quality_rules, op5_token_files, op6_url_filters, op7_source_mixing, op8_simhash_near_dedup, op9_byte_bpe, op10_token_counts, op11_spelling_variants, op12_resharding, op13_structure_repair)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op6_url_filters": urls.SQL, "op2_embedding_near_dedup": embedding.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op6_url_filters": urls.SQL, "op2_embedding_near_dedup": embedding.SQL, "op11_spelling_variants": spelling.SQL, "op13_structure_repair": repair.SQL}

@@ -34,7 +34,7 @@ from factloom.llm.common import written
 from factloom.sources.tables import Rounds
 
 #: Letters of a word: ASCII's, and those from U+00C0 to U+00FF with the two signs among them.
-RUN = "[A-Za-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Code points up to which a key is spelt out.
 SPELT = 64
@@ -44,9 +44,10 @@ _P, _B, _C = (1 << 61) - 1, 1_000_003, 7_368_787
 _HOLED, _WHOLE, _SHORT = 0, 1, 2
 
 
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, run): every maximal run of letters of every text, with A-Z in lower case."""
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(RUN), F.lit(0))).alias("run"))
+def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_letters: int = 1) -> DataFrame:
+    """(id, run): every maximal run of letters of every text that is long enough, with A-Z in lower case."""
+    pattern = F.lit(f"{LETTERS}{{{min_letters},}}")
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.regexp_extract_all(F.col(f"`{text_col}`"), pattern, F.lit(0))).alias("run"))
     # Spark lowers ASCII bytes at once; where other letters stand, only A-Z may change
     ascii_only = F.octet_length("run") == F.char_length("run")
     return found.withColumn("run", F.when(ascii_only, F.lower("run")).otherwise(F.translate("run", UPPER, LOWER)))
@@ -61,8 +62,8 @@ def misprinted(id_: Column, run: Column, one_in: int = 97) -> Column:
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", change: Callable[[Column, Column], Column] | None = None, min_letters: int = 5, min_count: int = 3) -> DataFrame:
     """(word, n): words with enough letters and occurrences; `change` (id, run) -> run alters runs first."""
-    # no change makes a run longer, so short runs go before it
-    found = runs(docs, id_col, text_col).where(F.char_length("run") >= min_letters)
+    # no change makes a run longer, so short runs aren't taken
+    found = runs(docs, id_col, text_col, min_letters)
     word = change(F.col("id"), F.col("run")) if change else F.col("run")
     return found.select(word.alias("word")).where(F.char_length("word") >= min_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
