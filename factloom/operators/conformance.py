@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom.functions.identity import ancestors, glob_regex
 from factloom.operators.completeness import CONFORMANCE, obligation, rank, status
@@ -137,109 +132,6 @@ def declaration_owner(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.min(order).getField("d").alias("owner"))
 
 
-# --- recursive types, as canonical JSON -------------------------------------------------------------
-
-MAX_STEPS = 20_000
-
-
-class _Budget(Exception):
-    pass
-
-
-def match_sets(left: list, right: list, same: Callable[[object, object], bool]) -> bool:
-    """Whether the members of two unordered sets can be paired off: the fewest choices first, then back."""
-    if len(left) != len(right):
-        return False
-    choices = [[j for j, r in enumerate(right) if same(x, r)] for x in left]
-    order = sorted(range(len(left)), key=lambda i: len(choices[i]))
-    partner: dict[int, int] = {}
-
-    def augment(i: int, tried: set[int]) -> bool:
-        for j in choices[i]:
-            if j not in tried:
-                tried.add(j)
-                if j not in partner or augment(partner[j], tried):
-                    partner[j] = i
-                    return True
-        return False
-
-    return all(augment(i, set()) for i in order)
-
-
-def same_type(a: object, b: object) -> bool:
-    """Structural equality of two types: unions and intersections as sets, record fields by name,
-    parameters bound by place, so that names of type parameters don't matter."""
-    left = MAX_STEPS
-
-    def flat(t: dict, kind: str) -> list:
-        out = []
-        for m in t.get("members", t.get("types", [])):
-            out += flat(m, kind) if isinstance(m, dict) and m.get("kind") == kind else [m]
-        seen, kept = set(), []
-        for m in out:
-            k = json.dumps(m, sort_keys=True)
-            if k not in seen:
-                seen.add(k)
-                kept.append(m)
-        return kept
-
-    def eq(x: object, y: object, bound: dict) -> bool:
-        nonlocal left
-        left -= 1
-        if left < 0:
-            raise _Budget
-        if isinstance(x, dict) and isinstance(y, dict):
-            kind = x.get("kind")
-            if kind in ("union", "intersection") or y.get("kind") in ("union", "intersection"):
-                k = kind if kind in ("union", "intersection") else y.get("kind")
-                xs, ys = (flat(t, k) if t.get("kind") == k else [t] for t in (x, y))
-                return match_sets(xs, ys, lambda p, q: eq(p, q, bound))
-            if kind != y.get("kind"):
-                return False
-            if kind == "parameter":
-                return bound.get(x.get("name"), x.get("name")) == y.get("name")
-            if x.keys() != y.keys():
-                return False
-            inner = bound
-            if "typeParameters" in x and isinstance(x["typeParameters"], list) and isinstance(y["typeParameters"], list):
-                if len(x["typeParameters"]) != len(y["typeParameters"]):
-                    return False
-                names = [(p.get("name"), q.get("name")) for p, q in zip(x["typeParameters"], y["typeParameters"])]
-                inner = {**bound, **dict(names)}
-            for k in x:
-                p, q = x[k], y[k]
-                if k == "typeParameters" and isinstance(p, list):
-                    p, q = ([{n: v for n, v in t.items() if n != "name"} for t in side] for side in (p, q))
-                if k in ("fields", "properties") and isinstance(p, list) and isinstance(q, list):
-                    p, q = (sorted(side, key=lambda f: json.dumps(f.get("name")) if isinstance(f, dict) else json.dumps(f)) for side in (p, q))
-                if not eq(p, q, inner):
-                    return False
-            return True
-        if isinstance(x, list) and isinstance(y, list):
-            return len(x) == len(y) and all(eq(p, q, bound) for p, q in zip(x, y))
-        return type(x) is type(y) and x == y
-
-    return eq(a, b, {})
-
-
-@F.pandas_udf(T.StringType())
-def type_verdict(expected: pd.Series, observed: pd.Series) -> pd.Series:
-    """pass or fail for two types in JSON; indeterminate where one is missing, unsupported or too large."""
-
-    def one(a: str | None, b: str | None) -> str:
-        if a is None or b is None:
-            return "indeterminate"
-        x, y = json.loads(a), json.loads(b)
-        if '"unsupported"' in a + b or (isinstance(y, dict) and y.get("kind") == "unknown" != x.get("kind")):
-            return "indeterminate"
-        try:
-            return "pass" if same_type(x, y) else "fail"
-        except (_Budget, RecursionError):
-            return "indeterminate"
-
-    return pd.Series([one(a, b) for a, b in zip(expected, observed)], dtype=object)
-
-
 def worst_first(results: DataFrame) -> DataFrame:
     """Results by falling gravity, then rule."""
     return results.orderBy(F.desc(rank(F.col("status"), CONFORMANCE)), "rule")

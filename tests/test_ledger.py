@@ -206,9 +206,17 @@ def test_documents(spark, tmp_path):
     (tmp_path / "f.ndjson").write_text('{"sequence":1,"kind":"x","body":"b"}\n{"sequence":1,"kind":"x"}\nbroken\n{"sequence":4,"kind":"end"}\n')
     f = documents.frames(spark, str(tmp_path / "f.ndjson"))
     assert f.count() == 3 and sorted(tuple(r) for r in documents.frame_errors(f).collect()) == [("FRAME_MISSING", 2), ("FRAME_REPEATED", 1)]
-    n, e = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), spark.createDataFrame([(1, 2), (1, 9)], "src int, dst int")
-    lines = documents.code_graph(n, e, spark.createDataFrame([(1, 5)], "id int, m int"))
-    assert lines.count() == 3 and documents.graph_digest(lines).first()[0] == documents.graph_digest(lines.repartition(3)).first()[0]
+    n = spark.createDataFrame([(1, "a", None, "fn", "f", 1, None), (2, "b", "m.b", "fn", "f", 9, 1)], "id int, name string, qualified_name string, kind string, file string, line int, parent_id int")
+    told = {"node": n, "edge": spark.createDataFrame([(1, 2, "call"), (1, 9, "call")], "source_id int, target_id int, edge_kind string"), "metric": spark.createDataFrame([(1, 5)], "node_id int, fan_in int"), "syntax": spark.createDataFrame([(7, 2), (8, 9)], "at int, parent_id int")}
+    lines = documents.code_graph(told)
+    of = lambda p, name, line: f'"{p}file":"f","{p}kind":"fn","{p}line":{line},"{p}qualified_name":"{name}"'
+    assert sorted((r.relation, r.line) for r in lines.collect()) == sorted([
+        ("node", '{"file":"f","kind":"fn","line":1,"name":"a","qualified_name":"a"}'), ("node", f'{{"file":"f","kind":"fn","line":9,"name":"b",{of("parent_", "a", 1)},"qualified_name":"m.b"}}'),
+        ("edge", f'{{"edge_kind":"call",{of("source_", "a", 1)},{of("target_", "m.b", 9)}}}'), ("metric", f'{{"fan_in":5,{of("", "a", 1)}}}'), ("syntax", f'{{"at":7,{of("parent_", "m.b", 9)}}}'), ("syntax", '{"at":8}'),
+    ])
+    moved = {"node": n.withColumn("id", F.col("id") + 50).withColumn("parent_id", F.col("parent_id") + 50)}
+    moved["edge"], moved["metric"], moved["syntax"] = told["edge"].select(F.col("source_id") + 50, F.col("target_id") + 50, "edge_kind").toDF("source_id", "target_id", "edge_kind"), told["metric"].select((F.col("node_id") + 50).alias("node_id"), "fan_in"), told["syntax"].select("at", (F.col("parent_id") + 50).alias("parent_id"))
+    assert documents.graph_digest(lines).first()[0] == documents.graph_digest(lines.repartition(3)).first()[0] == documents.graph_digest(documents.code_graph(moved)).first()[0]
     assert documents.checkpoint_key({"a": b"1", "b": b"2"}) == documents.checkpoint_key({"b": b"2", "a": b"1"}) != documents.checkpoint_key({"a": b"1"})
 
 

@@ -221,22 +221,6 @@ def test_conformance(spark):
     assert rows(conformance.declaration_owner(own, ["d"])) == [("d", "o3")]
 
 
-def test_types():
-    s, n = {"kind": "primitive", "name": "string"}, {"kind": "primitive", "name": "number"}
-    u = lambda *m: {"kind": "union", "members": list(m)}
-    fn = lambda name: {"kind": "function", "typeParameters": [{"name": name}], "parameters": [{"kind": "parameter", "name": name}], "returns": {"kind": "parameter", "name": name}}
-    rec = lambda *f: {"kind": "record", "fields": [{"name": a, "type": t} for a, t in f]}
-    same = conformance.same_type
-    assert same(u(s, n), u(n, s)) and same(u(s, u(n, s)), u(n, s)) and same(u(s, s), s) and not same(u(s, n), s)
-    assert same(fn("T"), fn("U")) and same(rec(("a", s), ("b", n)), rec(("b", n), ("a", s))) and not same(rec(("a", s)), rec(("a", n)))
-    assert not same({"kind": "literal", "value": 1}, {"kind": "literal", "value": True})
-
-
-def test_type_verdicts(spark):
-    d = spark.createDataFrame([(json.dumps({"kind": "a"}), json.dumps({"kind": "a"})), (json.dumps({"kind": "a"}), json.dumps({"kind": "b"})), (None, "{}"), (json.dumps({"kind": "unsupported"}), json.dumps({"kind": "a"}))], "e string, o string")
-    assert [r[0] for r in d.select(conformance.type_verdict("e", "o")).collect()] == ["pass", "fail", "indeterminate", "indeterminate"]
-
-
 def test_search(spark):
     i = spark.createDataFrame([("s1", "core", "core api", "lib core", "kernel base", "fam", "active"), ("s2", "score", "score", "lib score", "", "fam", "active"), ("s3", "zzz", "zzz", "core zzz", "", "other", "draft")], "source string, name string, title string, path string, alias string, family string, status string")
     top = lambda q, **k: [(r.source, r.tier) for r in search.top(search.ranked(i, parse_query(q), **k)).collect()]
