@@ -6,9 +6,12 @@ last, whole and without overwriting: a reader sees a whole generation or none, a
 the same base one wins and the other's base is stale. The highest generation is current. A reader is
 pinned to the generation it opened.
 
-Shards lie in folders by the beginning of their digest, so a read of some shards, or a check whether
-they are there, opens their folders only. A commit looks at the facts that it brings and, of the others,
-at those that name or are named by a fact that it adds or takes away.
+Shards lie below the attempt that wrote them, in folders by the beginning of their digest, and a manifest
+names each shard's attempt: a reader never meets what another writer of the same shard left, and a read of
+some shards opens their folders only. A commit takes over the base's own shards where the content is the
+same and writes the others; what it is given is written once, before anything is read from it. It looks at
+the facts that it brings and, of the others, at those that name or are named by a fact that it adds or
+takes away.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from factloom.operators.diffs import manifest_changes
 from factloom.operators.facts import SCHEMA as FACTS
 from factloom.sources.tables import Rounds, publish, small_text
 
-MANIFEST = "shard_key string, shard_digest string, namespace string, schema_version int, facts bigint, capabilities array<string>"
+MANIFEST = "shard_key string, shard_digest string, namespace string, schema_version int, facts bigint, capabilities array<string>, attempt string"
 
 
 class LedgerError(ValueError):
@@ -133,20 +136,26 @@ class Ledger:
     def manifest(self, g: Generation) -> DataFrame:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{g.universe}/manifests/{g.attempt}")
 
-    def shards(self, universe: str, folders: list[str] | None = None) -> DataFrame:
-        """All shards' facts, or those in some folders."""
-        all_ = self.spark.read.schema("shard_key string, " + FACTS + ", folder string").parquet(f"{self.root}/{universe}/shards")
-        return (all_ if folders is None else all_.where(F.col("folder").isin(folders))).drop("folder")
+    def shards(self, universe: str, manifest: DataFrame | None = None, folders: list[str] | None = None) -> DataFrame:
+        """All facts that lie in a universe, with their attempt, or those of the shards of a manifest, found
+        in the attempts that it names and, if given, some folders of them."""
+        all_ = self.spark.read.schema("shard_key string, " + FACTS + ", attempt string, folder string").parquet(f"{self.root}/{universe}/shards")
+        if manifest is None:
+            return all_.drop("folder")
+        attempts = [r[0] for r in manifest.select("attempt").distinct().collect()]  # commits whose shards are kept
+        some = all_.where(F.col("attempt").isin(attempts))
+        some = some if folders is None else some.where(F.col("folder").isin(folders))
+        return some.drop("folder").join(manifest.select("attempt", "shard_digest"), ["attempt", "shard_digest"], "left_semi").select(*all_.columns[:-1])
 
     def facts(self, g: Generation, keys: list[str] | None = None) -> DataFrame:
         """The facts of a generation, or of its shards with some keys: its manifest, joined with the facts."""
-        own = self.manifest(g).select("shard_key", "shard_digest")
+        own = self.manifest(g)
         if keys is None:
-            found = self.shards(g.universe)
+            found = self.shards(g.universe, own)
         else:
             own = own.where(F.col("shard_key").isin(keys))
-            found = self.shards(g.universe, self._folders(own))
-        return found.join(own.select("shard_digest"), "shard_digest", "left_semi").withColumn("generation", F.lit(g.id))
+            found = self.shards(g.universe, own, self._folders(own))
+        return found.drop("attempt").withColumn("generation", F.lit(g.id))
 
     def _folders(self, manifest: DataFrame) -> list[str]:
         """The folders that some shards lie in: at most 256 names."""
@@ -163,6 +172,12 @@ class Ledger:
         """The first half of a commit: validates and writes all but the generation's own file. No one
         sees a staged generation until `publish`, which a producer may hold back until it is ready."""
         self._fresh(universe, base)
+        rounds = Rounds(self.spark, "commit")
+        sequence = (base.sequence if base else 0) + 1
+        attempt = f"{sequence}-{rounds.name}"
+        self._store(f"{universe}/staged/{attempt}", {})
+        columns = self.spark.createDataFrame([], "shard_key string, " + FACTS).columns
+        upserts = rounds.put(upserts.select(*[c for c in columns if c != "shard_digest"]))
         bad = violations(upserts).first()
         if bad:
             raise LedgerError(bad.code, str(bad.subject))
@@ -170,26 +185,20 @@ class Ledger:
         missing = sorted(set(deletes) - {r[0] for r in old.where(F.col("shard_key").isin(*deletes)).select("shard_key").collect()}) if deletes else []
         if missing:
             raise LedgerError("DELETE_UNKNOWN", ", ".join(missing))
-        rounds = Rounds(self.spark, "commit")
-        new = rounds.put(digests(upserts).withColumn("capabilities", F.array(*[F.lit(c) for c in sorted(set(capabilities))]).cast("array<string>")))
+        there = old.groupBy(F.col("shard_digest").alias("__d")).agg(F.min("attempt").alias("__a"))
+        new = digests(upserts).withColumn("capabilities", F.array(*[F.lit(c) for c in sorted(set(capabilities))]).cast("array<string>"))
+        new = rounds.put(new.join(there, F.col("shard_digest") == F.col("__d"), "left").withColumn("attempt", F.coalesce("__a", F.lit(attempt))).drop("__d", "__a"))
         kept = old.join(new.select("shard_key"), "shard_key", "left_anti")
         kept = kept.where(~F.col("shard_key").isin(*deletes)) if deletes else kept
-        # what is there already, by the folders of the new shards alone
-        unchanged = new.join(old.select("shard_digest"), "shard_digest", "left_semi").select("shard_digest")
-        fresh = new.join(unchanged, "shard_digest", "left_anti")
-        if self._fs.exists(self._path(f"{self.root}/{universe}/shards")):
-            there = self.shards(universe, self._folders(fresh)).select("shard_digest").distinct()
-            fresh = fresh.join(there, "shard_digest", "left_anti")
-        fresh = fresh.select(F.col("shard_key").alias("__k"), F.col("shard_digest").alias("__d"))
-        columns = self.spark.createDataFrame([], "shard_key string, " + FACTS).columns
-        rows = upserts.drop("shard_digest").join(fresh, F.col("shard_key") == F.col("__k")).withColumnRenamed("__d", "shard_digest").select(*columns, folder_of(F.col("shard_digest")).alias("folder"))
-        rows.write.mode("append").partitionBy("folder").parquet(f"{self.root}/{universe}/shards")
+        unchanged = new.where(F.col("attempt") != attempt).select("shard_digest")
+        fresh = new.where(F.col("attempt") == attempt).select(F.col("shard_key").alias("__k"), F.col("shard_digest").alias("__d"))
+        rows = upserts.join(fresh, F.col("shard_key") == F.col("__k")).withColumnRenamed("__d", "shard_digest").select(*columns, folder_of(F.col("shard_digest")).alias("folder"))
+        rows.write.partitionBy("folder").parquet(f"{self.root}/{universe}/shards/attempt={attempt}")
         self._closed(universe, base, upserts, new, unchanged, kept, list(deletes))
-        sequence = (base.sequence if base else 0) + 1
-        attempt = f"{sequence}-{rounds.name}"
         kept.unionByName(new).write.parquet(f"{self.root}/{universe}/manifests/{attempt}")
         manifest = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{universe}/manifests/{attempt}")
         digest = set_digest(manifest, F.col("shard_digest")).first()
+        rounds.clean()
         return Generation(universe, sequence, "generation:" + (digest[0] if digest else hashlib.sha256(b"").hexdigest()), producer, source_manifest, tuple(sorted(set(capabilities))), attempt)
 
     def _fresh(self, universe: str, base: Generation | None) -> None:
@@ -202,7 +211,7 @@ class Ledger:
         fact taken away was for. Shards whose digest is that of the base are as sound as they were."""
         rounds, found, there = Rounds(self.spark, "closed"), None, None
         if base:
-            there = self.shards(universe).join(kept.select("shard_digest"), "shard_digest", "left_semi").select("fact_id", "inputs")
+            there = self.shards(universe, kept).select("fact_id", "inputs")
         brought = upserts.join(unchanged.join(new, "shard_digest").select(F.col("shard_key").alias("__same")), F.col("shard_key") == F.col("__same"), "left_anti")
         # kept facts are read only where new ones name facts beyond their own, or where facts go
         loose, n = rounds.counted(dangling_inputs(brought, upserts))
@@ -211,18 +220,23 @@ class Ledger:
         if base and not found:
             old, replaced = self.manifest(base), new.join(unchanged, "shard_digest", "left_anti").select("shard_key")
             gone = old.join(replaced, "shard_key", "left_semi").unionByName(old.where(F.col("shard_key").isin(*deletes)) if deletes else old.limit(0))
-            lost = self.shards(universe, self._folders(gone)).join(gone.select("shard_digest"), "shard_digest", "left_semi").select("fact_id")
+            lost = self.shards(universe, gone, self._folders(gone)).select("fact_id")
             lost, n = rounds.counted(lost.join(upserts.select("fact_id"), "fact_id", "left_anti"))
             if n:
                 found = there.select("fact_id", F.explode("inputs").alias("input")).join(lost.select(F.col("fact_id").alias("input")), "input", "left_semi").first()
+        rounds.clean()
         if found:
             raise LedgerError("INPUT_DANGLING", f"{found.fact_id} needs {found.input}")
 
     def publish(self, g: Generation) -> Generation:
         """The second half of a commit: makes a staged generation the current one, if its base still is."""
-        self._fresh(g.universe, self.generation(g.universe, g.sequence - 1) if g.sequence > 1 else None)
-        if not self._store(f"{g.universe}/generations/{g.sequence}", {"id": g.id, "producer": g.producer, "source_manifest": g.source_manifest, "capabilities": list(g.capabilities), "attempt": g.attempt}):
-            raise LedgerError("BASE_STALE", f"generation {g.sequence} was published by another writer")
+        mark = self._path(f"{self.root}/{g.universe}/staged/{g.attempt}")
+        try:
+            self._fresh(g.universe, self.generation(g.universe, g.sequence - 1) if g.sequence > 1 else None)
+            if not self._store(f"{g.universe}/generations/{g.sequence}", {"id": g.id, "producer": g.producer, "source_manifest": g.source_manifest, "capabilities": list(g.capabilities), "attempt": g.attempt}):
+                raise LedgerError("BASE_STALE", f"generation {g.sequence} was published by another writer")
+        finally:
+            self._fs.delete(mark, False)
         return g
 
     def rollover(self, old: str, new: str, facts: DataFrame, producer: str = "factloom", source_manifest: str = "", capabilities: list[str] = ()) -> Generation:
@@ -283,27 +297,44 @@ class Ledger:
             self._fs.delete(self._path(f"{self.root}/{universe}/manifests/{g.attempt}"), True)
         return out
 
-    def sweep(self, universe: str) -> int:
+    def sweep(self, universe: str, grace: float = 24 * 3600.0) -> int:
         """Removes the facts of shards that no generation has, folder by folder; returns the number of
-        folders that were written anew. No commit may run meanwhile, as it may count on such a shard."""
-        orphans = Rounds(self.spark, "sweep").put(self.orphans(universe))
-        folders = self._folders(orphans)
+        folders that went or were written anew. Attempts that are staged and not older than `grace` seconds
+        stay whole, and a commit takes over shards of its base alone, which a sweep spares as long as it can
+        be published; so commits may run meanwhile."""
+        rounds = Rounds(self.spark, "sweep")
+        orphans = rounds.put(self.orphans(universe, grace).withColumn("folder", folder_of(F.col("shard_digest"))))
+        found = orphans.select("attempt", "folder").distinct().collect()  # names of folders
         root = f"{self.root}/{universe}/shards"
-        for name in folders:
-            at, side = f"{root}/folder={name}", f"{self.root}/{universe}/swept/{name}-{time.time_ns()}"
+        for attempt, name in found:
+            at, side = f"{root}/attempt={attempt}/folder={name}", f"{self.root}/{universe}/swept/{attempt}-{name}-{time.time_ns()}"
             whole = self.spark.read.schema("shard_key string, " + FACTS).parquet(at)
-            whole.join(orphans, "shard_digest", "left_anti").write.parquet(side)
+            gone = orphans.where((F.col("attempt") == attempt) & (F.col("folder") == name)).select("shard_digest")
+            rest = whole.join(gone, "shard_digest", "left_anti")
+            if rest.isEmpty():
+                self._fs.delete(self._path(at), True)
+                continue
+            rest.write.parquet(side)
             old = self._path(f"{side}-old")
             self._fs.rename(self._path(at), old)
             self._fs.rename(self._path(side), self._path(at))
             self._fs.delete(old, True)
-        return len(folders)
-
-    def orphans(self, universe: str) -> DataFrame:
-        """(shard_digest): shards that no generation has."""
-        shards = self.shards(universe).select("shard_digest").distinct()
+        rounds.clean()
+        return len(found)
+
+    def _staged(self, universe: str, grace: float) -> list[str]:
+        """Attempts that may still be published."""
+        at = self._path(f"{self.root}/{universe}/staged")
+        files = self._fs.listStatus(at) if self._fs.exists(at) else []
+        return [s.getPath().getName() for s in files if s.getModificationTime() > (time.time() - grace) * 1000]
+
+    def orphans(self, universe: str, grace: float = 0.0) -> DataFrame:
+        """(attempt, shard_digest): shards that no generation has, nor an attempt staged within `grace` seconds."""
+        shards = self.shards(universe).select("attempt", "shard_digest").distinct()
+        staged = self._staged(universe, grace) if grace else []
+        shards = shards.where(~F.col("attempt").isin(staged)) if staged else shards
         paths = [f"{self.root}/{universe}/manifests/{self.generation(universe, s).attempt}" for s in self._sequences(universe)]
-        return shards.join(self.spark.read.schema(MANIFEST).parquet(*paths).select("shard_digest"), "shard_digest", "left_anti") if paths else shards
+        return shards.join(self.spark.read.schema(MANIFEST).parquet(*paths).select("attempt", "shard_digest"), ["attempt", "shard_digest"], "left_anti") if paths else shards
 
     def verify(self, g: Generation) -> DataFrame:
         """(shard_key, code): shards of a generation that are missing, or whose facts don't give their digest."""

@@ -80,3 +80,13 @@ class Rounds:
         path, seen = f"{self.root}/{self.n}", Observation()
         df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+    def clean(self) -> None:
+        """Deletes all tables of these rounds; nothing that is still to be read may come from them."""
+        remove(self.spark, self.root)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder through Hadoop's file system API."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -79,6 +79,30 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     assert sorted(r.fact_id for r in one.facts(b).collect()) == ["f1", "f3"] and one.verify(b).isEmpty()
 
 
+def test_two_writers_of_one_shard_leave_each_fact_once(spark, tmp_path):
+    one, two = L.Ledger(spark, str(tmp_path / "l")), L.Ledger(spark, str(tmp_path / "l"))
+    g = one.commit("u", None, shard(spark, "a", ("f1", [], "1")))
+    same = shard(spark, "b", ("f2", ["f1"], "2"), ("f3", [], "3")).unionByName(shard(spark, "a", ("f1", [], "1")))
+    a, b = one.stage("u", g, same), two.stage("u", g, same)
+    # a sweep between staging and publishing takes nothing that is staged
+    assert one.sweep("u") == 0 and two.publish(b) == b
+    assert code(lambda: one.publish(a)) == "BASE_STALE"
+    assert sorted(r.fact_id for r in one.facts(b).collect()) == ["f1", "f2", "f3"] and one.verify(b).isEmpty()
+    assert {r.shard_key: r.attempt for r in one.manifest(b).collect()} == {"a": g.attempt, "b": b.attempt}
+    assert [tuple(r)[0] for r in one.orphans("u").collect()] == [a.attempt] and one.sweep("u") == 1
+    assert one.facts(b).count() == 3 and one.verify(b).isEmpty() and one.orphans("u").isEmpty()
+    # a writer that never comes back is swept when its time is over
+    one.stage("u", b, shard(spark, "c", ("f4", [], "4")))
+    assert one.sweep("u") == 0 and one.sweep("u", 0) == 1 and one.facts(b).count() == 3
+
+
+def test_upserts_are_evaluated_once(spark, tmp_path):
+    led = L.Ledger(spark, str(tmp_path / "l"))
+    moody = shard(spark, "a", ("f1", [], "1"), ("f2", ["f1"], "2")).withColumn("payload", F.uuid())
+    g = led.commit("u", None, moody)
+    assert led.verify(g).isEmpty() and led.facts(g).count() == 2
+
+
 def test_a_fact_that_others_need_cant_go(spark, tmp_path):
     led = L.Ledger(spark, str(tmp_path / "l"))
     g = led.commit("u", None, shard(spark, "a", ("f1", [], "1")).unionByName(shard(spark, "b", ("f2", ["f1"], "2"))).unionByName(shard(spark, "c", ("f3", [], "3"))))
