@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import assignment, declarations, types
+from factloom.operators import assignment, declarations, flow, types
 from factloom.registry import _t, query
 
 
@@ -148,3 +148,50 @@ SELECT d AS declaration, CASE WHEN e THEN '' ELSE 'observed.' END || id AS id, C
 """)
 def declaration_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declarations.compared(_order_parts(spark, sf_dir, "expected"), _order_parts(spark, sf_dir, "observed"))
+
+
+def _line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a function whose lines are its statements, of seven shapes."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), place.alias("n"), (F.col("l_partkey") % 7).alias("q"))
+    base = (F.col("o") * 64 + F.col("n")) * 16
+    row = lambda k, parent, slot, at, kind: F.struct(F.col("o").cast("string").alias("function"), (base + k).alias("node"), parent.alias("parent"), F.lit(slot).alias("slot"), (F.lit(at) if isinstance(at, int) else at).alias("place"), F.lit(kind).alias("kind"))
+    root = F.col("o") * 64 * 16
+    top = lambda kind: row(1, root, "statement", F.col("n"), kind)
+    sub = lambda k, up, slot, at, kind: row(k, base + up, slot, at, kind)
+    shapes = [
+        [top("plain")], [top("if"), sub(2, 1, "then", 0, "block"), sub(3, 2, "statement", 0, "plain")],
+        [top("if"), sub(2, 1, "then", 0, "return"), sub(3, 1, "else", 1, "plain")],
+        [top("while"), sub(2, 1, "body", 0, "block"), sub(3, 2, "statement", 0, "plain"), sub(4, 2, "statement", 1, "if"), sub(5, 4, "then", 0, "break"), sub(6, 2, "statement", 2, "plain")],
+        [top("do"), sub(2, 1, "body", 0, "block"), sub(3, 2, "statement", 0, "plain"), sub(4, 2, "statement", 1, "continue"), sub(5, 2, "statement", 2, "plain")],
+        [top("return")], [top("block")],
+    ]
+    each = None
+    for k, rows in enumerate(shapes):
+        each = F.when(F.col("q") == k, F.array(*rows)) if each is None else each.when(F.col("q") == k, F.array(*rows))
+    roots = lines.select("o").distinct().select(F.col("o").cast("string").alias("function"), root.alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("body").alias("slot"), F.lit(0).alias("place"), F.lit("block").alias("kind"))
+    return lines.select(F.explode(each).alias("x")).select("x.*").unionByName(roots)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey % 7 AS q FROM lineitem),
+s AS (SELECT o, n, q, (o * 64 + n) * 16 AS b FROM l WHERE q <> 6),
+e AS (SELECT *, b + CASE WHEN q = 4 THEN 3 ELSE 1 END AS entry, coalesce(bool_or(q = 5) OVER (PARTITION BY o ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS cut FROM s),
+f AS (SELECT *, CASE WHEN NOT cut THEN coalesce((lead(entry) OVER (PARTITION BY o ORDER BY n))::VARCHAR, 'exit') END AS after FROM e),
+x AS (
+  SELECT o, 'entry' AS src, coalesce(min_by(entry, n)::VARCHAR, 'exit') AS dst, 'fallthrough' AS kind, NULL::BIGINT AS evidence FROM (SELECT DISTINCT o FROM l) LEFT JOIN f USING (o) GROUP BY o
+  UNION ALL SELECT o, (b + 1)::VARCHAR, after, 'fallthrough', b + 1 FROM f WHERE q = 0
+  UNION ALL SELECT o, (b + 1)::VARCHAR, (b + 3)::VARCHAR, 'true', b + 1 FROM f WHERE q = 1 UNION ALL SELECT o, (b + 3)::VARCHAR, after, 'fallthrough', b + 3 FROM f WHERE q = 1 UNION ALL SELECT o, (b + 1)::VARCHAR, after, 'false', b + 1 FROM f WHERE q = 1
+  UNION ALL SELECT o, (b + 1)::VARCHAR, (b + 2)::VARCHAR, 'true', b + 1 FROM f WHERE q = 2 UNION ALL SELECT o, (b + 2)::VARCHAR, 'exit', 'return', b + 2 FROM f WHERE q = 2
+  UNION ALL SELECT o, (b + 1)::VARCHAR, (b + 3)::VARCHAR, 'false', b + 1 FROM f WHERE q = 2 UNION ALL SELECT o, (b + 3)::VARCHAR, after, 'fallthrough', b + 3 FROM f WHERE q = 2
+  UNION ALL SELECT o, (b + 1)::VARCHAR, (b + 3)::VARCHAR, 'true', b + 1 FROM f WHERE q = 3 UNION ALL SELECT o, (b + 3)::VARCHAR, (b + 4)::VARCHAR, 'fallthrough', b + 3 FROM f WHERE q = 3
+  UNION ALL SELECT o, (b + 4)::VARCHAR, (b + 5)::VARCHAR, 'true', b + 4 FROM f WHERE q = 3 UNION ALL SELECT o, (b + 4)::VARCHAR, (b + 6)::VARCHAR, 'false', b + 4 FROM f WHERE q = 3
+  UNION ALL SELECT o, (b + 5)::VARCHAR, after, 'fallthrough', b + 5 FROM f WHERE q = 3 UNION ALL SELECT o, (b + 6)::VARCHAR, (b + 1)::VARCHAR, 'loop', b + 6 FROM f WHERE q = 3
+  UNION ALL SELECT o, (b + 1)::VARCHAR, after, 'false', b + 1 FROM f WHERE q IN (3, 4)
+  UNION ALL SELECT o, (b + 3)::VARCHAR, (b + 4)::VARCHAR, 'fallthrough', b + 3 FROM f WHERE q = 4 UNION ALL SELECT o, (b + 4)::VARCHAR, (b + 1)::VARCHAR, 'loop', b + 4 FROM f WHERE q = 4
+  UNION ALL SELECT o, (b + 1)::VARCHAR, (b + 3)::VARCHAR, 'loop', b + 1 FROM f WHERE q = 4
+  UNION ALL SELECT o, (b + 1)::VARCHAR, 'exit', 'return', b + 1 FROM f WHERE q = 5)
+SELECT o::VARCHAR AS "function", src, dst, kind, evidence::VARCHAR AS evidence FROM x WHERE dst IS NOT NULL
+""")
+def control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.control_flow(_line_statements(spark, sf_dir))[0].withColumn("evidence", F.col("evidence").cast("string"))
