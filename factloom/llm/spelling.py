@@ -68,9 +68,11 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(word.alias("word")).where(F.char_length("word") >= min_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
-def numbered(words: DataFrame) -> DataFrame:
-    """`words` with an id that grows with the word in code-point order, written once so that it stays."""
-    return written(words.orderBy("word").select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
+def numbered(words: DataFrame) -> tuple[DataFrame, int]:
+    """`words` with an id that grows with the word in code-point order, written once so that it stays, and
+    how many are over SPELT code points."""
+    placed = words.orderBy("word").select(F.monotonically_increasing_id().alias("id"), "word", "n")
+    return Rounds(words.sparkSession, "words").counted(placed, F.char_length("word") > SPELT)
 
 
 def _long_keys(word: str) -> Iterator[tuple[str, int]]:
@@ -102,13 +104,16 @@ def _long_keys(word: str) -> Iterator[tuple[str, int]]:
         yield k, _SHORT
 
 
-def keys(words: DataFrame) -> DataFrame:
-    """(key, kind, id, n): the groups that words (id, word, n) stand in."""
+def keys(words: DataFrame, long_words: bool = True) -> DataFrame:
+    """(key, kind, id, n): the groups that words (id, word, n) stand in. `long_words`: whether some are over
+    SPELT code points; where none is, no Python runs."""
     w, places = F.col("word"), F.sequence(F.lit(1), F.char_length("word"))
     less = lambda i, middle: F.concat(F.substring(w, F.lit(1), i - 1), F.lit(middle), F.substring(w, i + 1, F.char_length(w)))
     of = lambda a, kind: F.transform(a, lambda k: F.struct(k.alias("key"), F.lit(kind).cast("tinyint").alias("kind")))
     each = F.concat(of(F.transform(places, lambda i: less(i, HOLE)), _HOLED), of(F.array(w), _WHOLE), of(F.array_distinct(F.transform(places, lambda i: less(i, ""))), _SHORT))
     spelt = words.where(F.char_length("word") <= SPELT).select("id", "n", F.explode(each).alias("e")).select("e.key", "e.kind", "id", "n")
+    if not long_words:
+        return spelt
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.string()), ("kind", pa.int8()), ("id", pa.int64()), ("n", pa.int64())])
@@ -127,13 +132,13 @@ def keys(words: DataFrame) -> DataFrame:
     return spelt.unionByName(long_)
 
 
-def near(words: DataFrame) -> DataFrame:
+def near(words: DataFrame, long_words: bool = True) -> DataFrame:
     """(id, n_near, best): of each word (id, word, n) with near words, how many and the best (n, o), o the
     negated id of the near word with the largest n, then the smallest id."""
     order = Window.partitionBy("key").orderBy(F.desc("n"), "id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     me = F.struct("n", (-F.col("id")).alias("o"))
-    held = keys(words).select(
+    held = keys(words, long_words).select(
         "id", "kind", F.count("*").over(whole).alias("size"), F.row_number().over(order).alias("place"), F.first(me).over(whole).alias("top"), F.lead(me).over(order).alias("next"),
         F.count_if(F.col("kind") == _SHORT).over(whole).alias("shorts"), F.max(F.when(F.col("kind") == _SHORT, me)).over(whole).alias("longer"), F.max(F.when(F.col("kind") == _WHOLE, me)).over(whole).alias("shorter"),
     ).where("size > 1")
@@ -159,8 +164,8 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(words: DataFrame, ratio: float = 2) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of a vocabulary (word, n): one row a word. `form` is null where
     no near word has `ratio` times the count; `root` is the last of the forms, the word itself without one."""
-    named = numbered(words)
-    best = near(named.select("id", "word", "n")).select(F.col("id").alias("__id"), "n_near", (-F.col("best.o")).alias("form"), F.col("best.n").alias("form_n"))
+    named, long_words = numbered(words)
+    best = near(named, long_words > 0).select(F.col("id").alias("__id"), "n_near", (-F.col("best.o")).alias("form"), F.col("best.n").alias("form_n"))
     enough = F.col("form_n") >= ratio * F.col("n")
     met = named.join(best, F.col("id") == F.col("__id"), "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, F.col("form")).alias("form"), F.when(enough, F.col("form_n")).alias("form_n"))
     met = written(met, "forms")
