@@ -723,4 +723,4 @@ def topology_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from factloom import registry_operators  # noqa: E402, F401  registers its queries
-from factloom import registry_conformance  # noqa: E402, F401
+from factloom import registry_conformance, registry_views  # noqa: E402, F401

@@ -10,7 +10,7 @@ group's state is bounded by twice `capacity` paths.
 
 `folded` is the stream, with one state row a group and an event-time timer; `folded_batch` gives the same
 for a finished table by windows, without a bound on the paths remembered. The gap, the clock and the bound
-on a burst are ours; the capacity and the folding are what the reference's watcher does in wall-clock time.
+on a burst are ours.
 """
 
 from __future__ import annotations
@@ -71,10 +71,6 @@ class Watch:
         return out + (self.flush() if len(self.open) >= capacity else [])
 
 
-def _microseconds(t: pd.Series) -> list[int]:
-    return (t.astype("datetime64[us]").astype("int64")).tolist()
-
-
 def folded(stream: DataFrame, quiet_ms: int = 80, late: str = "0 seconds", capacity: int = CAPACITY) -> DataFrame:
     """BURSTS of a stream of WATCHED, one row for each path of a burst; `remembered` and `waiting` are the sizes
     of the group's state when the row was made.
@@ -94,8 +90,8 @@ def folded(stream: DataFrame, quiet_ms: int = 80, late: str = "0 seconds", capac
         if state.hasTimedOut:
             put(watch.flush())
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-            for path, event, fingerprint, at in zip(rows["path"], rows["event"], rows["fingerprint"], _microseconds(rows["ts"])):
+            rows = pd.concat(list(batches)).sort_values(["us", "id"])
+            for path, event, fingerprint, at in zip(rows["path"], rows["event"], rows["fingerprint"], rows["us"].tolist()):
                 put(watch.hear(path, event, fingerprint, at, quiet, capacity))
         if watch.open:
             due = (watch.last + quiet) // 1000
@@ -107,12 +103,12 @@ def folded(stream: DataFrame, quiet_ms: int = 80, late: str = "0 seconds", capac
         if out:
             made = pd.DataFrame(out, columns=["start", "end", "path", "event", "remembered", "waiting"])
             made.insert(0, "group", key[0])
-            for c in ("start", "end"):
-                made[c] = pd.to_datetime(made[c], unit="us")
             yield made
 
-    timed = stream.withWatermark("ts", late)
-    return timed.groupBy("group").applyInPandasWithState(run, BURSTS, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    # times are microseconds since the epoch in Python, whatever the session's time zone
+    timed = stream.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    told = timed.groupBy("group").applyInPandasWithState(run, BURSTS.replace("timestamp", "long"), "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.withColumn("start", F.timestamp_micros("start")).withColumn("end", F.timestamp_micros("end"))
 
 
 def folded_batch(rows: DataFrame, quiet_ms: int = 80) -> DataFrame:
