@@ -17,7 +17,8 @@ come, and files are bounded in rows, so no task holds a shard.
 
 Null texts have the size 1 and the crc32 of no bytes. Rows with null or repeated ids, and rows that are
 all alike, keep one place each. A text of any length is one row; one that is larger than a shard's share
-makes its shard as much larger. An empty table gives an empty layout. All columns are kept; the layout's
+makes its shard larger by the rest, which the shards that were to take parts of its file then lack. Of parts
+that lack the same a row goes to the first. An empty table gives an empty layout. All columns are kept; the layout's
 own columns take names that are free.
 """
 
