@@ -145,7 +145,10 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, most, share)
     sources = written(sources.withColumn("pi", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("long")), "sources")
     told = sources.select(F.col("source").alias("__s"), "source_size", "target", F.floor("pi").alias("whole"), (F.col("pi") - F.floor("pi")).alias("prob"), "chunks")
-    full = rows.join(told, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.col("chunks")))
+    # rows that share id and size fall in one chunk, but for those of a crowd, which are dealt by their own places
+    crowd = written(rows.groupBy("id", "size").count().where(F.col("count") > chunk).select(F.col("id").alias("__i"), F.col("size").alias("__z")), "crowds")
+    many = rows.join(crowd, F.col("id").eqNullSafe(F.col("__i")) & (F.col("size") == F.col("__z")), "left").withColumn("__own", F.when(F.col("__z").isNotNull(), F.col("row"))).drop("__i", "__z")
+    full = many.join(told, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("chunk", F.pmod(F.xxhash64("id", "size", "__own"), F.col("chunks"))).drop("__own")
     levels = sources.agg(F.max("chunks")).first()[0] or 1
     done = None
     left = full
