@@ -29,7 +29,7 @@ import uuid
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bytebpe, tokenfiles
@@ -180,6 +180,10 @@ def counted(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_text(documents, text_col, [id_col, *also], pa.schema([(n, pa.int64()) for n in names]), ", ".join(f"{n} long" for n in names), of)
 
 
+#: Equal rows that one task numbers.
+BLOCK = 10_000
+
+
 def history(documents: DataFrame, labels: DataFrame) -> list[tuple[int, DataFrame]]:
     """Batches over whole tables: all documents' tokens by one tokenizer and by another, those with signs
     counted anew without them, and those labelled poor deleted.
@@ -191,10 +195,14 @@ def history(documents: DataFrame, labels: DataFrame) -> list[tuple[int, DataFram
     repeated = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__d")).count().where("count > 1").select("__d")
     alone = rows.where("doc_id IS NOT NULL").join(repeated, F.col("doc_id") == F.col("__d"), "left_anti").withColumn("key", F.col("doc_id").cast("long"))
     others = rows.join(repeated, F.col("doc_id") == F.col("__d"), "left_semi").unionByName(rows.where("doc_id IS NULL"))
-    number = F.row_number().over(Window.partitionBy(*rows.columns).orderBy(F.lit(0)))
+    # equal rows are counted and then numbered in blocks, so that a crowd of them is dealt over tasks
+    held = others.groupBy(*rows.columns).agg(F.count("*").alias("__k"))
+    blocks = held.withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__k"), F.lit(BLOCK).cast("long"))))
+    blocks = blocks.repartition(F.xxhash64(*rows.columns), "__from")
+    number = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + BLOCK - 1, F.col("__k")))).alias("__n")
     # null columns don't change a hash, so their places are hashed too
     nulls = F.array(*[F.col(c).isNull() for c in rows.columns])
-    numbered = others.withColumn("__n", number).withColumn("key", F.xxhash64(F.lit("row"), nulls, *rows.columns, "__n")).drop("__n")
+    numbered = blocks.select(*rows.columns, number).withColumn("key", F.xxhash64(F.lit("row"), nulls, *rows.columns, F.col("__n").cast("int"))).drop("__n")
     keyed = written(alone.unionByName(numbered), "keyed_counts")
     change = lambda df, op, tokenizer, n: df.select(F.col("key").alias("doc_id"), F.lit(tokenizer).alias("tokenizer"), F.lit(op).alias("op"), "source", "lang", n.alias("n_tokens"), F.lit(0).alias("seq"))
     poor = labels.where("quality = 0").select(F.col("doc_id").alias("__poor")).distinct()
