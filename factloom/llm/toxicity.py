@@ -46,7 +46,7 @@ _LOOKALIKES = dict(zip("абсԁеһіјкӏмпорѕтухгвνοαρτυιβ
 #: Digits and signs that stand for a letter.
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "+": "t"}
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
-_WORD = re.compile(r"[^\W_]{2,40}")
+_WORD = re.compile(r"[^\W_]{2,}")
 
 
 class _Fold(dict):
@@ -208,7 +208,10 @@ def learn(
     """A lexicon from labelled rows that are not held out.
 
     An entry's weight is the lower bound, at 1.64 standard errors, of the log ratio of its document
-    rates among toxic and clean rows; entries need `min_docs` toxic documents and `least_weight`.
+    rates among toxic and clean rows; entries need `min_docs` toxic documents and `least_weight`. What is
+    learnt from, and so all that a driver holds, is bounded by two parameters of the fit: at most `max_train`
+    labelled rows, and of the words and beginnings that qualify the `max_entries` of the greatest weight. Scores
+    are given to all rows.
     """
     spark = docs.sparkSession
     chosen = (
