@@ -368,6 +368,48 @@ def test_one_bad_vote_is_outvoted(spark):
     assert all(kept[i] for i, *_ in fine + odd) and not any(kept[i] for i, *_ in junk)
 
 
+def em_by_hand(patterns):
+    """Expectation-maximisation written out: patterns is votes -> documents; the posterior of each."""
+    believed = {True: (0.45, 0.10, 0.45), False: (0.40, 0.35, 0.25)}
+    good = {}
+    for votes in patterns:
+        bad, fine = votes.count(1), votes.count(2)
+        good[votes] = 0.95 if not bad else (fine + 1) / (bad + fine + 2)
+    for _ in range(500):
+        rate = {}
+        for side in (True, False):
+            for k in range(8):
+                t = [10 * believed[side][v] + sum(n * (good[p] if side else 1 - good[p]) for p, n in patterns.items() if p[k] == v) for v in range(3)]
+                rate[side, k] = [x / sum(t) for x in t]
+        share = (sum(n * good[p] for p, n in patterns.items()) + 9) / (sum(patterns.values()) + 10)
+        new = {}
+        for p in patterns:
+            a, b = math.log(share), math.log(1 - share)
+            for k, v in enumerate(p):
+                a, b = a + math.log(rate[True, k][v]), b + math.log(rate[False, k][v])
+            new[p] = 1 / (1 + math.exp(min(500, max(-500, b - a))))
+        moved = max((abs(new[p] - good[p]) for p in patterns), default=0)
+        good = new
+        if moved < 1e-9:
+            break
+    return good
+
+
+def test_posteriors_by_hand(answer, spark, sf):
+    """The query's posterior and verdict from votes counted one document at a time."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    made = spark.createDataFrame([(i, *quality.features(t)) for i, t in texts.items()], ["doc_id", *quality.FEATURES])
+    votes = {r[0]: tuple(r)[1:] for r in made.select("doc_id", *quality.rules(F.col).values()).collect()}
+    got = {r.doc_id: r for r in answer("op4_quality_rules").itertuples()}
+    want = em_by_hand(Counter(votes[i] for i in texts if not got[i].base_failed))
+    for i, r in got.items():
+        if not r.base_failed:
+            assert r.posterior == pytest.approx(want[votes[i]], abs=1e-6) and r.kept == (want[votes[i]] >= 0.5)
+        else:
+            assert not r.kept
+    assert any(r.kept for r in got.values()) and any(not r.kept and not r.base_failed for r in got.values())
+
+
 def test_em_of_nothing_and_of_abstentions():
     assert quality.fit({}, 8).share == pytest.approx(0.9)
     assert 0 < quality.fit({0: 5}, 8).posterior(np.zeros((1, 8), int))[0] < 1
@@ -685,6 +727,46 @@ def counts_by_library(rows, poor):
     return want
 
 
+def test_a_crowd_of_equal_rows_counts_and_mixes_whole(spark, monkeypatch):
+    monkeypatch.setattr(tokencounts, "BLOCK", 7)
+    rows = [(None, "same words here", "hot")] * 40 + [(3, "same words here", "hot")] * 25 + [(k, "other words", "cold") for k in range(10, 30)]
+    d = docs(spark, rows)
+    got = {(r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in tokencounts.maintained(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert {k[0]: v[0] for k, v in got.items()} == {"hot": 65, "cold": 20} and all(v[1] % v[0] == 0 for v in got.values())
+    # chunks of 8: the crowd of one id and size is dealt over them
+    plan = mixing.plan(d, chunk=8).collect()
+    assert len(plan) == 85 and Counter(r.source for r in plan) == {"hot": 65, "cold": 20}
+    taken = Counter()
+    for r in plan:
+        taken[r.source] += r.size * r.copies
+    assert all(abs(taken[r.source] - r.target) <= 3 for r in plan)
+
+
+def test_scores_by_hand(spark, sf):
+    """The query's scores from hits looked for one by one, and the curve."""
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lex = toxicity.learn(d, labels)
+    entries = [(toxicity.shape(w), x, True) for w, x in lex.words.items()] + [(toxicity.shape(w), x, False) for w, x in lex.starts.items()]
+    away = [toxicity.shape(x) for x in lex.exceptions]
+    c0, c1, c2, c3 = lex.curve
+    got = {r.doc_id: r for r in queries.QUERIES["op1_toxicity"](spark, sf).collect()}
+    for r in d.collect():
+        text = toxicity.visible(r.text or "")
+        shape, ends = toxicity.shape(text), lambda i: i == len(text) or not text[i].isalnum()
+        weights = []
+        for m in re.finditer(r"(?<![^\W_])[^\W_]|(?<![^\W_])[\W_](?=)", text):
+            i = m.start()
+            fits = [(x, i + len(e)) for e, x, whole in entries if shape.startswith(e, i) and (not whole or ends(i + len(e)))]
+            if fits:
+                x, end = max(fits, key=lambda f: f[0])
+                spared = any(shape.startswith(e, k) and ends(k + len(e)) and k <= i and end <= k + len(e) and (k == 0 or not text[k - 1].isalnum()) for e in away for k in range(max(0, i - len(e)), i + 1))
+                weights += [] if spared else [x]
+        total = sum(weights)
+        z = c0 + (c1 * max(weights) + c2 * math.log1p(total) + c3 * math.log1p(100 * total / max(50, len(text.split()))) if weights else 0)
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), r.doc_id
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_token_counts_of_null_and_repeated_ids(spark):
     rows = [(1, "a b c", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "x #y", "t"), (2, "x #", "t"), (None, "n u l l", "s"), (None, "n u l l", "s"), (3, "k", None), (4, "p q", "t"), (4, "p #", "t"), (7, None, "s"), (8, "", "s"), (9, "wörd <b> " * 5000, "t")]
     for poor in ({4}, set()):
