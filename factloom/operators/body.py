@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.sources.tables import Rounds
@@ -117,6 +117,79 @@ def propagate(occurrences: DataFrame, sources: DataFrame, max_depth: int = MAX_D
     return now.where("own").select("id", F.when(lost.isNotNull(), "unknown").when(n == 1, "known").otherwise("ambiguous").alias("kind"), shown.alias("values"), reason.alias("reason"))
 
 
+def call_results(calls: DataFrame, returns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What calls (id, target, dynamic) are evaluated through: results of their own (id, value, construct, reason),
+    and sources (id, from, via "call"), the returned expressions (function, expression, recursive) of their target.
+
+    A dynamic call or one without a target is unknown, one whose target has no body is unsupported; so are
+    recursive targets and those that return nothing, unknown. A function that returns nothing has a row with
+    a null expression.
+    """
+    bodies = returns.groupBy(F.col("function").alias("__f")).agg(F.max(F.coalesce("recursive", F.lit(False))).alias("__recursive"), F.count("expression").alias("__n"))
+    met = calls.join(bodies, F.col("target") == F.col("__f"), "left")
+    lost = F.coalesce("dynamic", F.lit(False)) | F.col("target").isNull()
+    reason = F.when(lost, "VALUE_DYNAMIC_CALL").when(F.col("__recursive"), "VALUE_RECURSION").when(F.col("__n") == 0, "VALUE_RETURN_MISSING")
+    construct = F.when(~lost & F.col("__f").isNull(), "external-or-bodyless-call")
+    own = met.select("id", F.lit(None).cast("string").alias("value"), construct.alias("construct"), reason.alias("reason"))
+    open_ = own.where("construct IS NULL AND reason IS NULL").select("id")
+    through = calls.join(open_, "id", "left_semi").join(returns.where("expression IS NOT NULL").select(F.col("function").alias("__f"), F.col("expression").alias("from")), F.col("target") == F.col("__f"))
+    return own.where("construct IS NOT NULL OR reason IS NOT NULL"), through.select("id", "from", F.lit("call").alias("via")).distinct()
+
+
+def evaluate(occurrences: DataFrame, sources: DataFrame, max_depth: int = MAX_DEPTH, max_alternatives: int = MAX_ALTERNATIVES, steps: int = 4) -> DataFrame:
+    """(id, kind, values, reasons, construct): each occurrence's value, known, ambiguous, unknown or unsupported.
+
+    occurrences: (id, value, construct, reason): a value, a construct that isn't supported, or a reason why
+    nothing is known, of the occurrence itself; all null where it takes its value from others. sources: (id,
+    from, ...): the occurrences that it may take it from, branches of a conditional and returns of a call among
+    them. An unsupported source makes it unsupported, with the least construct; else an unknown one unknown,
+    with the reasons of all; else it has all their values, at most `max_alternatives`, and where these are
+    several the reasons that its sources were ambiguous for and its own. A way of more than `max_depth` steps,
+    and so one that closes a cycle, ends unknown. Parameters take the arguments of all calls, not of one.
+
+    What holds for an occurrence with d steps follows from what holds for its sources with d - 1, so a round
+    has one row an occurrence, and rounds end when nothing waits for more steps.
+    """
+    rounds = Rounds(occurrences.sparkSession, "evaluated")
+    none = F.array().cast("array<string>")
+    direct = F.col("value").isNotNull() | F.col("construct").isNotNull() | F.col("reason").isNotNull()
+    base = rounds.put(occurrences.select("id", F.col("value").cast("string").alias("value"), "construct", "reason").withColumn("direct", direct))
+    hop = sources.join(base.where("NOT direct").select("id"), "id", "left_semi").select(F.col("id").alias("__id"), F.col("from").alias("__from")).distinct()
+    strange = hop.join(base.select("id"), F.col("__from") == F.col("id"), "left_anti").select(F.col("__from").alias("id")).distinct()
+    hop = rounds.put(hop)
+    open_ = hop.select(F.col("__id").alias("id")).distinct()
+
+    def row(df: DataFrame, values: Column, unknown: Column, construct: Column, own: bool = True) -> DataFrame:
+        return df.select("id", values.alias("values"), unknown.alias("unknown"), none.alias("limits"), construct.alias("construct"), F.lit(own).alias("own"))
+
+    nothing = F.lit(None).cast("string")
+    told = row(base.where("direct"), F.when(F.col("value").isNotNull() & F.col("construct").isNull() & F.col("reason").isNull(), F.array("value")).otherwise(none), F.when(F.col("reason").isNotNull() & F.col("construct").isNull(), F.array("reason")).otherwise(none), F.col("construct"))
+    stuck = row(base.where("NOT direct").join(open_, "id", "left_anti"), none, F.array(F.lit("VALUE_NO_SEMANTIC_PATH")), nothing)
+    missing = row(strange, none, F.array(F.lit("VALUE_OCCURRENCE_MISSING")), nothing, False)
+    fixed = rounds.put(told.unionByName(stuck).unionByName(missing))
+    deep = F.array(F.lit("VALUE_DEPTH_LIMIT"))
+    now = fixed.unionByName(row(open_, none, deep, nothing))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    for at in range(0, max_depth, steps):
+        level = now
+        for _ in range(min(steps, max_depth - at)):
+            met = hop.join(level, F.col("__from") == F.col("id")).groupBy(F.col("__id").alias("id")).agg(
+                F.min("construct").alias("construct"), union("unknown").alias("unknown"), union(F.when(F.size("unknown") == 0, F.col("values")).otherwise(none)).alias("all"), union("limits").alias("limits"),
+            )
+            n, sound = F.size("all"), F.col("construct").isNull() & (F.size("unknown") == 0)
+            limit = F.when(n > max_alternatives, F.array(F.lit("VALUE_ALTERNATIVE_LIMIT"))).when(n > 1, F.array(F.lit("VALUE_ALTERNATIVES"))).otherwise(none)
+            met = met.select(
+                "id", F.when(sound, F.slice("all", 1, max_alternatives)).otherwise(none).alias("values"), F.when(F.col("construct").isNull(), F.col("unknown")).otherwise(none).alias("unknown"),
+                F.when(sound & (n > 1), F.array_union("limits", limit)).otherwise(none).alias("limits"), "construct", F.lit(True).alias("own"),
+            )
+            level = fixed.unionByName(met)
+        now, waiting = rounds.counted(level, F.array_contains("unknown", "VALUE_DEPTH_LIMIT"))
+        if not waiting:
+            break
+    kind = F.when(F.col("construct").isNotNull(), "unsupported").when(F.size("unknown") > 0, "unknown").when(F.size("values") == 1, "known").otherwise("ambiguous")
+    return now.where("own").select("id", kind.alias("kind"), "values", F.array_sort(F.when(F.size("unknown") > 0, F.col("unknown")).otherwise(F.col("limits"))).alias("reasons"), "construct")
+
+
 def topology_errors(occurrences: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(code, id): occurrences (id) in no block or several of blocks (block, occurrence), members and
     edge ends (src, dst) that don't exist."""

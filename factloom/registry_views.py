@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import normalized, parse_query
-from factloom.operators import deltas, merkle, postings
+from factloom.operators import body, deltas, merkle, postings
 from factloom.registry import _t, query
-from factloom.sources import families
+from factloom.sources import families, transactions
 from factloom.sources.tables import Rounds
 from factloom.streaming import changes, watch
 
@@ -138,3 +138,69 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), name.alias("name"), F.lower("o_orderstatus").alias("title"), F.concat(name, F.lit(" "), F.col("o_orderkey").cast("string")).alias("path"), none.alias("alias"), none.alias("family"), none.alias("status"))
     schema = postings.built(index, f"{rounds.root}/index")
     return postings.top(spark, index, f"{rounds.root}/index", schema, parse_query("urg"))[0].select("source", "name", "tier", "score")
+
+
+def _step(n: int) -> str:
+    """SQL of the occurrences of level n from those below it."""
+    return f"""l{n} AS (
+  SELECT e.i AS i, min(construct) AS construct, list_sort(list_distinct(flatten(list(unknown)))) AS unknown, list_sort(list_distinct(flatten(list(vals)))) AS every, list_sort(list_distinct(flatten(list(limits)))) AS inherited
+  FROM (SELECT p_partkey AS i, unnest([p_partkey - 1, p_partkey - 5, p_partkey - 9]) AS s FROM part WHERE p_partkey % 4 = {n}) e JOIN s{n - 1} ON s{n - 1}.i = e.s GROUP BY e.i),
+s{n} AS (
+  SELECT i, construct, CASE WHEN construct IS NULL THEN unknown ELSE [] END AS unknown, CASE WHEN construct IS NULL AND len(unknown) = 0 THEN every[1:2] ELSE [] END AS vals,
+    CASE WHEN construct IS NULL AND len(unknown) = 0 AND len(every) > 1 THEN list_distinct(list_append(inherited, CASE WHEN len(every) > 2 THEN 'VALUE_ALTERNATIVE_LIMIT' ELSE 'VALUE_ALTERNATIVES' END)) ELSE [] END AS limits FROM l{n}
+  UNION ALL SELECT p_partkey, NULL, ['VALUE_NO_SEMANTIC_PATH'], [], [] FROM part WHERE p_partkey % 4 = {n} AND p_partkey NOT IN (SELECT i FROM l{n}))"""
+
+
+@query(f"""
+WITH s0 AS (
+  SELECT p_partkey AS i, CASE WHEN p_partkey // 4 % 11 = 1 THEN 'template' END AS construct, CASE WHEN p_partkey // 4 % 11 = 2 THEN ['VALUE_DYNAMIC_CALL'] WHEN p_partkey // 4 % 11 = 3 THEN ['VALUE_RECURSION'] ELSE [] END AS unknown,
+    CASE WHEN p_partkey // 4 % 11 IN (1, 2, 3) THEN [] ELSE [CASE WHEN p_size < 25 THEN 'small' ELSE p_brand END] END AS vals, []::VARCHAR[] AS limits FROM part WHERE p_partkey % 4 = 0),
+{", ".join(_step(n) for n in (1, 2, 3))},
+a AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)
+SELECT i AS id, CASE WHEN construct IS NOT NULL THEN 'unsupported' WHEN len(unknown) > 0 THEN 'unknown' WHEN len(vals) = 1 THEN 'known' ELSE 'ambiguous' END AS kind, array_to_string(vals, ',') AS "values",
+  array_to_string(list_sort(CASE WHEN len(unknown) > 0 THEN unknown ELSE limits END), ',') AS reasons, construct FROM a
+""")
+def value_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as occurrences in four levels, each of three sources below: all four states, with what they inherit."""
+    p, k = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    way, low = F.expr("p_partkey div 4 % 11"), k % 4 == 0
+    said = F.when(F.col("p_size") < 25, "small").otherwise(F.col("p_brand"))
+    own = p.select(k.alias("id"), F.when(low & ~way.isin(1, 2, 3), said).alias("value"), F.when(low & (way == 1), "template").alias("construct"), F.when(low & (way == 2), "VALUE_DYNAMIC_CALL").when(low & (way == 3), "VALUE_RECURSION").alias("reason"))
+    hop = p.where(k % 4 != 0).select(k.alias("id"), F.explode(F.array(k - 1, k - 5, k - 9)).alias("from"))
+    hop = hop.join(p.select(k.alias("from")), "from", "left_semi")
+    found = body.evaluate(own, hop, max_alternatives=2)
+    return found.select("id", "kind", F.array_join("values", ",").alias("values"), F.array_join("reasons", ",").alias("reasons"), "construct")
+
+
+@query("""
+WITH d AS (SELECT doc_id AS id, '{"id":' || doc_id || ',"text":"' || replace(replace(replace(text, chr(92), ''), '"', ''), chr(10), ' ') || '"}' AS body, doc_id % 17 AS f FROM documents WHERE NOT regexp_matches(text, '[\x00-\x09\x0B-\x1F]'))
+SELECT id, CASE f WHEN 1 THEN 'CHUNK_ORDER' WHEN 2 THEN 'DIGEST_INVALID' WHEN 3 THEN 'CHUNKS_MISSING' WHEN 4 THEN 'TRANSACTION_UNFINISHED' WHEN 5 THEN 'CHUNK_BEFORE_START' WHEN 6 THEN 'BODY_INVALID' WHEN 7 THEN 'END_MISMATCH' WHEN 8 THEN 'CHUNK_EMPTY'
+    WHEN 9 THEN 'CHUNK_ENCODING' WHEN 10 THEN 'FRAME_UNEXPECTED' WHEN 11 THEN 'TRANSACTION_INTERRUPTED' WHEN 12 THEN 'TRANSACTION_ACTIVE' END AS code, CASE WHEN f IN (0, 13, 14, 15, 16) THEN md5(body) END AS body FROM d
+""")
+def framed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as transactions of three chunks, cut between bytes, most of them spoilt in one of twelve ways."""
+    d, i, f = _t(spark, sf_dir, "documents").where(~F.col("text").rlike("[\\x00-\\x09\\x0B-\\x1F]")), F.col("doc_id"), F.col("doc_id") % 17
+    plain = F.translate(F.translate(F.col("text"), "\\\"", ""), "\n", " ")
+    json = F.concat(F.lit('{"id":'), i.cast("string"), F.lit(',"text":"'), plain, F.lit('"}'))
+    rows = d.select(i.alias("id"), f.alias("f"), F.when(f == 6, F.concat(F.lit("x"), json)).otherwise(json).cast("binary").alias("b"))
+    n = F.octet_length("b")
+    third = F.floor(n / 3).cast("int")
+    cut = [F.substring("b", F.lit(1), third), F.substring("b", third + 1, third), F.substring("b", 2 * third + 1, n)]
+    null = lambda kind: F.lit(None).cast(kind)
+    digest = F.when(F.col("f") == 2, F.sha2(F.lit("another"), 256)).otherwise(F.sha2("b", 256))
+
+    def frame(at: int, kind: str, when=None, sequence: int | None = None, data=None, bytes_=None):
+        head = kind in ("start", "end")
+        said = [F.lit("delta") if head else null("string"), (bytes_ if bytes_ is not None else n).cast("long") if head else null("long"), F.lit(3).cast("long") if head else null("long"), digest if head else null("string")]
+        coded = null("string") if data is None else F.regexp_replace(F.base64(data), "[\r\n]", "")
+        coded = F.when((F.col("f") == 9) & (F.lit(sequence) == 1), F.concat(coded, F.lit("*"))).otherwise(coded) if data is not None else coded
+        made = F.struct(F.lit(at).cast("long").alias("at"), F.lit(kind).alias("kind"), *[c.alias(a) for c, a in zip(said, ("payload", "bytes", "chunks", "sha256"))], F.lit(sequence).cast("long").alias("sequence"), coded.alias("data"), F.lit(100).cast("long").alias("size"))
+        return made if when is None else F.when(when, made)
+
+    f = F.col("f")
+    frames = [
+        frame(0, "chunk", f == 5, 0, cut[0]), frame(1, "start"), frame(2, "chunk", f != 1, 0, cut[0]), frame(2, "chunk", f == 1, 1, cut[0]), frame(3, "start", f == 12), frame(4, "answer", f == 11), frame(5, "chunk", f != 8, 1, cut[1]), frame(5, "chunk", f == 8, 1, F.lit(b"")),
+        frame(6, "chunk", f != 3, 2, cut[2]), frame(7, "end", (f != 4) & (f != 7)), frame(7, "end", f == 7, bytes_=n + 1), frame(8, "chunk", f == 10, 3, cut[0]),
+    ]
+    told = rows.select("id", F.explode(F.array_compact(F.array(*frames))).alias("x")).select("id", "x.*")
+    return transactions.assembled(told).select("id", "code", F.md5(F.col("body").cast("binary")).alias("body"))
