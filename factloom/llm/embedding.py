@@ -4,7 +4,8 @@ Unit vectors a, b with cosine >= t have |a - b|^2 <= 2 - 2t. After a seeded rand
 coordinates are split into blocks; if every block's squared distance were above its share of that
 budget, proportional to the block's width, the whole would be too, so a linked pair is within the
 share in at least one block. Each block is range-joined on a grid over its first coordinates: a
-vector is at home in one cell and visits the neighbouring cells that its radius reaches. Inside a cell
+vector is at home in one cell and visits the neighbouring cells that its radius reaches. A crowded cell is
+divided again by a finer grid over the block's other coordinates, in the same way. Inside a cell
 a sort on one more coordinate narrows the range, and the block's own distance decides who is a
 candidate. Only the block's coordinates travel to the cells. The union of all blocks' candidates is
 verified by the cosine in double precision, from the original components.
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Forest, chunked, components, remove, stored, written
+from factloom.sources.tables import Rounds
 
 #: Room for rounding in rotated coordinates in double precision, relative to a share.
 _SLACK = 1e-9
@@ -112,6 +114,37 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: float, width: int, grid
                 )
 
 
+def _divided(batches: Iterator[pa.RecordBatch], threshold: float, width: int, grid: int, finer: float) -> Iterator[pa.RecordBatch]:
+    """Rows of crowded cells, divided again by a grid over the block's other coordinates: as they come, with
+    sub, the finer cell, and part, 0 where they are at home in it and 1 on a visit."""
+    for b in batches:
+        dims, blocks, xy = b.column("dim").to_numpy(False), b.column("block").to_numpy(False), b.column("xy")
+        offsets, flat = xy.offsets.to_numpy(), xy.flatten().to_numpy(False)
+        for dim, block in {(int(d), int(k)) for d, k in zip(dims, blocks)}:
+            own = np.flatnonzero((dims == dim) & (blocks == block))
+            lo, hi = _spans(dim, width)[block]
+            g = min(grid, hi - lo)
+            radius = _radius(lo, hi, dim, threshold)
+            side, rest = radius * finer, hi - lo - g
+            x = np.stack([flat[offsets[i] - offsets[0] : offsets[i] - offsets[0] + hi - lo] for i in own])[:, g:].astype(np.float64)
+            home = np.floor(x / side).astype(np.int64)
+            # squared distances to the cell's two walls on each coordinate
+            walls = [(x - home * side) ** 2, ((home + 1) * side - x) ** 2]
+            rows, cells, parts = [np.arange(len(own))], [home], [np.zeros(len(own), np.int8)]
+            for step in np.ndindex(*[3] * rest):
+                s = np.array(step, int) - 1
+                if next((v for v in s if v), 0) >= 0:
+                    continue  # as above, one side visits the other
+                gap = sum(walls[int(v > 0)][:, d] for d, v in enumerate(s) if v)
+                i = np.flatnonzero(gap <= radius * radius)
+                rows.append(i), cells.append(home[i] + s), parts.append(np.ones(len(i), np.int8))
+            r, c = own[np.concatenate(rows)], np.concatenate(cells)
+            key = np.zeros(len(c), np.int64)
+            for d in range(rest):
+                key = key * 4099 + c[:, d]
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(r)).columns, pa.array(key), pa.array(np.concatenate(parts))], names=[*b.schema.names, "sub", "part"])
+
+
 def _candidates(t: pa.Table, threshold: float, width: int, grid: int, few: int, slab: int = 256) -> pa.RecordBatch:
     """The candidates of one cell (or of a pair of its chunks): pairs (a, b) in which one side has at most
     `few`; rows (a, null) for those that have more, whose pairs among themselves are left to the cell.
@@ -124,7 +157,7 @@ def _candidates(t: pa.Table, threshold: float, width: int, grid: int, few: int,
     xy = t.column("xy").combine_chunks().flatten().to_numpy(False).reshape(len(rep), -1).astype(np.float64)
     line = xy[:, min(grid, hi - lo - 1)]
     order = np.argsort(line, kind="stable")
-    xy, rep, line, home = xy[order], rep[order], line[order], t.column("role").to_numpy()[order] == 0
+    xy, rep, line, home, inner = xy[order], rep[order], line[order], t.column("role").to_numpy()[order] == 0, t.column("part").to_numpy()[order] == 0
     split = "__p" in t.column_names and t.column("__p")[0] != t.column("__q")[0]
     c = t.column("__c").to_numpy()[order] if split else None
     radius, norms = _radius(lo, hi, dim, threshold), (xy * xy).sum(axis=1)
@@ -136,10 +169,10 @@ def _candidates(t: pa.Table, threshold: float, width: int, grid: int, few: int,
         d2 = norms[at:to, None] + norms[None, at:end] - 2 * (xy[at:to] @ xy[at:end].T)
         i, j = np.nonzero(d2 <= radius * radius + 1e-14)
         i, j = i + at, j + at
-        ok = (i < j) & (home[i] | home[j])
+        ok = (i < j) & (home[i] | home[j]) & (inner[i] | inner[j])
         if split:
             ok &= c[i] != c[j]
-        found.append((i[ok], j[ok]))
+        found.append((i[ok].astype(np.int32), j[ok].astype(np.int32)))
     i, j = (np.concatenate(x) for x in zip(*found))
     many = np.bincount(i, minlength=len(xy)) + np.bincount(j, minlength=len(xy)) > few
     sent = ~(many[i] & many[j])
@@ -147,13 +180,13 @@ def _candidates(t: pa.Table, threshold: float, width: int, grid: int, few: int,
     crowd = rep[many]
     a = np.concatenate([np.minimum(rep[i], rep[j]), crowd])
     b = pa.array(np.concatenate([np.maximum(rep[i], rep[j]), crowd]), mask=np.arange(len(a)) >= len(i))
-    keys = {n: t.column(n)[0].as_py() for n in ("label", "dim", "block", "cell")} | {n: t.column(n)[0].as_py() if n in t.column_names else 0 for n in ("__p", "__q")}
-    fixed = [pa.array(np.full(len(a), keys[n]), k) for n, k in (("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("__p", pa.int32()), ("__q", pa.int32()))]
-    roles, chunks = t.column("role").to_numpy()[order][many], (t.column("__c").to_numpy()[order] if "__c" in t.column_names else np.zeros(len(xy), np.int32))[many]
+    keys = {n: t.column(n)[0].as_py() for n in ("label", "dim", "block", "cell", "sub")} | {n: t.column(n)[0].as_py() if n in t.column_names else 0 for n in ("__p", "__q")}
+    fixed = [pa.array(np.full(len(a), keys[n]), k) for n, k in (("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("sub", pa.int64()), ("__p", pa.int32()), ("__q", pa.int32()))]
+    roles, parts, chunks = t.column("role").to_numpy()[order][many], t.column("part").to_numpy()[order][many], (t.column("__c").to_numpy()[order] if "__c" in t.column_names else np.zeros(len(xy), np.int32))[many]
     none = np.zeros(len(i), np.int64)
     return pa.RecordBatch.from_arrays(
-        [*fixed, pa.array(np.concatenate([none, roles]), pa.int8()), pa.array(np.concatenate([none, chunks]), pa.int32()), pa.array(a), b],
-        names=["label", "dim", "block", "cell", "__p", "__q", "role", "__c", "a", "b"],
+        [*fixed, pa.array(np.concatenate([none, roles]), pa.int8()), pa.array(np.concatenate([none, parts]), pa.int8()), pa.array(np.concatenate([none, chunks]), pa.int32()), pa.array(a), b],
+        names=["label", "dim", "block", "cell", "sub", "__p", "__q", "role", "part", "__c", "a", "b"],
     )
 
 
@@ -211,6 +244,7 @@ def _linked(t: pa.Table, threshold: float, width: int, seed: int, slab: int = 25
     """What the crowded rows of one cell (or of a pair of its chunks) find among themselves: counts (a, n)
     and forest edges (a, b)."""
     block, rep, w, home = int(t.column("block")[0].as_py()), t.column("rep").to_numpy(), t.column("w").to_numpy(), t.column("role").to_numpy() == 0
+    inner = t.column("part").to_numpy() == 0
     raw = t.column("vec").combine_chunks().flatten().to_numpy(False).reshape(len(rep), -1).astype(np.float64)
     xy, scaled = _coordinates(raw, seed), raw / np.abs(raw).max(axis=1, keepdims=True)
     norms = np.sqrt((scaled * scaled).sum(axis=1))
@@ -221,7 +255,7 @@ def _linked(t: pa.Table, threshold: float, width: int, seed: int, slab: int = 25
         to = min(len(raw), at + slab)
         i, j = np.nonzero(scaled[at:to] @ scaled[at:].T / (norms[at:to, None] * norms[None, at:]) >= threshold - 1e-12)
         i, j = i + at, j + at
-        ok = (i < j) & (home[i] | home[j])
+        ok = (i < j) & (home[i] | home[j]) & (inner[i] | inner[j])
         if split:
             ok &= c[i] != c[j]
         i, j = i[ok], j[ok]
@@ -284,13 +318,14 @@ def _label_key(df: DataFrame, name: str) -> Column:
 
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    threshold: float = 0.98, width: int = 8, grid: int = 3, stretch: float = 3.0, few: int = 32, chunk_rows: int = 512, seed: int = 7,
+    threshold: float = 0.98, width: int = 8, grid: int = 3, stretch: float = 3.0, finer: float = 3.0, few: int = 32, chunk_rows: int = 512, dealt_rows: int = 2_048, seed: int = 7,
 ) -> DataFrame:
     """Rows (id_col, n_links long, component_id long, kept boolean) for every row of `df`.
 
     `width`: coordinates of a block; `grid`: how many of them the cells divide; `stretch`: a cell's
-    side in radii; `few`: candidates of a vector in one cell up to which they travel as pairs;
-    `chunk_rows`: rows of a cell above which it is dealt in chunks.
+    side in radii, `finer` that of a cell which a crowded one is divided into; `few`: candidates of a vector in one cell up to which they travel as pairs;
+    `chunk_rows`: rows of a cell above which it is divided; `dealt_rows`: rows of a cell that can't be divided
+    again above which it is dealt in chunks.
     """
     kind = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col(vec_col).cast(kind)
@@ -309,6 +344,9 @@ def near_duplicates(
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cells(batches, threshold, width, grid, stretch, seed)
 
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _divided(batches, threshold, width, grid, finer)
+
     def candidates(t: pa.Table) -> pa.RecordBatch:
         return _candidates(t, threshold, width, grid, few)
 
@@ -320,16 +358,25 @@ def near_duplicates(
 
     spark = df.sparkSession
     placed, placed_at = stored(classes.select("label", "rep", "vec").mapInArrow(cells, "label long, dim int, block int, cell long, role byte, rep long, xy array<float>"), "vector_cells")
-    keys = ["label", "dim", "block", "cell"]
-    cold, hot = chunked(placed, keys, F.abs(F.xxhash64("rep")), chunk_rows)
-    found = "label long, dim int, block int, cell long, __p int, __q int, role byte, __c int, a long, b long"
+    cell = ["label", "dim", "block", "cell"]
+    crowds = placed.groupBy(*cell).count().where(F.col("count") > chunk_rows).select(*[F.col(k).alias(f"__{k}") for k in cell])
+    crowds, n_crowds = Rounds(spark, "crowded_cells").counted(crowds)
+    keys, whole = [*cell, "sub"], placed.withColumns({"sub": F.lit(0).cast("long"), "part": F.lit(0).cast("byte")})
+    if n_crowds:
+        on = [F.col(k) == F.col(f"__{k}") for k in cell]
+        finely = placed.join(crowds, on, "left_semi").mapInArrow(divided, "label long, dim int, block int, cell long, role byte, rep long, xy array<float>, sub long, part byte")
+        whole, fine_at = stored(whole.join(crowds, on, "left_anti").unionByName(finely), "vector_fine_cells")
+        remove(spark, placed_at)
+        placed_at = fine_at
+    cold, hot = chunked(whole, keys, F.abs(F.xxhash64("rep")), dealt_rows)
+    found = "label long, dim int, block int, cell long, sub long, __p int, __q int, role byte, part byte, __c int, a long, b long"
     near, near_at = stored(_by_groups(cold, keys, candidates, found).unionByName(_by_groups(hot, [*keys, "__p", "__q"], candidates, found)), "vector_candidates")
     remove(spark, placed_at)
     one = classes.select(F.col("rep").alias("__a"), F.col("w").alias("w_a"), F.col("vec").alias("vec_a"))
     two = classes.select(F.col("rep").alias("__b"), F.col("w").alias("w_b"), F.col("vec").alias("vec_b"))
     pairs = near.where("b IS NOT NULL").groupBy("a", "b").agg(F.collect_set("block").alias("blocks"))
     pairs = pairs.join(one, F.col("a") == F.col("__a")).join(two, F.col("b") == F.col("__b")).select("a", "b", "blocks", "w_a", "w_b", "vec_a", "vec_b")
-    crowd = near.where("b IS NULL").join(one, F.col("a") == F.col("__a")).select(*keys, "__p", "__q", "role", "__c", F.col("a").alias("rep"), F.col("w_a").alias("w"), F.col("vec_a").alias("vec"))
+    crowd = near.where("b IS NULL").join(one, F.col("a") == F.col("__a")).select(*keys, "__p", "__q", "role", "part", "__c", F.col("a").alias("rep"), F.col("w_a").alias("w"), F.col("vec_a").alias("vec"))
     links = "a long, n long, b long, edge boolean"
     # whole cells have chunk pair (0, 0), which no cell dealt in chunks shares with them, as its keys are others
     crowded = _by_groups(crowd, [*keys, "__p", "__q"], linked, links)

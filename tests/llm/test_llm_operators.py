@@ -227,7 +227,7 @@ def test_embedding_links_are_all_found(spark, chunk, few):
     rows += [(k, rows[0][1], 0), (k + 1, rows[0][1], 0), (k + 2, None, 0), (k + 3, [0.0] * 64, 0), (k + 4, [float("nan")] * 64, 0), (k + 5, [None] + [1.0] * 63, 1), (k + 6, [float("inf")] * 64, 1), (k + 7, [], 0), (None, rows[1][1], 0)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, kept string, n_links int")
     n, find = links_of(rows)
-    got = embedding.near_duplicates(df, chunk_rows=chunk, few=few).collect()
+    got = embedding.near_duplicates(df, chunk_rows=chunk, dealt_rows=chunk, few=few).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.vec_id is None:
@@ -237,6 +237,27 @@ def test_embedding_links_are_all_found(spark, chunk, few):
     assert sum(n.values()) > 200
 
 
+def test_divided_cells_find_every_close_pair_once():
+    """Any two rows of a cell that are within the radius meet in one finer cell, one of them at home."""
+    import pyarrow as pa
+
+    rng, width, threshold = np.random.default_rng(4), 8, 0.98
+    radius = embedding._radius(0, 8, 64, threshold)
+    xy = (rng.standard_normal((400, 8)) * radius * 0.5).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 400), pa.array([64] * 400, pa.int32()), pa.array([0] * 400, pa.int32()), pa.array([5] * 400), pa.array([0] * 400, pa.int8()), pa.array(range(400)), pa.array(xy.tolist(), pa.list_(pa.float32()))], names=["label", "dim", "block", "cell", "role", "rep", "xy"])
+    out = [r for b in embedding._divided(iter([batch.slice(0, 100), batch.slice(100)]), threshold, width, 3, 2.0) for r in b.to_pylist()]
+    cells, met = {}, Counter()
+    for r in out:
+        cells.setdefault(r["sub"], []).append((r["rep"], r["part"]))
+    for rows in cells.values():
+        for k, (a, p) in enumerate(rows):
+            for b, q in rows[k + 1 :]:
+                if not (p and q):
+                    met[min(a, b), max(a, b)] += 1
+    near = {(a, b) for a in range(400) for b in range(a + 1, 400) if ((xy[a].astype(float) - xy[b].astype(float)) ** 2).sum() <= radius * radius}
+    assert len(near) > 500 and all(met[p] == 1 for p in near) and max(met.values()) == 1
+
+
 def test_embedding_labels_of_other_types(spark):
     one, far = [1.0, 2.0, 3.0], [-1.0, 2.0, 0.5]
     rows = [(1, one, "a"), (2, one, "a"), (3, one, "b"), (4, far, "a"), (5, one, None)]
