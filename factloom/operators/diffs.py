@@ -29,3 +29,11 @@ def manifest_changes(current: DataFrame, following: DataFrame) -> DataFrame:
 def equal_sets(left: DataFrame, right: DataFrame) -> bool:
     """Whether both hold the same rows, as sets."""
     return left.subtract(right).isEmpty() and right.subtract(left).isEmpty()
+
+
+def equal_sets_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, same): whether both sides hold the same rows, as sets, in each group of either: one shuffle for all groups."""
+    rows = left.columns
+    both = left.distinct().withColumn("__side", F.lit(1)).unionByName(right.select(*rows).distinct().withColumn("__side", F.lit(2)))
+    sides = both.groupBy(*rows).agg(F.sum("__side").alias("__sides"))
+    return sides.groupBy(*keys).agg(F.min(F.col("__sides") == 3).alias("same"))

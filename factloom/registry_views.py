@@ -6,10 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import classify
+from factloom.functions.identity import canonical_column
 from factloom.functions.text import normalized, parse_query
-from factloom.operators import body, deltas, merkle, postings
+from factloom.operators import body, conformance, deltas, graph, ledger, merkle, postings
 from factloom.registry import _t, query
-from factloom.sources import families, transactions
+from factloom.registry_operators import _order_shards
+from factloom.sources import checkpoints, families, transactions
 from factloom.sources.tables import Rounds
 from factloom.streaming import changes, watch
 
@@ -204,3 +207,92 @@ def framed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     told = rows.select("id", F.explode(F.array_compact(F.array(*frames))).alias("x")).select("id", "x.*")
     return transactions.assembled(told).select("id", "code", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_type IN ('SMALL', 'PROMO') AND p_brand = 'Brand#1' UNION ALL SELECT p_partkey FROM part WHERE p_type = 'LARGE'")
+def class_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files within lists over several axes; no list asks nothing, an empty one lets nothing through."""
+    p, axes = _t(spark, sf_dir, "part"), {"purpose": F.col("p_type"), "delivery": F.col("p_brand")}
+    scopes = [{"purpose": ["SMALL", "PROMO"], "delivery": ["Brand#1"]}, {"purpose": ["LARGE"], "delivery": None}, {"purpose": None, "delivery": []}]
+    found = [p.where(classify.in_scope(axes, s)).select(F.col("p_partkey").alias("id")) for s in scopes]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("""
+WITH c AS (SELECT p_brand AS owner, CASE WHEN p_size % 9 = 0 THEN 'SCHEMA_MISSING' WHEN p_size % 10 = 1 THEN 'SCHEMA_ID_MISSING' WHEN p_size % 10 = 2 AND p_type = 'PROMO' THEN 'SCHEMA_NOT_OBJECT' END AS code FROM part WHERE p_partkey % 5 = 0)
+SELECT owner, CASE WHEN count(code) = 0 THEN 'pass' ELSE 'fail' END AS status, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM c GROUP BY 1
+""")
+def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand's parts as the schemas that it owns, some of them not in the catalog."""
+    p, n = _t(spark, sf_dir, "part").where("p_partkey % 5 = 0").withColumn("path", F.col("p_partkey").cast("string")), F.col("p_size")
+    catalog = p.where(n % 9 != 0).select("path", F.when(n % 10 == 1, "SCHEMA_ID_MISSING").when((n % 10 == 2) & (F.col("p_type") == "PROMO"), "SCHEMA_NOT_OBJECT").alias("code"))
+    found = conformance.schema_rule(catalog, p.select(F.col("p_brand").alias("owner"), "path"))
+    return found.select("owner", "status", F.array_join("codes", ",").alias("codes"))
+
+
+@query("SELECT CASE l_linenumber WHEN 1 THEN 'active' WHEN 2 THEN 'skip' ELSE 'todo' END AS state, count(DISTINCT l_orderkey || ':' || l_linenumber) AS n FROM lineitem GROUP BY 1")
+def test_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests by their state, each counted once."""
+    n = F.col("l_linenumber")
+    tests = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), n.alias("id"), F.when(n == 1, "active").when(n == 2, "skip").otherwise("todo").alias("state"))
+    return conformance.test_counts(tests)
+
+
+@query("""
+SELECT l_partkey AS src, CASE WHEN n_name IS NOT NULL THEN n_name ELSE 'supplier:' || l_suppkey END AS dst, l_returnflag AS kind, n_name IS NOT NULL AS external, sum(l_quantity::BIGINT)::BIGINT AS weight
+FROM lineitem LEFT JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey <> 0) ON s_suppkey = l_suppkey GROUP BY ALL
+""")
+def family_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from parts to suppliers; suppliers abroad are drawn together by nation."""
+    edges = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_returnflag").alias("kind"), F.col("l_quantity").cast("long").alias("weight"))
+    abroad = _t(spark, sf_dir, "nation").where("n_regionkey <> 0")
+    away = _t(spark, sf_dir, "supplier").join(abroad, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node"), F.col("n_name").alias("family"))
+    return graph.rolled_up(edges, away, "weight")
+
+
+@query("""
+SELECT 'old' AS universe, 1::BIGINT AS sequence, 'shard-' || (o_custkey % 8) AS shard_key, count(*) AS facts FROM orders GROUP BY 3
+UNION ALL SELECT 'new', 2, 'shard-' || (o_custkey % 8), count(*) FROM orders WHERE o_custkey % 8 < 5 GROUP BY 3
+""")
+def ledger_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed configuration begins a universe of its own, and again when it was there: the old one stays as it is."""
+    store = ledger.MemoryLedger(spark)
+    whole = _order_shards(spark, sf_dir)
+    first = store.commit("old", None, whole)
+    store.rollover("old", "new", whole)
+    second = store.rollover("old", "new", whole.where("shard_key < 'shard-5'"))
+    told = [store.facts(g).groupBy("shard_key").agg(F.count("*").alias("facts")).select(F.lit(g.universe).alias("universe"), F.lit(g.sequence).cast("long").alias("sequence"), "shard_key", "facts") for g in (first, second)]
+    return told[0].unionByName(told[1])
+
+
+@query("""
+SELECT 'restored' AS outcome, n_name AS said FROM nation WHERE n_regionkey = 1
+UNION ALL SELECT * FROM (VALUES ('miss', 'absent'), ('miss', 'key'), ('miss', 'digest'), ('miss', 'rows'))
+""")
+def checkpoint_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint's table, and the reasons why others can't be used."""
+    rounds = Rounds(spark, "checkpoints")
+    store, rows = checkpoints.Checkpoints(spark, rounds.root), _t(spark, sf_dir, "nation")
+    misses = []
+
+    def missed(scope: str, key: dict) -> None:
+        try:
+            store.restore(scope, key)
+        except checkpoints.Miss as e:
+            misses.append(("miss", e.reason))
+
+    missed("none", {})
+    for scope in ("a", "b", "c"):
+        store.save(scope, {"v": 1}, {"t": rows.where("n_regionkey = 1")})
+    missed("a", {"v": 2})
+    for scope, other in (("b", rows.where("n_regionkey = 1").withColumn("n_name", F.upper(F.reverse("n_name")))), ("c", rows.where("n_regionkey <> 1"))):
+        other.write.mode("overwrite").parquet(f"{store._at(scope)}/{store.attempt(scope)}/t")
+        missed(scope, {"v": 1})
+    return store.restore("a", {"v": 1})["t"].select(F.lit("restored").alias("outcome"), F.col("n_name").alias("said")).unionByName(spark.createDataFrame(misses, "outcome string, said string"))
+
+
+@query("""SELECT o_orderkey AS id, '{"a_status":"' || o_orderstatus || '","b_none":null,"z_key":' || o_orderkey || '}' AS json FROM orders""")
+def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as JSON with their keys in order and nulls kept."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("z_key"), F.lit(None).cast("string").alias("b_none"), F.col("o_orderstatus").alias("a_status"))
+    return rows.select(F.col("z_key").alias("id"), canonical_column("z_key", "b_none", "a_status").alias("json"))

@@ -45,6 +45,11 @@ class Checkpoints:
         found = set_digest(df, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).first()
         return found[0] if found else ""
 
+    def attempt(self, scope: str) -> str:
+        """The folder of a scope's last save."""
+        at = self._at(scope)
+        return json.loads(small_text(self.spark, f"{at}/manifest-{self._manifests(at)[-1]}"))["attempt"]
+
     def save(self, scope: str, key: dict, tables: dict[str, DataFrame]) -> None:
         at, attempt, found = self._at(scope), uuid.uuid4().hex, {}
         for name, df in sorted(tables.items()):
