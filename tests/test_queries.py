@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from factloom import registry
@@ -18,7 +19,7 @@ def db(sf):
 
 def plain(df):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 6) if isinstance(v, float) else str(v)
 
