@@ -815,7 +815,8 @@ def db(sf):
 
 
 def plain(df):
-    one = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
+    # a column of whole numbers with nulls comes as floats from one side
+    one = lambda v: None if v is None or v is pd.NA or v != v else str(v) if isinstance(v, (str, bool, np.bool_)) else round(float(v), 6)
     df = df.reindex(sorted(df.columns), axis=1).astype(object)
     return sorted(([one(v) for v in r] for r in df.itertuples(index=False)), key=repr)
 
