@@ -318,7 +318,7 @@ def _label_key(df: DataFrame, name: str) -> Column:
 
 def near_duplicates(
     df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    threshold: float = 0.98, width: int = 8, grid: int = 3, stretch: float = 3.0, finer: float = 3.0, few: int = 32, chunk_rows: int = 512, dealt_rows: int = 2_048, seed: int = 7,
+    threshold: float = 0.98, width: int = 8, grid: int = 3, stretch: float = 3.0, finer: float = 3.0, few: int = 32, chunk_rows: int = 8_192, dealt_rows: int = 512, seed: int = 7,
 ) -> DataFrame:
     """Rows (id_col, n_links long, component_id long, kept boolean) for every row of `df`.
 
