@@ -68,7 +68,8 @@ def builder_calls(calls: DataFrame, bindings: DataFrame, symbol: str) -> DataFra
     direct = calls.where(F.col("target") == symbol).select("call", F.lit(None).cast("string").alias("via"))
     passed = bindings.where(F.col("argument_symbol") == symbol).select(F.col("call").alias("outer"), "parameter")
     outer = calls.select(F.col("call").alias("outer"), F.col("target").alias("wrapper"))
-    inner = calls.select(F.col("target").alias("__p"), F.col("function").alias("__f"))
+    # a wrapper calls a parameter or it doesn't: how often, and from how many calls, doesn't matter
+    inner = calls.select(F.col("target").alias("__p"), F.col("function").alias("__f")).distinct()
     hop = passed.join(outer, "outer").join(inner, (F.col("parameter") == F.col("__p")) & (F.col("wrapper") == F.col("__f")))
     return direct.unionByName(hop.select(F.col("outer").alias("call"), F.col("wrapper").cast("string").alias("via")).distinct())
 

@@ -16,6 +16,23 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def joined(df):
+    """The numbers of rows that the joins of a query gave."""
+    out = []
+
+    def visit(plan):
+        kind = plan.getClass().getSimpleName()
+        inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+        if "Join" in kind:
+            out.append(plan.metrics().apply("numOutputRows").value())
+        for p in [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]:
+            visit(p)
+
+    df.collect()
+    visit(df._jdf.queryExecution().executedPlan())
+    return out
+
+
 @pytest.fixture(scope="module")
 def some(spark):
     return spark.createDataFrame([(f"f{i:03}", "ab"[i % 2], "k", f"s{i % 5}", (("complete", "partial")[i % 3 == 0],), [(f"src{i % 4}",)] if i % 4 else [], "p") for i in range(50)], FACT).cache()
@@ -184,6 +201,11 @@ def test_bodies(spark):
     calls = spark.createDataFrame([("c1", "build", "main"), ("c2", "wrap", "main"), ("c3", "param", "wrap"), ("c4", "other", "main")], "call string, target string, function string")
     binds = spark.createDataFrame([("c2", "build", "param")], "call string, argument_symbol string, parameter string")
     assert rows(body.builder_calls(calls, binds, "build")) == [("c1", None), ("c2", "wrap")]
+    # a wrapper that calls its parameter from many places is met once for each call of it
+    calls = spark.range(600).selectExpr("concat('w', id) AS call", "'wrap' AS target", "'main' AS function").unionByName(spark.range(500).selectExpr("concat('p', id) AS call", "'param' AS target", "'wrap' AS function"))
+    binds = spark.range(600).selectExpr("concat('w', id) AS call", "'build' AS argument_symbol", "'param' AS parameter")
+    found = body.builder_calls(calls, binds, "build")
+    assert found.count() == 600 and max(joined(found)) <= 600
     occ = spark.createDataFrame([("o1",), ("o2",), ("o3",)], "id string")
     blocks = spark.createDataFrame([("b1", "o1"), ("b2", "o1"), ("b1", "o2"), ("b1", "o9")], "block string, occurrence string")
     edges = spark.createDataFrame([("b1", "b2"), ("b2", "b7")], "src string, dst string")
