@@ -23,9 +23,9 @@ def _line_types(lines: DataFrame, side: str) -> DataFrame:
     """An order's type is the union of its lines' functions. The observed side names its binders otherwise,
     has no nested union, and differs where the order or the line says so."""
     order, n = F.col("l_orderkey"), F.col("l_linenumber")
-    # a node's id: side, order, line, and what it is
-    at = lambda k: (order * 16 + n) * 32 + k
-    root, nested = order * 512, order * 512 + 1
+    # a node's id: order, the line's place in it (lines may share a number, never a place), and what it is
+    at = lambda k: (order * 65_536 + F.col("place")) * 8 + k
+    root, nested = order * 524_288, order * 524_288 + 1
     seen = side == "observed"
     outer = F.concat(F.lit("X" if seen else "A"), n.cast("string"))
     # a captured name: the inner binder of some orders has the name of the outer one
@@ -56,7 +56,8 @@ SELECT o::VARCHAR AS tree, CASE WHEN o % 11 = 0 THEN 'indeterminate' WHEN e = s
 """)
 def type_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as types: unions of generic functions, with captured names, repeated members and other literals."""
-    lines = _t(spark, sf_dir, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = _t(spark, sf_dir, "lineitem").withColumn("place", place)
     sides = [types.hashed(_line_types(lines, s)) for s in ("expected", "observed")]
     pairs = lines.select(F.col("l_orderkey").cast("string").alias("expected")).distinct().withColumn("observed", F.col("expected"))
     return types.verdicts(pairs, *sides).select(F.col("expected").alias("tree"), "status")

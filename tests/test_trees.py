@@ -5,6 +5,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factloom.operators import assignment, declarations, types
 
@@ -152,3 +153,16 @@ def test_declarations(spark):
         ("g", "overload.2", "fail", "MODULE_OVERLOAD_MISSING"), ("g", "observed.overload.3", "fail", "MODULE_OVERLOAD_UNDECLARED"), ("h", "member.x", "pass", None), ("h", "member.y", "indeterminate", None),
         ("h", "heritage.extends:t1", "fail", "MODULE_HERITAGE_MISSING"), ("h", "observed.heritage.extends:t2", "fail", "MODULE_HERITAGE_UNDECLARED"),
     ])
+
+
+def test_lines_that_share_a_number_are_types_of_their_own(spark, sf):
+    """Each line of an order has nodes with ids of their own, however many share its number."""
+    from pyspark.sql import Window
+
+    from factloom import registry_conformance
+
+    lines = spark.createDataFrame([(5, 1, p, p % 3, float(p), "R", "O") for p in range(40)] + [(6, 2, 1, 1, 1.0, "A", "F")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string")
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    for side, heads in (("expected", 2), ("observed", 1)):
+        nodes = registry_conformance._line_types(lines, side)
+        assert nodes.count() == nodes.select("node").distinct().count() == 41 * 5 + 2 * heads
