@@ -93,16 +93,24 @@ def bound(edges: dict[int, dict[int, list[tuple[str, str]]]], max_steps: int = M
     return {i: j for j, i in used.items()} if visit(frozenset(edges)) else None
 
 
-def _verdict(lefts: int, rights: int, rows: list[dict], max_steps: int) -> tuple[str, list[tuple[str, str]]]:
-    ids = sorted({r["left"] for r in rows}), sorted({r["right"] for r in rows})
-    if lefts != rights or len(ids[0]) != lefts or len(ids[1]) != rights:
-        return "fail", []
+def _rows_of(lists: pa.ListArray) -> Iterator[list[tuple[str, str, list[tuple[str, str]]]]]:
+    """The rows (left, right, bindings) of each group; the columns are unpacked once for a batch, not row by row."""
+    rows, at = lists.values, lists.offsets.to_pylist()
+    bindings = rows.field("bindings")
+    names, ends = list(zip(bindings.values.field("left").to_pylist(), bindings.values.field("right").to_pylist())), bindings.offsets.to_pylist()
+    each = list(zip(rows.field("left").to_pylist(), rows.field("right").to_pylist(), (names[i:j] for i, j in zip(ends, ends[1:]))))
+    return (each[i:j] for i, j in zip(at, at[1:]))
+
+
+def _verdict(n: int, rows: list[tuple[str, str, list[tuple[str, str]]]], max_steps: int) -> tuple[str, list[tuple[str, str]]]:
+    """Of a group with n members on either side, each of which fits some other."""
+    ids = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
     at = [{x: k for k, x in enumerate(side)} for side in ids]
-    edges: dict[int, dict[int, list[tuple[str, str]]]] = {k: {} for k in range(lefts)}
-    for r in sorted(rows, key=lambda r: (r["left"], r["right"])):
-        edges[at[0][r["left"]]][at[1][r["right"]]] = [(b["left"], b["right"]) for b in r["bindings"] or []]
+    edges: dict[int, dict[int, list[tuple[str, str]]]] = {k: {} for k in range(n)}
+    for left, right, names in sorted(rows, key=lambda r: r[:2]):
+        edges[at[0][left]][at[1][right]] = names
     found: dict[int, int] | None = paired({i: list(e) for i, e in edges.items()})
-    if len(found) < lefts:
+    if len(found) < n:
         return "fail", []
     if any(names for e in edges.values() for names in e.values()):
         try:
@@ -122,12 +130,16 @@ def assigned(groups: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES, ma
     met = groups.join(size, F.col("group") == F.col("__g"), "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
     small = met.where(F.col("__n") <= max_edges)
     gathered = edges.join(small.select("__g").where("__g IS NOT NULL"), F.col("group") == F.col("__g"), "left_semi").groupBy(F.col("group").alias("__e")).agg(F.collect_list(F.struct("left", "right", "bindings")).alias("__rows"))
-    rows = small.join(gathered, F.col("group") == F.col("__e"), "left").select("group", F.col("lefts").cast("long"), F.col("rights").cast("long"), "__rows")
+    # a member that fits nowhere, or a side with more members, decides a group without a search
+    seen = lambda side: F.when(F.col("__rows").isNull(), 0).otherwise(F.size(F.array_distinct(F.col(f"__rows.{side}"))))
+    lefts, rights = (F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("lefts", "rights"))
+    rows = small.join(gathered, F.col("group") == F.col("__e"), "left").select("group", lefts.alias("lefts"), "__rows", ((lefts == rights) & (seen("left") == lefts) & (seen("right") == rights)).alias("__whole"))
+    rows = rows.select("group", "lefts", "__whole", F.when(F.col("__whole"), F.col("__rows")).alias("__rows"))
     kind = groups.schema["group"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = [_verdict(l or 0, r or 0, e or [], max_steps) for l, r, e in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            told = [_verdict(n, rows, max_steps) if whole else ("fail", []) for n, whole, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), _rows_of(b.column(3)))]
             pairs = pa.array([[{"left": x, "right": y} for x, y in p] for _, p in told], pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in told], pa.string()), pairs], names=["group", "status", "pairs"])
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -166,3 +167,10 @@ def test_lines_that_share_a_number_are_types_of_their_own(spark, sf):
     for side, heads in (("expected", 2), ("observed", 1)):
         nodes = registry_conformance._line_types(lines, side)
         assert nodes.count() == nodes.select("node").distinct().count() == 41 * 5 + 2 * heads
+
+
+def test_rows_of_groups_are_unpacked_at_once():
+    kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("bindings", pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))]))
+    rows = pa.array([[("a", "b", None)], [("x", "y", []), ("x", "z", [("p", "q"), ("r", "s")])], None, [], [("c", "d", [("t", "u")])]], kind)
+    want = [[("a", "b", [])], [("x", "y", []), ("x", "z", [("p", "q"), ("r", "s")])], [], [], [("c", "d", [("t", "u")])]]
+    assert list(assignment._rows_of(rows)) == want and list(assignment._rows_of(rows.slice(1, 3))) == want[1:4]
