@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import assignment, declarations, flow, types
 from factloom.registry import _t, query
+from factloom.sources.tables import partitions_for
 
 
 def _nodes(rows: DataFrame, *each: Column) -> DataFrame:
@@ -90,7 +91,9 @@ def set_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each number of an order: the least of those that share it."""
     least = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x")
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(least).select("l_orderkey", "l_linenumber", "x.*")
+    lines = _t(spark, sf_dir, "lineitem")
+    lines = lines.repartition(partitions_for(spark, lines.count(), 200_000), "l_orderkey", "l_linenumber")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(least).select("l_orderkey", "l_linenumber", "x.*")
 
 
 def _order_parts(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
@@ -148,7 +151,8 @@ SELECT d AS declaration, CASE WHEN e THEN '' ELSE 'observed.' END || id AS id, C
   CASE WHEN open THEN NULL WHEN NOT o THEN missing WHEN NOT e THEN extra ELSE code END AS code FROM z
 """)
 def declaration_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return declarations.compared(_order_parts(spark, sf_dir, "expected"), _order_parts(spark, sf_dir, "observed"))
+    n = partitions_for(spark, _t(spark, sf_dir, "lineitem").count(), 200_000)
+    return declarations.compared(_order_parts(spark, sf_dir, "expected"), _order_parts(spark, sf_dir, "observed"), n)
 
 
 def _line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,12 @@ def small_text(spark: SparkSession, path: str) -> str | None:
         read.close()
 
 
+def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
+    """A number of partitions of some `each` rows at most, so that a task's memory doesn't grow with a table;
+    the session's own number where that is larger."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 class Rounds:
     """Tables of the rounds of a fixpoint, each written once and read by the next."""
 

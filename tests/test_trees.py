@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factloom.operators import assignment, declarations, types
+from factloom.sources import tables
 
 
 def rows_of(tree, t, ids, parent=None, place=0):
@@ -174,3 +175,16 @@ def test_rows_of_groups_are_unpacked_at_once():
     rows = pa.array([[("a", "b", None)], [("x", "y", []), ("x", "z", [("p", "q"), ("r", "s")])], None, [], [("c", "d", [("t", "u")])]], kind)
     want = [[("a", "b", [])], [("x", "y", []), ("x", "z", [("p", "q"), ("r", "s")])], [], [], [("c", "d", [("t", "u")])]]
     assert list(assignment._rows_of(rows)) == want and list(assignment._rows_of(rows.slice(1, 3))) == want[1:4]
+
+
+def test_declarations_meet_in_one_grouping_of_many_parts(spark):
+    blank = dict.fromkeys(declarations._COLUMNS)
+    rows = lambda t: spark.createDataFrame([tuple((blank | {"declaration": f"d{k}", "part": "member", "name": "m", "type": t, "known": True}).values()) for k in range(30)], declarations.PARTS)
+    found = declarations.compared(rows("t"), rows("u"), partitions=9)
+    assert {(r.id, r.status, r.code) for r in found.collect()} == {("member.m", "fail", "MODULE_TYPE_MISMATCH")} and found.count() == 30
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_partitions_follow_the_rows(spark):
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tables.partitions_for(spark, 0, 10) == own and tables.partitions_for(spark, 10_001, 10) == 1_001
