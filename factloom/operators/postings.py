@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from factloom.functions.text import Query
 from factloom.operators import search
 
-#: Letters of a token that name its bucket; parts that a bucket is written in.
-LETTERS, PARTS = 2, 16
+#: Letters of a token that name its bucket; entries whose postings a task sorts and writes, some.
+LETTERS, ENTRIES = 2, 50_000
 #: The texts of an entry whose tokens are indexed.
 FIELDS = ("name", "title", "path")
 #: The least tier that the index finds all entries of.
@@ -32,7 +32,9 @@ def built(index: DataFrame, path: str) -> str:
     the schema that reads them."""
     words = F.array_distinct(F.flatten(F.array(*[F.split(F.coalesce(F.col(c), F.lit("")), " ") for c in FIELDS])))
     each = index.select(F.explode(words).alias("token"), F.struct(*index.columns).alias("entry")).where("token <> ''").withColumn("bucket", _bucket("token"))
-    each.repartition("bucket", F.pmod(F.xxhash64("entry.source"), F.lit(PARTS))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+    # ranges of tokens, and of entries within a frequent token: as many as the entries ask for, however the tokens lie
+    n = -(-max(1, index.count()) // ENTRIES)
+    each.repartitionByRange(n, "bucket", "token", F.xxhash64("entry.source")).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
     return f"token string, entry {each.schema['entry'].dataType.simpleString()}, bucket string"
 
 

@@ -140,3 +140,13 @@ def test_postings_give_what_the_scan_gives(spark, tmp_path):
     assert full >= 5
     plan = postings.candidates(spark, str(tmp_path / "i"), schema, parse_query("core"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "co" in plan
+
+
+def test_postings_of_a_frequent_token_are_parted(spark, tmp_path, monkeypatch):
+    """Tasks and files follow the number of entries, also where all have the same token."""
+    import glob
+
+    monkeypatch.setattr(postings, "ENTRIES", 20)
+    index = spark.range(200).selectExpr("concat('s', id) AS source", "'same' AS name", "'' AS title", "'' AS path", "'' AS alias", "'' AS family", "'' AS status")
+    schema = postings.built(index, str(tmp_path / "i"))
+    assert len(glob.glob(str(tmp_path / "i" / "bucket=sa" / "part-*"))) >= 8 and spark.read.schema(schema).parquet(str(tmp_path / "i")).count() == 200
