@@ -79,7 +79,8 @@ def references(texts: DataFrame, symbols: DataFrame, id_col: str, text_col: str)
     """(id_col, mention, symbol): mentions of symbols (name, symbol, callable) that have one candidate
     only; those in call form need just one that is callable."""
     found = texts.select(id_col, F.explode(F.array_distinct(mentions(F.col(text_col)))).alias("mention"))
-    found = found.withColumn("__name", F.regexp_replace("mention", r"\(\)$", "")).withColumn("__call", F.col("mention").endswith("()"))
+    found = found.withColumn("__call", F.col("mention").endswith("()"))
+    found = found.withColumn("__name", F.when(F.col("__call"), F.substring_index("mention", "()", 1)).otherwise(F.col("mention")))
     own = symbols.groupBy(F.col("name").alias("__n")).agg(
         F.count_distinct("symbol").alias("n"), F.min("symbol").alias("one"), F.count_distinct(F.when(F.col("callable"), F.col("symbol"))).alias("nc"), F.min(F.when(F.col("callable"), F.col("symbol"))).alias("onec")
     )
