@@ -5,6 +5,8 @@ the loop that a break or continue means; up, for whether a statement is empty, w
 whether control can leave its end; down again, for where control goes then: the next sibling that isn't
 empty, the loop's condition, what follows the parent, or the exit. Edges are then one projection. What
 stands behind a statement that control doesn't leave is built but not linked, in its own sequence and beyond.
+Statements are dealt by function once and stay so: tables lie in buckets of functions, and no sweep shuffles.
+A function's rows are sorted in one task, on disk where they are many. Node ids don't repeat.
 
 Every statement but blocks and labels is a block of its own. Inside switch, try and with nothing is taken
 apart; these, labels, and jumps without a loop make a function's flow partial, with a code.
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.sources.tables import Rounds
+from factloom.sources.tables import Buckets, Rounds
 
 #: parent: null for a function's body; slot: of an if, then or else, of a loop or label, body; place: order
 #: among siblings; kinds: block, if, while, for, for-in, for-of, do, labeled, break, continue, return, throw,
@@ -33,77 +35,94 @@ MAX_LEVELS = 256
 TOO_DEEP = "CFG_DEPTH_LIMIT"
 
 
-def _levels(statements: DataFrame, rounds: Rounds, max_levels: int) -> list[DataFrame]:
+def _below(level: DataFrame, *states: Column) -> DataFrame:
+    """Statements of a level that have parts, with states, to be met by their parts."""
+    return level.where(F.col("kind").isin(*NESTING)).select(F.col("function").alias("__f"), F.col("node").alias("__p"), *states)
+
+
+def _met(rows: DataFrame, others: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    return rows.join(others, (F.col("function") == F.col("__f")) & (F.col(key) == F.col("__p")), how).drop("__f", "__p")
+
+
+def _levels(base: DataFrame, rounds: Buckets, max_levels: int) -> list[DataFrame]:
     """The statements by depth, each with its nearest loop and its parent's kind."""
-    base = rounds.put(statements.select(*[c.split()[0] for c in STATEMENTS.split(", ")]))
-    inner = base.where("parent IS NOT NULL")
+    kind, inner = F.col("kind"), base.where("parent IS NOT NULL")
     level, n = rounds.counted(base.where("parent IS NULL").withColumn("loop", F.lit(None).cast("long")).withColumn("outer", F.lit(None).cast("string")))
-    out = []
-    while n and len(out) < max_levels:
+    out = [level] if n else []
+    while n and len(out) <= max_levels:
+        up = _below(level, kind.alias("outer"), F.when(kind.isin(*LOOPS), F.col("node")).otherwise(F.col("loop")).alias("loop"))
+        level, n = rounds.counted(_met(inner, up, "parent").select(*out[0].columns), kind.isin(*NESTING))
         out.append(level)
-        up = level.where(F.col("kind").isin(*NESTING)).select(F.col("node").alias("__p"), F.col("kind").alias("outer"), F.when(F.col("kind").isin(*LOOPS), F.col("node")).otherwise(F.col("loop")).alias("loop"))
-        level, n = rounds.counted(inner.join(up, F.col("parent") == F.col("__p")).drop("__p"))
-    return out + ([level] if n else [])
-
-
-def _upward(levels: list[DataFrame], rounds: Rounds) -> list[DataFrame]:
-    """Each level with entry (null if empty) and ends: whether control can leave its end."""
-    out: list[DataFrame] = []
-    kids = None
-    kind = F.col("kind")
-    for level in reversed(levels):
-        if kids is None:
-            met = level.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("__first", "struct<place: int, node: long, entry: long>"), ("__all", "boolean"), ("__then", "boolean"), ("__else", "boolean"))])
-        else:
-            met = level.join(kids, F.col("node") == F.col("__p"), "left").drop("__p")
-        inside = F.col("__first.entry")
-        entry = F.when(kind.isin("block", "labeled"), inside).when(kind == "do", F.coalesce(inside, "node")).otherwise(F.col("node"))
-        lost = (kind == "continue") & F.col("loop").isNull()
-        # an if whose branch is absent or empty is left by the condition itself
-        ends = F.when(kind.isin("block", "labeled"), F.coalesce("__all", F.lit(False))).when(kind == "if", F.coalesce("__then", F.lit(True)) | F.coalesce("__else", F.lit(True))).otherwise(~kind.isin("return", "throw", "break", "continue") | lost)
-        done = rounds.put(met.withColumn("entry", entry).withColumn("ends", ends).withColumn("inside", inside).drop("__first", "__all", "__then", "__else"))
-        out.append(done)
-        there = done.where("entry IS NOT NULL")
-        of = lambda s: F.max(F.when(F.col("slot") == s, F.col("ends")))
-        kids = there.groupBy(F.col("parent").alias("__p")).agg(F.min(F.struct("place", "node", "entry")).alias("__first"), F.min("ends").alias("__all"), of("then").alias("__then"), of("else").alias("__else"))
+    return out
+
+
+def _entered(level: DataFrame, kids: DataFrame | None) -> DataFrame:
+    """A level with entry (null if empty), ends: whether control can leave its end, and the entries of its
+    parts; kids are what `_upward` says of the level below."""
+    if kids is None:
+        met = level.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("inside", "long"), ("__all", "boolean"), ("__then", "boolean"), ("__else", "boolean"), ("then", "long"), ("else", "long"))])
+    else:
+        met = _met(level, kids, "node", "left")
+    kind, inside = F.col("kind"), F.col("inside")
+    entry = F.when(kind.isin("block", "labeled"), inside).when(kind == "do", F.coalesce(inside, "node")).otherwise(F.col("node"))
+    lost = (kind == "continue") & F.col("loop").isNull()
+    # an if whose branch is absent or empty is left by the condition itself
+    ends = F.when(kind.isin("block", "labeled"), F.coalesce("__all", F.lit(False))).when(kind == "if", F.coalesce("__then", F.lit(True)) | F.coalesce("__else", F.lit(True))).otherwise(~kind.isin("return", "throw", "break", "continue") | lost)
+    return met.withColumn("entry", entry).withColumn("ends", ends).drop("__all", "__then", "__else")
+
+
+def _upward(levels: list[DataFrame], rounds: Buckets) -> list[DataFrame | None]:
+    """For each level, what its statements' parts say of them: one row for a statement with parts that aren't
+    empty. The last level has none."""
+    out: list[DataFrame | None] = [None]
+    for level in reversed(levels[1:]):
+        there = _entered(level, out[-1]).where("entry IS NOT NULL")
+        of = lambda s, c: F.max(F.when(F.col("slot") == s, F.col(c)))
+        first = F.min(F.struct("place", "node", "entry"))["entry"]
+        kids = there.groupBy(F.col("function").alias("__f"), F.col("parent").alias("__p")).agg(
+            first.alias("inside"), F.min("ends").alias("__all"), of("then", "ends").alias("__then"), of("else", "ends").alias("__else"), of("then", "entry").alias("then"), of("else", "entry").alias("else")
+        )
+        out.append(rounds.put(kids.withColumnRenamed("__f", "function")).withColumnRenamed("function", "__f"))
     return out[::-1]
 
 
-def _downward(levels: list[DataFrame], rounds: Rounds) -> DataFrame:
-    """All statements that aren't empty, with the node where control goes behind them (0: the exit, null:
-    nowhere) and the kind that edges there take, if not their own."""
-    none = F.lit(None).cast("string")
-    found = rounds.put(levels[0].where("entry IS NOT NULL").withColumn("to", F.lit(0).cast("long")).withColumn("as", none))
-    all_ = found
-    for level in levels[1:]:
-        up = found.where(F.col("kind").isin(*NESTING)).select(F.col("node").alias("__p"), F.col("to").alias("__to"), F.col("as").alias("__as"))
-        met = level.where("entry IS NOT NULL").join(up, F.col("parent") == F.col("__p"))
-        order = Window.partitionBy("parent").orderBy("place", "node")
+def _downward(top: DataFrame, levels: list[DataFrame], kids: list[DataFrame | None], rounds: Buckets) -> list[DataFrame]:
+    """All statements that aren't empty, by level, with the node where control goes behind them (0: the exit,
+    null: nowhere) and the kind that edges there take, if not their own; the same of their nearest loop."""
+    none, kept = F.lit(None), ("function", "node", "kind", "entry", "inside", "then", "else", "loop", "to", "as", "loop_to", "loop_as")
+    found = rounds.put(top.where("entry IS NOT NULL").withColumns({"to": F.lit(0).cast("long"), "as": none.cast("string"), "loop_to": none.cast("long"), "loop_as": none.cast("string")}).select(*kept))
+    out, kind = [found], F.col("kind")
+    for level, states in zip(levels[1:], kids[1:]):
+        own = lambda c: F.when(kind.isin(*LOOPS), F.col(c)).otherwise(F.col(f"loop_{c}")).alias(f"loop_{c}")
+        met = _met(_entered(level, states).where("entry IS NOT NULL"), _below(found, F.col("to").alias("__to"), F.col("as").alias("__as"), own("to"), own("as")), "parent")
+        order = Window.partitionBy("function", "parent").orderBy("place", "node")
         met = met.withColumn("__next", F.lead("entry").over(order)).withColumn("__cut", ~F.coalesce(F.min("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
         outer, in_block = F.col("outer"), F.col("outer") == "block"
-        to = F.when(outer.isin(*LOOPS), F.col("parent")).when(in_block & F.col("__cut"), F.lit(None)).when(in_block & F.col("__next").isNotNull(), F.col("__next")).otherwise(F.col("__to"))
+        to = F.when(outer.isin(*LOOPS), F.col("parent")).when(in_block & F.col("__cut"), none).when(in_block & F.col("__next").isNotNull(), F.col("__next")).otherwise(F.col("__to"))
         as_ = F.when(outer.isin(*PRE_TEST), F.lit("loop")).when(outer == "do", F.lit("fallthrough")).when(in_block & F.col("__next").isNotNull(), none).otherwise(F.col("__as"))
-        found = rounds.put(met.withColumn("to", to).withColumn("as", as_).drop("__p", "__to", "__as", "__next", "__cut"))
-        all_ = all_.unionByName(found)
-    return rounds.put(all_)
+        found = rounds.put(met.withColumn("to", to.cast("long")).withColumn("as", as_.cast("string")).select(*kept))
+        out.append(found)
+    return out
 
 
-def control_flow(statements: DataFrame, max_levels: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def control_flow(statements: DataFrame, max_levels: int = MAX_LEVELS, dealt: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of STATEMENTS: edges (function, src, dst, kind, evidence) between blocks "entry", "exit" and node ids,
-    blocks (function, block), and limits (function, code). Evidence is the statement that an edge stands for."""
-    rounds = Rounds(statements.sparkSession, "flow")
-    levels = _levels(statements, rounds, max_levels)
+    blocks (function, block), and limits (function, code). Evidence is the statement that an edge stands for.
+    `dealt`: the number of partitions to which the statements are dealt by function already."""
+    spark = statements.sparkSession
+    n = dealt or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rounds = Buckets(spark, "flow", "function", n)
+    base = statements.select(*[c.split()[0] for c in STATEMENTS.split(", ")])
+    levels = _levels(rounds.put(base if dealt else base.repartition(n, "function")), rounds, max_levels)
     deep = levels.pop() if len(levels) > max_levels else None
     if not levels:
-        e = statements.sparkSession.createDataFrame([], "function string, src string, dst string, kind string, evidence long")
+        e = spark.createDataFrame([], "function string, src string, dst string, kind string, evidence long")
         return e, e.select("function", F.col("src").alias("block")), e.select("function", F.col("kind").alias("code"))
-    ups = _upward(levels, rounds)
-    flow = _downward(ups, rounds)
+    kids = _upward(levels, rounds)
+    top = rounds.put(_entered(levels[0], kids[0]))
+    flow = rounds.free(*_downward(top, levels, kids, rounds))
     kind, node = F.col("kind"), F.col("node")
-    # entries of branches and bodies, and where control goes behind a jump's loop
-    parts = flow.groupBy(F.col("parent").alias("__p")).agg(F.max(F.when(F.col("slot") == "then", F.col("entry"))).alias("then"), F.max(F.when(F.col("slot") == "else", F.col("entry"))).alias("else"))
-    behind = flow.where(kind.isin(*LOOPS)).select(F.col("node").alias("__l"), F.col("to").alias("loop_to"), F.col("as").alias("loop_as"))
-    own = flow.where(~kind.isin("block", "labeled")).join(parts, node == F.col("__p"), "left").join(behind, F.col("loop") == F.col("__l"), "left")
+    own = flow.where(~kind.isin("block", "labeled"))
 
     def edge(when: Column, dst: Column, name: Column | str, evidence: Column = node) -> Column:
         made = F.struct(node.alias("src"), dst.cast("long").alias("dst"), (F.lit(name) if isinstance(name, str) else name).alias("kind"), evidence.cast("long").alias("evidence"))
@@ -125,20 +144,18 @@ def control_flow(statements: DataFrame, max_levels: int = MAX_LEVELS) -> tuple[D
         leaving(~jumps & ~if_ & ~pre & ~do, "fallthrough"),
     ]
     place = lambda c: F.when(F.col(c) == 0, "exit").otherwise(F.col(c).cast("string"))
-    inner = own.select("function", F.explode(F.array_compact(F.array(*edges))).alias("x")).select("function", F.col("x.src").cast("string").alias("src"), place("x.dst").alias("dst"), "x.kind", "x.evidence").distinct()
-    first = ups[0].select("function", F.lit("entry").alias("src"), F.coalesce(F.col("entry").cast("string"), F.lit("exit")).alias("dst"), F.lit("fallthrough").alias("kind"), F.lit(None).cast("long").alias("evidence"))
-    ends = ups[0].select("function", F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("block"))
+    inner = own.select("function", F.explode(F.array_distinct(F.array_compact(F.array(*edges)))).alias("x")).select("function", F.col("x.src").cast("string").alias("src"), place("x.dst").alias("dst"), "x.kind", "x.evidence")
+    top = rounds.free(top)
+    first = top.select("function", F.lit("entry").alias("src"), F.coalesce(F.col("entry").cast("string"), F.lit("exit")).alias("dst"), F.lit("fallthrough").alias("kind"), F.lit(None).cast("long").alias("evidence"))
+    ends = top.select("function", F.explode(F.array(F.lit("entry"), F.lit("exit"))).alias("block"))
     blocks = ends.unionByName(own.select("function", node.cast("string").alias("block")))
     code = F.lit(None).cast("string")
     for k, c in PARTIAL.items():
         code = F.when(kind == k, c).otherwise(code)
     code = F.when((kind == "continue") & lost, LOST_CONTINUE).when((kind == "break") & lost, LOST_BREAK).otherwise(code)
-    seen = None
-    for level in levels:
-        part = level.select("function", code.alias("code")).where("code IS NOT NULL")
-        seen = part if seen is None else seen.unionByName(part)
+    seen = rounds.free(*levels).select("function", code.alias("code")).where("code IS NOT NULL")
     if deep is not None:
-        seen = seen.unionByName(deep.select("function", F.lit(TOO_DEEP).alias("code")))
+        seen = seen.unionByName(rounds.free(deep).select("function", F.lit(TOO_DEEP).alias("code")))
     return first.unionByName(inner), blocks, seen.distinct()
 
 

@@ -155,12 +155,17 @@ def declaration_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declarations.compared(_order_parts(spark, sf_dir, "expected"), _order_parts(spark, sf_dir, "observed"), n)
 
 
-def _line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order is a function whose lines are its statements, of seven shapes."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), place.alias("n"), (F.col("l_partkey") % 7).alias("q"))
+#: Statements of one line.
+_SHAPE = "array<struct<node: long, parent: long, slot: string, place: int, kind: string>>"
+
+
+def _line_statements(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """An order is a function whose lines are its statements, of seven shapes; dealt by function."""
+    place = F.row_number().over(Window.partitionBy("function").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("function"), F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey", "l_suppkey")
+    lines = lines.repartition(parts, "function").select("function", "o", place.alias("n"), (F.col("l_partkey") % 7).alias("q"))
     base = (F.col("o") * 64 + F.col("n")) * 16
-    row = lambda k, parent, slot, at, kind: F.struct(F.col("o").cast("string").alias("function"), (base + k).alias("node"), parent.alias("parent"), F.lit(slot).alias("slot"), (F.lit(at) if isinstance(at, int) else at).alias("place"), F.lit(kind).alias("kind"))
+    row = lambda k, parent, slot, at, kind: F.struct((base + k).alias("node"), parent.alias("parent"), F.lit(slot).alias("slot"), (F.lit(at) if isinstance(at, int) else at).alias("place"), F.lit(kind).alias("kind"))
     root = F.col("o") * 64 * 16
     top = lambda kind: row(1, root, "statement", F.col("n"), kind)
     sub = lambda k, up, slot, at, kind: row(k, base + up, slot, at, kind)
@@ -174,8 +179,9 @@ def _line_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = None
     for k, rows in enumerate(shapes):
         each = F.when(F.col("q") == k, F.array(*rows)) if each is None else each.when(F.col("q") == k, F.array(*rows))
-    roots = lines.select("o").distinct().select(F.col("o").cast("string").alias("function"), root.alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("body").alias("slot"), F.lit(0).alias("place"), F.lit("block").alias("kind"))
-    return lines.select(F.explode(each).alias("x")).select("x.*").unionByName(roots)
+    body = F.struct(root.alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("body").alias("slot"), F.lit(0).alias("place"), F.lit("block").alias("kind"))
+    rows = F.concat(F.coalesce(each, F.array().cast(_SHAPE)), F.when(F.col("n") == 1, F.array(body)).otherwise(F.array().cast(_SHAPE)))
+    return lines.select("function", F.explode(rows).alias("x")).select("function", "x.*")
 
 
 @query("""
@@ -199,4 +205,5 @@ x AS (
 SELECT o::VARCHAR AS "function", src, dst, kind, evidence::VARCHAR AS evidence FROM x WHERE dst IS NOT NULL
 """)
 def control_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.control_flow(_line_statements(spark, sf_dir))[0].withColumn("evidence", F.col("evidence").cast("string"))
+    parts = partitions_for(spark, _t(spark, sf_dir, "lineitem").count(), 400_000)
+    return flow.control_flow(_line_statements(spark, sf_dir, parts), dealt=parts)[0].withColumn("evidence", F.col("evidence").cast("string"))

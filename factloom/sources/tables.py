@@ -92,6 +92,32 @@ class Rounds:
         remove(self.spark, self.root)
 
 
+class Buckets(Rounds):
+    """Rounds whose tables lie in `n` buckets of one column. Windows and groups on columns that begin with
+    it need no shuffle, nor do joins in the tables' own session: the setting by which a join asks for all
+    its columns is another one there, and no one else's. What is put should be dealt by the column already."""
+
+    def __init__(self, spark: SparkSession, name: str, column: str, n: int) -> None:
+        super().__init__(spark, name)
+        self.column, self.buckets, self.own = column, n, spark.newSession()
+        self.places: list[tuple[DataFrame, str]] = []
+        self.own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+    def counted(self, df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+        self.n += 1
+        name, seen = f"default.factloom_{uuid.uuid4().hex}", Observation()
+        df = df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n"))
+        df.write.bucketBy(self.buckets, self.column).option("path", f"{self.root}/{self.n}").option("compression", "zstd").format("parquet").saveAsTable(name)
+        table = self.own.table(name)
+        self.own.sql(f"DROP TABLE {name}")  # the name only; the files are those of these rounds
+        self.places.append((table, f"{self.root}/{self.n}"))
+        return table, seen.get["n"]
+
+    def free(self, *tables: DataFrame) -> DataFrame:
+        """Tables that were put, as one of the caller's session."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[at for t, at in self.places if any(t is each for each in tables)])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder through Hadoop's file system API."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

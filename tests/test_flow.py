@@ -3,7 +3,10 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from factloom.operators import flow
+from factloom.sources.tables import Buckets
 
 
 class Builder:
@@ -130,3 +133,19 @@ def test_control_flow_bounds_and_places(spark):
     nodes = spark.createDataFrame([("f", 1, None), ("f", 2, 1), ("f", 3, 2), ("f", 4, 3), ("f", 5, 4), ("f", 6, 1)], "function string, node long, parent long")
     placed = flow.blocks_of(nodes, spark.createDataFrame([("f", "2"), ("f", "entry")], "function string, block string"))
     assert {r.node: r.block for r in placed.collect()} == {1: "entry", 2: "2", 3: "2", 4: "2", 5: "2", 6: "entry"}
+
+
+def test_control_flow_deals_statements_once(spark):
+    rng, ids = random.Random(5), itertools.count(1)
+    rows = [r for k in range(20) for r in random_rows(rng, f"f{k}", ids)]
+    edges, blocks, limits = flow.control_flow(spark.createDataFrame(rows, flow.STATEMENTS))
+    # sweeps shuffle nothing, and what they leave is read without a shuffle
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in (edges, blocks))
+    rounds = Buckets(spark, "test", "f", 3)
+    t = rounds.put(spark.range(100).selectExpr("id div 7 AS f", "id", "id - 1 AS up").repartition(3, "f"))
+    met = t.hint("merge").join(t.selectExpr("f AS __f", "id AS __id"), (F.col("f") == F.col("__f")) & (F.col("up") == F.col("__id")))
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 85
+    none = rounds.put(t.where("id < 0"))
+    assert rounds.free(none).count() == 0 and rounds.free(none, t).count() == 100
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    assert not [x for x in spark.catalog.listTables("default") if x.name.startswith("factloom_")]
