@@ -6,7 +6,7 @@ shared folder, which cuts the lineage and survives lost executors; only their nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.sources.tables import Rounds
@@ -30,12 +30,11 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, includ
     near = rounds.put(seeds.select("node").where("node IS NOT NULL").distinct().withColumn("distance", F.lit(0)))
     seen, far = near, near.select("node")
     for r in range(max_rounds):
-        level, found = far, None
-        for k in range(1, steps + 1):
-            level = level.join(hop, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-            part = level.withColumn("distance", F.lit(r * steps + k))
-            found = part if found is None else found.unionByName(part)
-        new = found.groupBy("node").agg(F.min("distance").alias("distance")).join(seen.select("node"), "node", "left_anti")
+        found = far.withColumn("distance", F.lit(r * steps))
+        for k in range(r * steps, (r + 1) * steps):
+            # each step reads the one before once, so a job's plan grows with its steps
+            found = _sent(found, hop, "distance", F.lit(k + 1), F.col("distance") == k)
+        new = found.join(seen.select("node"), "node", "left_anti")
         table, n = rounds.counted(new)
         if not n:
             break
@@ -46,6 +45,15 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, includ
     return seen if include_seeds else seen.where("distance > 0")
 
 
+def _sent(rows: DataFrame, hop: DataFrame, value: str, sent: Column, which: Column | None = None) -> DataFrame:
+    """(node, value): the least of a node's own value and of what comes to it along edges from rows (for which
+    `which` holds)."""
+    on = F.col("node") == F.col("src")
+    met = rows.join(hop, on if which is None else on & which, "left")
+    both = F.array(F.struct("node", F.col(value)), F.struct(F.col("dst").alias("node"), sent.alias(value)))
+    return met.select(F.explode(both).alias("x")).where("x.node IS NOT NULL").groupBy("x.node").agg(F.min(f"x.{value}").alias(value))
+
+
 def closure_from(edges: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, steps: int = STEPS) -> DataFrame:
     """(seed, node, distance): `closure` of each seed (node) apart. Rows are pairs, so seeds should be few."""
     hop = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
@@ -158,8 +166,7 @@ def _labels(edges: DataFrame, rounds: Rounds, max_rounds: int, steps: int) -> Da
     for _ in range(max_rounds):
         step = now.select("node", "label")
         for _ in range(steps):
-            sent = edges.join(step.select(F.col("node").alias("__n"), "label"), F.col("src") == F.col("__n")).select(F.col("dst").alias("node"), "label")
-            step = step.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"))
+            step = _sent(step, edges, "label", F.col("label"))
         old = now.select(F.col("node").alias("__n"), F.col("label").alias("__old"))
         now, moved = rounds.counted(step.join(old, F.col("node") == F.col("__n")).select("node", "label", (F.col("label") != F.col("__old")).alias("moved")), F.col("moved"))
         if not moved:
@@ -167,6 +174,13 @@ def _labels(edges: DataFrame, rounds: Rounds, max_rounds: int, steps: int) -> Da
     raise RuntimeError(f"the labels did not settle in {max_rounds} rounds")
 
 
+def _led(edges: DataFrame, end: str, other: str) -> DataFrame:
+    """Edges whose `end` is the `other` end of an edge."""
+    both = F.array(F.struct(F.col(end).alias("node"), "src", "dst"), F.struct(F.col(other).alias("node"), F.lit(None).alias("src"), F.lit(None).alias("dst")))
+    met = edges.select(F.explode(both).alias("x")).select("x.*").withColumn("led", F.max(F.col("src").isNull()).over(Window.partitionBy("node")))
+    return met.where("src IS NOT NULL AND led").select("src", "dst")
+
+
 def cycles(edges: DataFrame, max_rounds: int = 10_000, steps: int = STEPS) -> DataFrame:
     """(node, cycle): nodes that reach themselves, by the least node of their strong component. Ours.
 
@@ -182,8 +196,7 @@ def cycles(edges: DataFrame, max_rounds: int = 10_000, steps: int = STEPS) -> Da
         while n:
             trimmed = core
             for _ in range(steps):
-                ins, outs = trimmed.select(F.col("dst").alias("src")).distinct(), trimmed.select(F.col("src").alias("dst")).distinct()
-                trimmed = trimmed.join(ins, "src", "left_semi").join(outs, "dst", "left_semi")
+                trimmed = _led(_led(trimmed, "src", "dst"), "dst", "src")
             core, m = rounds.counted(trimmed)
             few, n = m > 0.98 * n, m
             if few:  # long ways that shed few nodes a round are left to the labels

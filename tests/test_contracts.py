@@ -191,3 +191,18 @@ def test_profiles_of_rules(spark):
     rules = {"module.core": "structure", "module.package.x": "dependencies", "observed.dependency.e": "dependencies", "module.import.type.k": "dependencies", "module.class.k.field.f": "surface", "observed.export.a.value": "surface", "layout.file": "layout", "schema.catalog": "schema"}
     got = {r.r: r.p for r in spark.createDataFrame([(k,) for k in rules], "r string").select("r", policy.profile_of(F.col("r")).alias("p")).collect()}
     assert got == rules
+
+
+def test_plans_of_fixpoints_grow_with_their_steps(spark, monkeypatch):
+    """A step reads the one before once; a plan that reads it twice or three times doubles or triples with each step."""
+    leaves, counted = [], graph.Rounds.counted
+
+    def told(self, df, which=None):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return counted(self, df, which)
+
+    monkeypatch.setattr(graph.Rounds, "counted", told)
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6), (0, 6)], "src long, dst long")
+    assert {r.node: r.cycle for r in graph.cycles(ring, steps=4).collect()} == {1: 1, 2: 1, 3: 1, 6: 6}
+    assert {r.node: r.distance for r in graph.closure(ring, spark.createDataFrame([(1,)], "node long"), steps=4).collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
+    assert max(leaves) <= 4 + 3
