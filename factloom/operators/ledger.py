@@ -90,8 +90,11 @@ def violations(facts: DataFrame) -> DataFrame:
 
 def dangling_inputs(facts: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(fact_id, input): provenance inputs that no fact has; with `among`, inputs of `facts` that no fact of `among` has."""
-    named = (facts if among is None else among).select(F.col("fact_id").alias("input"))
-    return facts.select("fact_id", F.explode("inputs").alias("input")).join(named, "input", "left_anti").select("fact_id", "input")
+    return _unmet(facts.select("fact_id", F.explode("inputs").alias("input")), facts if among is None else among)
+
+
+def _unmet(inputs: DataFrame, among: DataFrame) -> DataFrame:
+    return inputs.join(among.select(F.col("fact_id").alias("input")), "input", "left_anti").select("fact_id", "input")
 
 
 def lineage(facts: DataFrame) -> DataFrame:
@@ -213,8 +216,11 @@ class Ledger:
         if base:
             there = self.shards(universe, kept).select("fact_id", "inputs")
         brought = upserts.join(unchanged.join(new, "shard_digest").select(F.col("shard_key").alias("__same")), F.col("shard_key") == F.col("__same"), "left_anti")
-        # kept facts are read only where new ones name facts beyond their own, or where facts go
-        loose, n = rounds.counted(dangling_inputs(brought, upserts))
+        # facts are looked up only where new ones name any, kept facts only where those lie beyond their own, or
+        # where facts go
+        loose, n = rounds.counted(brought.select("fact_id", F.explode("inputs").alias("input")))
+        if n:
+            loose, n = rounds.counted(_unmet(loose, upserts))
         if n:
             found = (loose.join(there.select(F.col("fact_id").alias("input")), "input", "left_anti") if base else loose).first()
         if base and not found:

@@ -265,3 +265,13 @@ def test_stream_without_a_bound_drops_no_late_row(spark, tmp_path):
     every = []
     changes.apply_each(late, lambda df, n: every.extend(r.id for r in df.collect()), str(tmp_path / "far_cp")).awaitTermination()
     assert sorted(every) == [7, 8, 9]
+
+
+def test_facts_without_inputs_are_not_looked_up(spark, monkeypatch):
+    looked, unmet = [], L._unmet
+    monkeypatch.setattr(L, "_unmet", lambda *a: looked.append(1) or unmet(*a))
+    led = L.MemoryLedger(spark)
+    g = led.commit("u", None, shard(spark, "a", ("f1", [], "1"), ("f2", [], "2")))
+    assert led.facts(g).count() == 2 and not looked
+    assert code(lambda: led.commit("u", g, shard(spark, "b", ("f3", ["f9"], "3")))) == "INPUT_DANGLING" and looked
+    assert led.facts(led.commit("u", g, shard(spark, "b", ("f3", ["f1"], "3")))).count() == 3
