@@ -10,19 +10,17 @@ from factloom.registry import _t, query
 from factloom.sources.tables import partitions_for
 
 
-def _nodes(rows: DataFrame, *each: Column) -> DataFrame:
-    return rows.select(F.explode(F.array(*each)).alias("x")).select("x.*")
-
-
-def _node(tree: Column, node: Column, parent: Column | None, place: int, kind: str, value: Column | None = None, binder: Column | None = None, scope: Column | None = None) -> Column:
+def _node(node: Column, parent: Column | None, place: int, kind: str | Column, value: Column | None = None, binder: Column | None = None, scope: Column | None = None) -> Column:
     text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
     over = F.lit(None) if parent is None else parent
-    return F.struct(tree.cast("string").alias("tree"), node.cast("long").alias("node"), over.cast("long").alias("parent"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), text(value).alias("value"), text(binder).alias("binder"), text(scope).alias("scope"))
+    said = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(node.cast("long").alias("node"), over.cast("long").alias("parent"), F.lit(place).alias("place"), said.alias("kind"), text(value).alias("value"), text(binder).alias("binder"), text(scope).alias("scope"))
 
 
-def _line_types(lines: DataFrame, side: str) -> DataFrame:
+def _line_types(lines: DataFrame, side: str, tree: Column | None = None) -> DataFrame:
     """An order's type is the union of its lines' functions. The observed side names its binders otherwise,
-    has no nested union, and differs where the order or the line says so."""
+    has no nested union, and differs where the order or the line says so. Lines stay as they are dealt, so
+    `tree` names the column of the order's key as text if they are dealt by that."""
     order, n = F.col("l_orderkey"), F.col("l_linenumber")
     # a node's id: order, the line's place in it (lines may share a number, never a place), and what it is
     at = lambda k: (order * 65_536 + F.col("place")) * 8 + k
@@ -34,17 +32,17 @@ def _line_types(lines: DataFrame, side: str) -> DataFrame:
     meant = F.when(n % 2 == 0, outer).otherwise(inner)
     parent = root if seen else F.when(n % 2 == 1, nested).otherwise(root)
     price = F.col("l_quantity").cast("long") + (F.when((order % 5 == 0) & (n == 1), 1000).otherwise(0) if seen else 0)
-    own = _nodes(
-        lines,
-        _node(order, at(0), parent, 0, "function", F.col("l_returnflag"), outer), _node(order, at(1), at(0), 0, "parameter", F.lit(0), scope=F.when(F.col("l_partkey") % 2 == 0, outer).otherwise(F.col("l_linestatus"))),
-        _node(order, at(2), at(0), 1, "function", F.lit("inner"), inner), _node(order, at(3), at(2), 0, "parameter", F.lit(0), scope=meant), _node(order, at(4), at(0), 2, "literal", price),
-    )
-    heads = lines.select("l_orderkey").distinct()
+    each = [
+        _node(at(0), parent, 0, "function", F.col("l_returnflag"), outer), _node(at(1), at(0), 0, "parameter", F.lit(0), scope=F.when(F.col("l_partkey") % 2 == 0, outer).otherwise(F.col("l_linestatus"))),
+        _node(at(2), at(0), 1, "function", F.lit("inner"), inner), _node(at(3), at(2), 0, "parameter", F.lit(0), scope=meant), _node(at(4), at(0), 2, "literal", price),
+    ]
+    # an order's own nodes come with its first line
+    first = F.col("place") == 1
     odd = F.when(order % 11 == 0, "unsupported").otherwise("union") if seen else F.lit("union")
-    tops = [_node(order, root, None, 0, "union").withField("kind", odd)]
+    each.append(F.when(first, _node(root, None, 0, odd)))
     if not seen:
-        tops.append(_node(order, nested, root, 1, "union"))
-    return own.unionByName(_nodes(heads, *tops))
+        each.append(F.when(first, _node(nested, root, 1, "union")))
+    return lines.select((order.cast("string") if tree is None else tree).alias("tree"), F.explode(F.array(*each)).alias("x")).where("x IS NOT NULL").select("tree", "x.*")
 
 
 @query("""
@@ -57,10 +55,11 @@ SELECT o::VARCHAR AS tree, CASE WHEN o % 11 = 0 THEN 'indeterminate' WHEN e = s
 """)
 def type_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as types: unions of generic functions, with captured names, repeated members and other literals."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    lines = _t(spark, sf_dir, "lineitem").withColumn("place", place)
-    sides = [types.hashed(_line_types(lines, s)) for s in ("expected", "observed")]
-    pairs = lines.select(F.col("l_orderkey").cast("string").alias("expected")).distinct().withColumn("observed", F.col("expected"))
+    lines = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("tree"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    pairs = lines.select(F.col("tree").alias("expected")).distinct().withColumn("observed", F.col("expected"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    dealt = lines.repartition(partitions_for(spark, lines.count(), 200_000), "tree").withColumn("place", place)
+    sides = [types.hashed(_line_types(dealt, s, F.col("tree"))) for s in ("expected", "observed")]
     return types.verdicts(pairs, *sides).select(F.col("expected").alias("tree"), "status")
 
 

@@ -188,3 +188,34 @@ def test_declarations_meet_in_one_grouping_of_many_parts(spark):
 def test_partitions_follow_the_rows(spark):
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tables.partitions_for(spark, 0, 10) == own and tables.partitions_for(spark, 10_001, 10) == 1_001
+
+
+def test_types_whole_and_by_levels_have_the_same_hashes(spark):
+    """Trees that a task holds and trees that go level by level; names of more than ASCII, none and empty ones."""
+    rng, ids = random.Random(8), itertools.count(1)
+    trees = [mixed_up(rng, random_type(rng, 4, ("A", "B", "é"))) for _ in range(120)]
+    trees += [("literal", v, None, None, []) for v in ("é\n\"", "𝒳1:", "", None)] + [("union", None, None, None, [("union", None, None, None, []), ("undefined", None, None, None, []), ("literal", "1", None, None, [])]), ("object", "", None, None, [("unsupported", None, None, None, [])])]
+    rows = [r for k, t in enumerate(trees) for r in rows_of(str(k), t, ids)]
+    rows += [("loop", 1, 2, 0, "array", None, None, None), ("loop", 2, 1, 0, "array", None, None, None), ("loop", 3, None, 0, "array", None, None, None), ("two", 1, None, 0, "array", None, None, None), ("two", 2, None, 0, "union", "x", None, None), (None, 3, None, 0, "array", None, None, None)]
+    nodes = spark.createDataFrame(rows, types.NODES)
+    for levels in (48, 2):
+        want, *others = (sorted(map(tuple, types.hashed(nodes, levels, n).collect())) for n in (200_000, 0, 6))
+        assert len(want) == len(trees) + 3 and others == [want, want]
+
+
+def test_types_are_hashed_where_they_lie(spark, monkeypatch):
+    """Nodes that are dealt by tree aren't shuffled again, and nothing but roots is written."""
+    plans, counted = [], tables.Rounds.counted
+    monkeypatch.setattr(tables.Rounds, "counted", lambda self, df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), counted(self, df, *a))[1])
+    chain = [(f"t{t}", t * 9 + k, t * 9 + k - 1 if k else None, 0, "array", None, None, None) for t in range(6) for k in range(9)]
+    assert types.hashed(spark.createDataFrame(chain, types.NODES).repartition(5, "tree")).count() == 6
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1
+
+
+def test_batches_hold_whole_trees(monkeypatch):
+    monkeypatch.setattr(types, "BATCH", 4)
+    rows = [(t, k) for t, n in (("a", 1), ("b", 2), ("c", 7), ("d", 1), ("e", 3)) for k in range(n)]
+    batches = pa.table({"tree": [r[0] for r in rows], "node": [r[1] for r in rows]}).to_batches(max_chunksize=2)
+    got = list(types._whole(iter(batches)))
+    assert [(r["tree"], r["node"]) for t in got for r in t.to_pylist()] == rows and len(got) > 2
+    assert sum(len(set(t["tree"].to_pylist())) for t in got) == 5
